@@ -98,50 +98,58 @@ def match_scopes(policies: DataFrame, scopes: DataFrame) -> DataFrame:
     remaining dimensions are checked on the pairs that meet. Scopes without a dimension are
     looked up by year.
     """
-    parsed = parse_scopes(scopes)
-    anchor = F.coalesce(
-        *[F.when(F.size(name) > 0, F.lit(column)) for name, column in SCOPE_COLUMNS.items()],
-        F.lit("uw_year"),
-    )
-    values = F.coalesce(
-        *[F.when(F.size(name) > 0, F.array_distinct(name)) for name in SCOPE_COLUMNS],
-        F.transform(F.sequence("year_start", "year_end"), lambda y: y.cast("string")),
+    listed = F.array(
+        *[
+            F.struct(F.lit(column).alias("dimension"), F.col(name).alias("kept"))
+            for name, column in SCOPE_COLUMNS.items()
+        ]
     )
+    years = F.transform(F.sequence("year_start", "year_end"), lambda y: y.cast("string"))
+    first = F.try_element_at("restrictions", F.lit(1))
     wanted = (
-        parsed.where("year_start <= year_end")
-        .withColumns({"anchor": anchor, "anchor_value": values})
-        .withColumn("anchor_value", F.explode("anchor_value"))
+        parse_scopes(scopes)
+        .where("year_start <= year_end")
+        .select(
+            "scope_id", "year_start", "year_end",
+            F.filter(listed, lambda d: F.size(d["kept"]) > 0).alias("restrictions"),
+        )
+        .withColumn("anchor", F.coalesce(first["dimension"], F.lit("uw_year")))
+        .withColumn(
+            "anchor_value",
+            F.explode(F.array_distinct(F.coalesce(first["kept"], years))),
+        )
     )
     used = wanted.agg(F.collect_set("anchor")).scalar()
+    own_columns = ("uw_year", *SCOPE_COLUMNS.values())
     own_values = F.array(
         *[
             F.struct(F.lit(c).alias("anchor"), F.col(c).cast("string").alias("anchor_value"))
-            for c in ("uw_year", *SCOPE_COLUMNS.values())
+            for c in own_columns
         ]
     )
-    offered = policies.withColumn(
-        "offer",
-        F.explode(
-            F.filter(
-                own_values,
-                lambda v: v["anchor_value"].isNotNull() & F.array_contains(used, v["anchor"]),
-            )
-        ),
-    ).select("*", "offer.anchor", "offer.anchor_value").drop("offer")
+    offers = F.filter(
+        own_values,
+        lambda v: v["anchor_value"].isNotNull() & F.array_contains("used_anchors", v["anchor"]),
+    )
+    offered = (
+        policies.where("uw_year IS NOT NULL")
+        .withColumn("used_anchors", used)
+        .select(*policies.columns, F.inline(offers))
+    )
     p, s = offered.alias("p"), wanted.alias("s")
-    keeps = [
-        F.col("p.anchor") == F.col("s.anchor"),
-        F.col("p.anchor_value") == F.col("s.anchor_value"),
-        F.col("p.uw_year").between(F.col("s.year_start"), F.col("s.year_end")),
-    ]
-    for name, column in SCOPE_COLUMNS.items():
-        keeps.append(
-            (F.size(f"s.{name}") == 0)
-            | F.coalesce(F.array_contains(f"s.{name}", F.col(f"p.{column}")), F.lit(False))
+    own = F.create_map(
+        *[part for c in SCOPE_COLUMNS.values() for part in (F.lit(c), F.col(f"p.{c}"))]
+    )
+    meets = (
+        (F.col("p.anchor") == F.col("s.anchor"))
+        & (F.col("p.anchor_value") == F.col("s.anchor_value"))
+        & F.col("p.uw_year").between(F.col("s.year_start"), F.col("s.year_end"))
+        & F.forall(
+            "s.restrictions",
+            lambda d: F.coalesce(F.array_contains(d["kept"], own[d["dimension"]]), F.lit(False)),
         )
-    return p.join(s, reduce(and_, keeps)).select(
-        "s.scope_id", *[f"p.{c}" for c in policies.columns]
     )
+    return p.join(s, meets).select("s.scope_id", *[f"p.{c}" for c in policies.columns])
 
 
 def scope_label() -> Column:
