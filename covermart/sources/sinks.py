@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 EVALUATION_SCHEMA_VERSION = 4
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """An extract as CSV files with a header."""
-    rows.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(rows: DataFrame, path: str, separator: str = ",") -> None:
+    """An extract as delimited files with a header; quotes inside a field are doubled."""
+    rows.write.mode("overwrite").options(header=True, sep=separator, escape='"').csv(path)
 
 
 def write_by_year(rows: DataFrame, path: str) -> None:

@@ -1,6 +1,6 @@
 """All registered queries: importing the modules fills the catalog."""
 
-from fixture_queries import monthly_queries, policy_queries  # noqa: F401
+from fixture_queries import monthly_queries, policy_queries, source_queries  # noqa: F401
 from fixture_queries.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
