@@ -128,3 +128,53 @@ SELECT concat('N', cast(n_nationkey AS string)) AS scope_id,
        END AS scope_json
 FROM {nation}
 """
+
+# Questions: a template per customer, filled with names from the tables, and every user turn
+# of the conversations. {{c}} is a contract, {{s}} a payer, both of which may be unknown.
+_TEMPLATES = (
+    "'App penetration trend for ', n_name, ' in 2000'",
+    "'Compare ', supplier, ' and Supplier#000000002 app penetration and recommend an action.'",
+    "'Which master contract has the highest gross premium by network type?'",
+    "'Which age bucket has the lowest app penetration?'",
+    "'Which policy type has the highest TPA ratio?'",
+    "'  What is   the portfolio doing\t\tnow? '",
+    "'How did active population change month over month in ', n_name, '?'",
+    "'Net premium of ', contract, ' and ', contract, ' by network'",
+    "'Gross premium for the ', lower(c_mktsegment), ' policy type in 2001 versus 2000'",
+    "'Which payer is lagging on mobile adoption?'",
+    "'Which insurer has the worst fee ratio?'",
+    "'Show the 30-39 age band against 60+ on adoption'",
+    "'Country premium economics for ', n_name",
+    "'Which market has the largest member population over time?'",
+    "'registered users by country in 2000 and 2001'",
+    "'Net to gross margin of ', supplier, ' vs ', supplier_2",
+    "'TPA to gross trend 1998'",
+    "'premiums and fees by carrier'",
+    "'Total ', c_mktsegment, ' product underwriting cost'",
+    "'What about ', contract, ' in ', n_name, ' for the 18-29 group?'",
+    "'Digital registration of ', n_name, ' and NATION_3 by year'",
+    "'Unassigned policy type gross'",
+    "'Straße nach Été: NET premium of ', upper(supplier), '!'",
+    "'beneficiaries per payer, weakest first'",
+    "'x2000 20005 2000. (2001) 1999 growth of gross premium'",
+    "'Which carrier has the least gross premium?'",
+    "'mobile usage of payer ', supplier",
+    "'active members 2003'",
+    "'contract review'",
+    "'demographic gross premium, net premium and ratio'",
+)
+QUESTIONS_SQL = (
+    "SELECT concat('C', cast(c_custkey AS string)) AS question_id, CASE c_custkey % "
+    + str(len(_TEMPLATES))
+    + "".join(f" WHEN {i} THEN concat({t}, '')" for i, t in enumerate(_TEMPLATES))
+    + """ END AS question
+FROM (SELECT *, concat('Supplier#', lpad(cast(c_custkey % 14 AS string), 9, '0')) AS supplier,
+             concat('supplier ', lpad(cast(c_custkey % 9 AS string), 9, '0')) AS supplier_2,
+             concat('Brand#', cast(c_custkey % 27 AS string), ' ECONOMY') AS contract
+      FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey) AS c
+UNION ALL
+SELECT concat('V', cast(conv_id AS string), '-', cast(turn AS string)) AS question_id,
+       text AS question
+FROM {conversations} WHERE role = 'user'
+"""
+)
