@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from covermart import fixed_values as fv
+from covermart.functions.text import compact_number, format_metric, money, percent
+from covermart.operators import reshape as rs
 from covermart.operators.options import filter_options
-from covermart.plans import batch, questions as qu
-from covermart.plans.snapshot import snapshot
 from covermart.operators.scope import Scope
+from covermart.plans import answers as an
+from covermart.plans import batch
+from covermart.plans import evidence as ev
+from covermart.plans import questions as qu
+from covermart.plans.snapshot import snapshot
 from fixture_queries import views
+from fixture_queries.catalog import _TABLE_NAMES, USD_SUMS, common, query
 from fixture_queries.monthly_queries import _mart
+from fixture_queries.policy_queries import (
+    _MOBILE,
+    _OPTIONS,
+    _SUMMARY,
+    _premium_sql,
+    _review_sql,
+)
 from fixture_queries.tables import policies, stored, view
 
+# --- frames --------------------------------------------------------------------------
+
 
 def questions(spark, sf_dir):
     return view(spark, sf_dir, views.QUESTIONS_SQL)
@@ -27,6 +45,10 @@ def aggregates(spark, sf_dir) -> str:
     return stored(spark, sf_dir, "aggregates", write)
 
 
+def frames(spark, sf_dir):
+    return batch.read_aggregates(spark, aggregates(spark, sf_dir))
+
+
 def routed(spark, sf_dir):
     def write(path):
         catalog = batch.catalog_of(spark, aggregates(spark, sf_dir))
@@ -42,3 +64,805 @@ def evidence(spark, sf_dir):
         ).write.parquet(path)
 
     return spark.read.parquet(stored(spark, sf_dir, "evidence", write))
+
+
+# --- oracle: routing -----------------------------------------------------------------
+
+common("questions", views.QUESTIONS_SQL.format(**_TABLE_NAMES))
+
+
+def _normalised_sql(text: str) -> str:
+    folded = f"lower({text})"
+    for letter, plain in fv.CASE_FOLDS.items():
+        folded = f"replace({folded}, '{letter}', '{plain}')"
+    return f"trim(regexp_replace({folded}, '[^a-z0-9]+', ' ', 'g'))"
+
+
+common(
+    "q",
+    f"""SELECT *, concat(' ', normalised, ' ') AS padded FROM (
+            SELECT question_id, question, {_normalised_sql("question")} AS normalised FROM (
+                SELECT question_id, substring(trim(regexp_replace(question,
+                    '[\\t-\\r\\x1c-\\x20\\x{{85}}\\p{{Z}}]+', ' ', 'g')), 1, 800) AS question
+                FROM questions) AS c WHERE question <> '') AS n""",
+    ("questions",),
+)
+common("years_frame",
+       "SELECT uw_year, count(DISTINCT beneficiary_key) AS beneficiaries, "
+       f"count(DISTINCT registered_user_key) AS registered_users, {USD_SUMS} "
+       "FROM scoped GROUP BY 1", ("scoped",))
+common("payer_frame", _review_sql("payer_name"), ("scoped",))
+common("age_frame", _review_sql("age_bucket"), ("scoped",))
+common("mobile_frame", _MOBILE, ("scoped",))
+common("contract_frame", _premium_sql("master_contract"), ("scoped",))
+common(
+    "type_frame",
+    f"""SELECT coalesce(policy_type, 'Unassigned') AS policy_type,
+               count(DISTINCT beneficiary_key) AS beneficiaries, {USD_SUMS}
+        FROM scoped GROUP BY 1
+        ORDER BY gross_premium_usd DESC NULLS LAST, policy_type LIMIT 20""",
+    ("scoped",),
+)
+common(
+    "summary_frame",
+    f"""SELECT {_SUMMARY},
+               (SELECT arg_max(active_population, month_end) FROM kpis)
+                   AS latest_active_population,
+               (SELECT max(month_end) FROM kpis) AS latest_active_month
+        FROM scoped""",
+    ("scoped", "kpis"),
+)
+_CLASS_SQL = " ".join(
+    f"WHEN '{column}' THEN '{name}'" for name, column in qu.ENTITY_COLUMNS.items()
+)
+common(
+    "entities",
+    f"""SELECT entity_class, value, min(position) AS position,
+               {_normalised_sql("value")} AS phrase
+        FROM (SELECT 'payers' AS entity_class, trim(payer_name) AS value,
+                     -coalesce(gross_premium_usd, '-infinity'::double) AS position
+              FROM payer_frame
+              UNION ALL SELECT 'payer_countries', trim(payer_country),
+                     cast(date_diff('day', date '1970-01-01', month_end) AS double)
+              FROM country_kpis
+              UNION ALL SELECT 'policy_types', trim(policy_type),
+                     -coalesce(gross_premium_usd, '-infinity'::double) FROM type_frame
+              UNION ALL SELECT 'master_contracts', trim(master_contract),
+                     -coalesce(gross_premium_usd, '-infinity'::double) FROM contract_frame
+              UNION ALL SELECT 'age_buckets', trim(age_bucket),
+                     -cast(beneficiaries AS double) FROM age_frame
+              UNION ALL SELECT CASE dimension {_CLASS_SQL} END, trim(value),
+                     'infinity'::double
+              FROM ({_OPTIONS}) AS o
+              WHERE dimension IN ({", ".join(f"'{c}'" for c in qu.ENTITY_COLUMNS.values())})
+             ) AS e
+        WHERE value <> '' GROUP BY 1, 2""",
+    ("records", "payer_frame", "country_kpis", "type_frame", "contract_frame", "age_frame"),
+)
+common(
+    "hits",
+    """SELECT q.question_id, e.* FROM q JOIN entities AS e
+       ON e.phrase <> '' AND contains(q.padded, concat(' ', e.phrase, ' '))""",
+    ("q", "entities"),
+)
+
+
+def _has(phrases) -> str:
+    return "(" + " OR ".join(f"contains(padded, ' {p} ')" for p in phrases) + ")"
+
+
+def _pick(pairs) -> str:
+    items = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for test, name in pairs)
+    return f"list_filter([{items}], lambda x: x IS NOT NULL)"
+
+
+common(
+    "named",
+    "SELECT q.*, "
+    + ", ".join(
+        f"(SELECT count(*) FROM hits AS h WHERE h.question_id = q.question_id "
+        f"AND h.entity_class = '{c}') AS n_{c}"
+        for c in qu.ENTITY_COLUMNS
+    )
+    + " FROM q",
+    ("q", "hits"),
+)
+_INTENTS_SQL = _pick([(_has(words), i) for i, words in fv.INTENT_PHRASES.items()])
+_IMPLIED_SQL = _pick(
+    [
+        (f"n_{c} > 0 AND NOT {_has(fv.INTENT_PHRASES[i])}", i)
+        for c, i in fv.ENTITY_INTENTS.items()
+    ]
+)
+common(
+    "with_intents",
+    f"""SELECT * EXCLUDE (raw), CASE WHEN len(raw) = 0 THEN ['portfolio'] ELSE raw END
+               AS intents
+        FROM (SELECT *, list_concat({_INTENTS_SQL}, {_IMPLIED_SQL}) AS raw FROM named) AS i""",
+    ("named",),
+)
+
+
+def _in(intent: str) -> str:
+    return f"list_contains(intents, '{intent}')"
+
+
+_ASKED_SQL = _pick([(_has(words), m) for m, words in fv.METRIC_PHRASES.items()])
+_MONEY_TEST = f"({_in('payer')} OR {_in('policy')}) AND NOT {_in('economics')}"
+_DEFAULT_SQL = _pick(
+    [(_in("economics"), m) for m in ("gross_premium_usd", "net_premium_usd", "tpa_fee_usd")]
+    + [(_in("adoption"), m) for m in ("app_penetration_rate", "active_registered_users")]
+    + [(_in("population"), "active_population")]
+    + [(_MONEY_TEST, m) for m in ("gross_premium_usd", "net_premium_usd", "tpa_fee_usd")]
+)
+_SOURCES_SQL = _pick(
+    [
+        ("true", "summary"),
+        (f"({_in('economics')} OR {_in('trend')}) AND NOT {_in('master_contract')}",
+         "premium_by_year"),
+        (_in("payer"), "payer_review"),
+        (f"{_in('adoption')} AND NOT {_in('demographic')}", "mobile_by_payer"),
+        (f"({_in('adoption')} OR {_in('population')}) AND NOT {_in('demographic')}",
+         "monthly_kpis"),
+        (_in("country"), "monthly_country_kpis"),
+        (f"{_in('policy')} AND NOT {_in('master_contract')}", "policy_type_review"),
+        (_in("master_contract"), "master_contract_network_premium"),
+        (_in("demographic"), "age_bucket_review"),
+    ]
+)
+_FOCUS_SQL = "CASE " + " ".join(
+    f"WHEN {test} THEN '{fv.FOCUS_LABELS[name]}'"
+    for test, name in (
+        ("n_master_contracts > 0", "named_contract"),
+        (_in("master_contract"), "contract"),
+        ("n_age_buckets > 0", "named_age"),
+        (_in("demographic"), "age"),
+        (f"n_payers > 0 AND {_in('adoption')}", "payer_adoption"),
+        ("n_payers > 0", "named_payer"),
+        ("n_payer_countries > 0", "named_country"),
+        ("n_policy_types > 0", "named_policy_type"),
+        (_in("adoption"), "adoption"),
+        (_in("economics"), "economics"),
+        (_in("population"), "population"),
+        (_in("policy"), "policy"),
+    )
+) + f" ELSE '{fv.FOCUS_LABELS['portfolio']}' END"
+_PRIMARY_SQL = "CASE " + " ".join(
+    f"WHEN list_contains(metrics, '{m}') THEN '{m}'" for m in fv.METRIC_PRIORITY
+) + " END"
+common(
+    "plan",
+    f"""SELECT *, {_PRIMARY_SQL} AS primary_metric,
+               CASE WHEN len(listed) > 1 THEN listed
+                    ELSE ['summary', 'premium_by_year', 'payer_review'] END AS sources,
+               {_FOCUS_SQL} AS focus,
+               list_sort(list_distinct(list_transform(
+                   regexp_extract_all(question, '\\b(20[0-9][0-9])\\b', 1),
+                   lambda y: cast(y AS integer)))) AS years,
+               {_has(fv.TREND_WORDS)} AS trending,
+               CASE WHEN {_has(fv.LOWEST_WORDS)} THEN 'asc' ELSE 'desc' END AS direction,
+               CASE WHEN {_has(fv.RANK_BY_ADOPTION_WORDS)} THEN 'adoption'
+                    WHEN {_has(fv.RANK_BY_FEE_WORDS)} THEN 'fee' ELSE 'gross' END AS rank_by
+        FROM (SELECT *, {_SOURCES_SQL} AS listed,
+                     CASE WHEN len({_ASKED_SQL}) > 0 THEN {_ASKED_SQL}
+                          WHEN len({_DEFAULT_SQL}) > 0 THEN {_DEFAULT_SQL}
+                          ELSE ['gross_premium_usd', 'net_premium_usd'] END AS metrics
+              FROM with_intents) AS m""",
+    ("with_intents",),
+)
+
+
+def _listed(column: str) -> str:
+    return f"array_to_string({column}, '|')"
+
+
+# --- routing queries -----------------------------------------------------------------
+
+
+@query("q_normalize", "SELECT question_id, question, normalised FROM q", ("q",))
+def q_normalize(spark, sf_dir):
+    return qu.normalize_questions(questions(spark, sf_dir))
+
+
+@query(
+    "entity_catalog_union",
+    """SELECT entity_class, value, CASE WHEN isinf(position) THEN NULL ELSE position END
+              AS position FROM entities""",
+    ("entities",),
+)
+def entity_catalog_union(spark, sf_dir):
+    catalog = batch.catalog_of(spark, aggregates(spark, sf_dir))
+    known = F.when(F.abs("position") != float("inf"), F.col("position"))
+    return catalog.withColumn("position", known)
+
+
+@query("phrase_join", "SELECT question_id, entity_class, value FROM hits", ("hits",))
+def phrase_join(spark, sf_dir):
+    matched = qu.match_entities(
+        qu.normalize_questions(questions(spark, sf_dir)),
+        batch.catalog_of(spark, aggregates(spark, sf_dir)),
+    )
+    classes = F.array(
+        *[
+            F.struct(F.lit(c).alias("entity_class"), F.col(c).alias("found"))
+            for c in qu.ENTITY_COLUMNS
+        ]
+    )
+    return matched.select("question_id", F.inline(classes)).select(
+        "question_id", "entity_class", F.explode("found").alias("value")
+    )
+
+
+@query(
+    "q_entities",
+    "SELECT question_id, "
+    + ", ".join(
+        f"coalesce((SELECT string_agg(value, '|' ORDER BY length(phrase) DESC, position, value)"
+        f" FROM hits AS h WHERE h.question_id = q.question_id AND h.entity_class = '{c}'), '')"
+        f" AS {c}"
+        for c in qu.ENTITY_COLUMNS
+    )
+    + " FROM q",
+    ("q", "hits"),
+)
+def q_entities(spark, sf_dir):
+    return routed(spark, sf_dir).select(
+        "question_id", *[F.array_join(c, "|").alias(c) for c in qu.ENTITY_COLUMNS]
+    )
+
+
+def _plan_query(name: str, column: str, sql: str):
+    @query(name, f"SELECT question_id, {sql} AS {column} FROM plan", ("plan",))
+    def run(spark, sf_dir):
+        value = F.col(column)
+        if dict(routed(spark, sf_dir).dtypes)[column].startswith("array"):
+            value = F.array_join(F.transform(value, lambda v: v.cast("string")), "|")
+        return routed(spark, sf_dir).select("question_id", value.alias(column))
+
+    return run
+
+
+_plan_query("q_intents", "intents", _listed("intents"))
+_plan_query("q_metrics", "requested_metrics", _listed("metrics"))
+_plan_query("q_sources", "source_tables", _listed("sources"))
+_plan_query("q_years", "years", _listed("years"))
+_plan_query("q_focus", "question_focus", "focus")
+_plan_query("primary_metric", "primary_metric", "primary_metric")
+
+
+# --- oracle: evidence ----------------------------------------------------------------
+
+common(
+    "month_rows",
+    """SELECT question_id, month_end FROM (
+           SELECT p.question_id, p.trending, p.years, k.month_end, k.newest,
+                  bool_or(list_contains(p.years, year(k.month_end)))
+                      OVER (PARTITION BY p.question_id) AS has_years
+           FROM plan AS p, (SELECT *, row_number() OVER (ORDER BY month_end DESC) AS newest
+                            FROM kpis) AS k
+           WHERE list_contains(p.sources, 'monthly_kpis')) AS x
+       WHERE CASE WHEN has_years THEN list_contains(years, year(month_end))
+                  WHEN trending THEN newest <= 24 ELSE newest = 1 END""",
+    ("plan", "kpis"),
+)
+common(
+    "country_rows",
+    """SELECT question_id, payer_country, month_end FROM (
+           SELECT *, max(month_end) OVER w AS last_month, count(*) OVER w AS n,
+                  row_number() OVER (PARTITION BY question_id
+                      ORDER BY month_end DESC, payer_country DESC) AS place
+           FROM (SELECT p.question_id, p.trending, p.years, p.n_payer_countries AS named,
+                        c.payer_country, c.month_end, c.newest, c.last_known,
+                        bool_or(list_contains(p.years, year(c.month_end)))
+                            OVER (PARTITION BY p.question_id) AS has_years
+                 FROM plan AS p,
+                      (SELECT *, max(month_end) OVER () AS last_known, row_number() OVER
+                              (ORDER BY month_end DESC, payer_country) AS newest
+                       FROM country_kpis) AS c
+                 WHERE list_contains(p.sources, 'monthly_country_kpis')
+                   AND (p.n_payer_countries = 0 OR EXISTS (
+                        SELECT 1 FROM hits AS h WHERE h.question_id = p.question_id
+                        AND h.entity_class = 'payer_countries'
+                        AND h.value = c.payer_country))) AS x
+           WHERE CASE WHEN has_years THEN list_contains(years, year(month_end))
+                      WHEN named > 0 THEN true
+                      WHEN trending THEN newest <= 72 ELSE month_end = last_known END
+           WINDOW w AS (PARTITION BY question_id)) AS y
+       WHERE CASE WHEN named = 0 THEN n <= 12 OR month_end = last_month
+                  WHEN has_years THEN true
+                  WHEN trending THEN place <= 24 ELSE month_end = last_month END""",
+    ("plan", "country_kpis", "hits"),
+)
+_RANK_SQL = """
+    SELECT '{source}' AS source, ranking, {entity} AS entity, place FROM (
+        SELECT *, row_number() OVER (PARTITION BY ranking
+                                     ORDER BY measure ASC NULLS LAST, {entity}) AS place
+        FROM ({orders}) AS o) AS r WHERE place <= 12"""
+
+
+def _rank_sql(source: str, frame: str, entity: str, measures: dict[str, str]) -> str:
+    orders = " UNION ALL ".join(
+        f"SELECT '{name}:{way}' AS ranking, {entity}, {sign} * {column} AS measure FROM {frame}"
+        for name, column in measures.items()
+        for way, sign in (("asc", 1), ("desc", -1))
+    )
+    if source == "mobile_by_payer":
+        orders += (
+            f" UNION ALL SELECT 'listed', {entity}, -cast(unique_beneficiaries AS double) "
+            f"FROM {frame}"
+        )
+    return _RANK_SQL.format(source=source, entity=entity, orders=orders)
+
+
+_MEASURES = {
+    "adoption": "app_penetration_rate", "fee": "tpa_to_gross_ratio", "gross": "gross_premium_usd",
+}
+common(
+    "ranked",
+    " UNION ALL ".join(
+        [
+            _rank_sql("payer_review", "payer_frame", "payer_name", _MEASURES),
+            _rank_sql("age_bucket_review", "age_frame", "age_bucket", _MEASURES),
+            _rank_sql("mobile_by_payer", "mobile_frame", "payer_name",
+                      {"adoption": "registered_user_penetration"}),
+        ]
+    )
+    + """ UNION ALL SELECT 'policy_type_review', 'listed', policy_type, place FROM (
+              SELECT *, row_number() OVER (ORDER BY gross_premium_usd DESC NULLS LAST,
+                                           policy_type) AS place FROM type_frame) AS t
+          WHERE place <= 12
+          UNION ALL SELECT 'master_contract_network_premium', 'listed', master_contract, place
+          FROM (SELECT master_contract, row_number() OVER (
+                    ORDER BY sum(round(gross_premium_usd * 1e2)) DESC, master_contract) AS place
+                FROM contract_frame GROUP BY 1) AS c WHERE place <= 12""",
+    ("payer_frame", "age_frame", "mobile_frame", "type_frame", "contract_frame"),
+)
+_ENTITY_SOURCES = {
+    "payer_review": ("payer_frame", "payer_name", "payers"),
+    "mobile_by_payer": ("mobile_frame", "payer_name", "payers"),
+    "age_bucket_review": ("age_frame", "age_bucket", "age_buckets"),
+    "policy_type_review": ("type_frame", "policy_type", "policy_types"),
+    "master_contract_network_premium": ("contract_frame", "master_contract", "master_contracts"),
+}
+_WANTED_RANKING = """CASE WHEN '{source}' IN ('policy_type_review',
+        'master_contract_network_premium') OR ('{source}' = 'mobile_by_payer'
+        AND rank_by <> 'adoption') THEN 'listed' ELSE concat(rank_by, ':', direction) END"""
+common(
+    "entity_rows",
+    " UNION ALL ".join(
+        f"""SELECT p.question_id, '{source}' AS source, f.{entity} AS entity
+            FROM plan AS p JOIN (SELECT DISTINCT {entity} FROM {frame}) AS f
+              ON CASE WHEN p.n_{cls} > 0
+                      THEN EXISTS (SELECT 1 FROM hits AS h WHERE h.question_id = p.question_id
+                           AND h.entity_class = '{cls}' AND h.value = f.{entity})
+                      ELSE EXISTS (SELECT 1 FROM ranked AS r WHERE r.source = '{source}'
+                           AND r.entity = f.{entity}
+                           AND r.ranking = {_WANTED_RANKING.format(source=source)}) END
+            WHERE list_contains(p.sources, '{source}')"""
+        for source, (frame, entity, cls) in _ENTITY_SOURCES.items()
+    ),
+    ("plan", "hits", "ranked", "payer_frame", "mobile_frame", "age_frame", "type_frame",
+     "contract_frame"),
+)
+
+_NO_TEXT, _NO_NUMBER = "cast(NULL AS varchar)", "cast(NULL AS integer)"
+_PERIOD = "year(f.month_end) * 12 + month(f.month_end) - 1"
+# Evidence table -> (selected rows joined to the frame, entity, detail, period).
+_EVIDENCE_FROM = {
+    "summary": (
+        "plan AS p CROSS JOIN summary_frame AS f", _NO_TEXT, _NO_TEXT, _NO_NUMBER,
+    ),
+    "premium_by_year": (
+        "plan AS p CROSS JOIN years_frame AS f", _NO_TEXT, _NO_TEXT, "f.uw_year",
+    ),
+    "monthly_kpis": (
+        "plan AS p JOIN month_rows AS s USING (question_id) "
+        "JOIN kpis AS f ON f.month_end = s.month_end",
+        _NO_TEXT, _NO_TEXT, _PERIOD,
+    ),
+    "monthly_country_kpis": (
+        "plan AS p JOIN country_rows AS s USING (question_id) JOIN country_kpis AS f "
+        "ON f.month_end = s.month_end AND f.payer_country = s.payer_country",
+        "f.payer_country", _NO_TEXT, _PERIOD,
+    ),
+    **{
+        source: (
+            f"plan AS p JOIN entity_rows AS s ON s.question_id = p.question_id AND "
+            f"s.source = '{source}' JOIN {frame} AS f ON f.{entity} = s.entity",
+            f"f.{entity}",
+            "f.network_type" if source.startswith("master") else _NO_TEXT,
+            _NO_NUMBER,
+        )
+        for source, (frame, entity, _) in _ENTITY_SOURCES.items()
+    },
+}
+_MONEY = ("gross_premium_usd", "net_premium_usd", "tpa_fee_usd")
+_RATES = ("app_penetration_rate", "net_to_gross_ratio", "tpa_to_gross_ratio")
+_COUNTS = ("beneficiaries", "registered_users", "registered_beneficiaries")
+_SERIES = ("month_end", "active_population", "active_registered_users", *_MONEY)
+_FRAME_COLUMNS = {
+    "summary": (
+        "policy_records", "unique_beneficiaries", "master_contracts", "registered_users",
+        "registered_beneficiaries", *_MONEY, "latest_active_population", "latest_active_month",
+    ),
+    "premium_by_year": ("uw_year", "beneficiaries", "registered_users", *_MONEY),
+    "monthly_kpis": _SERIES,
+    "monthly_country_kpis": ("payer_country", *_SERIES),
+    "payer_review": ("payer_name", *_COUNTS, *_MONEY, *_RATES),
+    "age_bucket_review": ("age_bucket", *_COUNTS, *_MONEY, *_RATES),
+    "policy_type_review": ("policy_type", "beneficiaries", *_MONEY),
+    "master_contract_network_premium": ("master_contract", "network_type", "gross_premium_usd"),
+    "mobile_by_payer": (
+        "payer_name", "unique_beneficiaries", "unique_registered_users",
+        "registered_user_penetration", "linked_beneficiary_coverage",
+    ),
+}
+_TEXT_COLUMNS = (
+    "payer_name", "payer_country", "age_bucket", "policy_type", "master_contract",
+    "network_type", "month_end", "latest_active_month",
+)
+
+
+def _cells_sql() -> str:
+    parts = []
+    for source, columns in _FRAME_COLUMNS.items():
+        rows, entity, detail, period = _EVIDENCE_FROM[source]
+        for column in columns:
+            metrics = [m for m, cs in fv.METRIC_COLUMNS.items() if column in cs]
+            if column in fv.PENETRATION_COLUMNS.get(source, ()):
+                metrics.append("app_penetration_rate")
+            shown = "true" if column in fv.IDENTITY_COLUMNS[source] else (
+                f"list_has_any(p.metrics, {metrics})" if metrics else "false"
+            )
+            number = (
+                "cast(NULL AS double)" if column in _TEXT_COLUMNS
+                else f"cast(f.{column} AS double)"
+            )
+            parts.append(
+                f"SELECT p.question_id, '{source}' AS source, {entity} AS entity, "
+                f"{detail} AS detail, {period} AS period, '{column}' AS column_name, "
+                f"{number} AS value FROM {rows} "
+                f"WHERE list_contains(p.sources, '{source}') AND {shown}"
+            )
+    return " UNION ALL ".join(parts)
+
+
+common(
+    "cells",
+    _cells_sql(),
+    ("plan", "summary_frame", "years_frame", "month_rows", "country_rows", "entity_rows"),
+)
+
+
+def _cells(spark, sf_dir):
+    return ev.evidence_cells(evidence(spark, sf_dir))
+
+
+# --- evidence queries ----------------------------------------------------------------
+
+
+@query(
+    "rank_entities",
+    "SELECT source, ranking, entity, place FROM ranked WHERE source = 'payer_review'",
+    ("ranked",),
+)
+def rank_entities(spark, sf_dir):
+    ranked = ev.rankings(frames(spark, sf_dir)["payer_review"], "payer_review")
+    return ranked.select(
+        F.lit("payer_review").alias("source"), "ranking", F.col("payer_name").alias("entity"),
+        "place",
+    )
+
+
+@query(
+    "ev_time_slice",
+    """SELECT question_id, year(month_end) * 12 + month(month_end) - 1 AS period
+       FROM month_rows""",
+    ("month_rows",),
+)
+def ev_time_slice(spark, sf_dir):
+    return (
+        _cells(spark, sf_dir)
+        .where("source = 'monthly_kpis' AND column_name = 'month_end'")
+        .select("question_id", "period")
+    )
+
+
+@query(
+    "ev_country",
+    """SELECT question_id, payer_country AS entity,
+              year(month_end) * 12 + month(month_end) - 1 AS period FROM country_rows""",
+    ("country_rows",),
+)
+def ev_country(spark, sf_dir):
+    return (
+        _cells(spark, sf_dir)
+        .where("source = 'monthly_country_kpis' AND column_name = 'month_end'")
+        .select("question_id", "entity", "period")
+    )
+
+
+@query("ev_entity_tables", "SELECT * FROM entity_rows", ("entity_rows",))
+def ev_entity_tables(spark, sf_dir):
+    rows = _cells(spark, sf_dir).where(F.col("source").isin(*_ENTITY_SOURCES))
+    return rows.select("question_id", "source", "entity").distinct()
+
+
+@query("ev_project", "SELECT * FROM cells", ("cells",))
+def ev_project(spark, sf_dir):
+    return _cells(spark, sf_dir).drop("value_text")
+
+
+_GAPS_SQL = _pick(
+    [
+        (f"n_{cls} > 0 AND NOT EXISTS (SELECT 1 FROM cells AS c WHERE c.question_id = "
+         f"p.question_id AND c.source = '{source}')", text)
+        for (cls, source), text in fv.MISSING_EVIDENCE.items()
+    ]
+    + [(f"{_in('country')} AND {_in('economics')}", fv.COUNTRY_ECONOMICS_LIMITATION),
+       ("(SELECT count(DISTINCT source) FROM cells AS c WHERE c.question_id = p.question_id) "
+        "= 1", fv.SUMMARY_ONLY_LIMITATION)]
+)
+
+
+@query(
+    "ev_limitations",
+    f"SELECT question_id, {_listed(_GAPS_SQL)} AS limitations FROM plan AS p",
+    ("plan", "cells"),
+)
+def ev_limitations(spark, sf_dir):
+    return evidence(spark, sf_dir).select(
+        "question_id", F.array_join(ev.limitations(), "|").alias("limitations")
+    )
+
+
+def _first_sql(names) -> str:
+    return "coalesce(" + ", ".join([*[f"m['{n}']" for n in names], "NULL"]) + ")"
+
+
+def _value_sql(metric: str) -> str:
+    whens = []
+    for name, candidates in fv.METRIC_CANDIDATES.items():
+        value = _first_sql(candidates)
+        if name in fv.RATE_PARTS:
+            above, below = (_first_sql(p) for p in fv.RATE_PARTS[name])
+            value = (
+                f"coalesce({value}, CASE WHEN {below} <> 0 THEN {above} / {below} END)"
+            )
+        whens.append(f"WHEN '{name}' THEN {value}")
+    return f"CASE {metric} {' '.join(whens)} END"
+
+
+common(
+    "row_values",
+    f"""SELECT question_id, source, entity, detail, period, primary_metric,
+               {_value_sql("primary_metric")} AS value,
+               m['gross_premium_usd'] AS gross FROM (
+            SELECT c.question_id, c.source, c.entity, c.detail, c.period, p.primary_metric,
+                   map(list(c.column_name), list(c.value)) AS m
+            FROM cells AS c JOIN plan AS p USING (question_id)
+            GROUP BY 1, 2, 3, 4, 5, 6) AS r""",
+    ("cells", "plan"),
+)
+
+
+@query(
+    "metric_fallback",
+    """SELECT question_id, source, entity, detail, period, primary_metric, value
+       FROM row_values""",
+    ("row_values",),
+)
+def metric_fallback(spark, sf_dir):
+    rows = evidence(spark, sf_dir).select(
+        "question_id", "primary_metric", F.inline("evidence")
+    ).select("question_id", "primary_metric", "source", F.explode("rows").alias("row"))
+    value = ev.metric_value(F.col("row.cells"), F.col("primary_metric"))
+    detail = F.when(F.col("source") == "master_contract_network_premium", F.col("row.detail"))
+    return rows.select(
+        "question_id", "source", "row.entity", detail.alias("detail"), "row.period",
+        "primary_metric", value.alias("value"),
+    )
+
+
+def _held(source: str) -> str:
+    return (
+        f"EXISTS (SELECT 1 FROM cells AS c WHERE c.question_id = p.question_id "
+        f"AND c.source = '{source}')"
+    )
+
+
+_COMPARED_SQL = f"""CASE
+    WHEN {_in("master_contract")} AND {_held("master_contract_network_premium")}
+         AND list_has_any(metrics, ['gross_premium_usd', 'net_to_gross_ratio',
+                                    'tpa_to_gross_ratio']) THEN 'master_contract_network_premium'
+    WHEN {_in("demographic")} AND {_held("age_bucket_review")} THEN 'age_bucket_review'
+    WHEN n_payer_countries > 0 THEN CASE WHEN {_held("monthly_country_kpis")}
+         THEN 'monthly_country_kpis' ELSE 'none' END
+    WHEN n_policy_types > 0 THEN CASE WHEN {_held("policy_type_review")}
+         THEN 'policy_type_review' ELSE 'none' END
+    WHEN {_in("payer")} AND {_held("payer_review")} THEN 'payer_review'
+    WHEN {_in("adoption")} AND {_held("mobile_by_payer")} THEN 'mobile_by_payer'
+    ELSE 'none' END"""
+common("compared", f"SELECT question_id, {_COMPARED_SQL} AS compared FROM plan AS p",
+       ("plan", "cells"))
+common(
+    "candidates",
+    """SELECT r.question_id, r.primary_metric, r.entity, r.value
+       FROM compared AS k JOIN row_values AS r
+         ON r.question_id = k.question_id AND r.source = k.compared
+       WHERE k.compared <> 'master_contract_network_premium' AND r.value IS NOT NULL
+         AND r.entity IS NOT NULL
+       QUALIFY r.period IS NULL OR r.period = max(r.period)
+               OVER (PARTITION BY r.question_id, r.entity)
+       UNION ALL
+       SELECT r.question_id, r.primary_metric, r.entity,
+              cast(sum(round(r.gross * 1e6)) AS bigint) / 1e6
+       FROM compared AS k JOIN row_values AS r
+         ON r.question_id = k.question_id AND r.source = k.compared
+       WHERE k.compared = 'master_contract_network_premium'
+         AND r.primary_metric = 'gross_premium_usd' AND r.gross IS NOT NULL
+       GROUP BY 1, 2, 3""",
+    ("compared", "row_values"),
+)
+
+
+@query(
+    "entity_extremes",
+    """SELECT question_id, count(*) AS entities,
+              arg_min(entity, struct_pack(value := value, entity := entity)) AS low_entity,
+              min(value) AS low_value,
+              arg_max(entity, struct_pack(value := value, entity := entity)) AS high_entity,
+              max(value) AS high_value, max(value) - min(value) AS gap,
+              CASE WHEN any_value(primary_metric) = 'tpa_to_gross_ratio'
+                   THEN arg_max(entity, struct_pack(value := value, entity := entity))
+                   WHEN count(*) > 1 AND any_value(primary_metric) IN (
+                        'app_penetration_rate', 'net_to_gross_ratio')
+                   THEN arg_min(entity, struct_pack(value := value, entity := entity)) END
+                  AS priority_entity
+       FROM candidates GROUP BY 1""",
+    ("candidates",),
+)
+def entity_extremes(spark, sf_dir):
+    found = an.with_extremes(evidence(spark, sf_dir)).where("extremes IS NOT NULL")
+    return found.select("question_id", "extremes.*")
+
+
+@query(
+    "q_trend",
+    """SELECT question_id, source, period, value, previous_period, previous_value FROM (
+           SELECT question_id, source, period, value,
+                  lag(period) OVER w AS previous_period, lag(value) OVER w AS previous_value,
+                  row_number() OVER (PARTITION BY question_id, source ORDER BY period DESC) AS n
+           FROM row_values
+           WHERE source IN ('monthly_kpis', 'premium_by_year') AND value IS NOT NULL
+           WINDOW w AS (PARTITION BY question_id, source ORDER BY period)) AS l
+       WHERE n = 1 AND previous_period IS NOT NULL
+       QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY source) = 1""",
+    ("row_values",),
+)
+def q_trend(spark, sf_dir):
+    found = an.with_trend(evidence(spark, sf_dir)).where("trend IS NOT NULL")
+    return found.select("question_id", "trend.*")
+
+
+_CATALOG_SQL = " UNION ALL ".join(
+    f"SELECT '{s}' AS source, '{m}' AS metric, '{text}' AS description"
+    for s, metrics in fv.METRIC_CATALOG.items()
+    for m, text in metrics.items()
+)
+
+
+@query(
+    "metric_catalog",
+    f"""SELECT d.source, d.metric, d.description, count(c.question_id) AS shown_cells
+        FROM ({_CATALOG_SQL}) AS d LEFT JOIN cells AS c
+          ON c.source = d.source AND c.column_name = d.metric GROUP BY 1, 2, 3""",
+    ("cells",),
+)
+def metric_catalog(spark, sf_dir):
+    """The metric dictionary with how often the evidence shows each metric."""
+    shown = (
+        _cells(spark, sf_dir)
+        .groupBy("source", F.col("column_name").alias("metric"))
+        .agg(F.count(F.lit(1)).alias("shown_cells"))
+    )
+    return rs.metric_catalog(spark).join(shown, ["source", "metric"], "left").na.fill(
+        0, subset=["shown_cells"]
+    )
+
+
+def _money_sql(v: str) -> str:
+    return (
+        f"CASE WHEN abs({v}) >= 1e9 THEN format('${{:,.1f}}bn', {v} / 1e9) "
+        f"WHEN abs({v}) >= 1e6 THEN format('${{:,.1f}}m', {v} / 1e6) "
+        f"WHEN abs({v}) >= 1e3 THEN format('${{:,.1f}}k', {v} / 1e3) "
+        f"ELSE format('${{:,.0f}}', {v}) END"
+    )
+
+
+@query(
+    "format_metric",
+    f"""SELECT month_end, payer_country, {_money_sql("coalesce(gross_premium_usd, 0)")} AS money,
+               format('{{:.1f}}%', cast(active_registered_users AS double)
+                      / nullif(active_population, 0) * 100) AS share,
+               format('{{:,.0f}}', cast(active_population AS double)) AS whole,
+               CASE WHEN active_population >= 1000000
+                    THEN format('{{:,.1f}}m', active_population / 1e6)
+                    WHEN active_population >= 1000
+                    THEN format('{{:,.1f}}k', active_population / 1e3)
+                    ELSE format('{{:,.0f}}', cast(active_population AS double)) END AS compact
+        FROM country_kpis""",
+    ("country_kpis",),
+)
+def format_metrics(spark, sf_dir):
+    members = F.col("active_population")
+    share = F.try_divide("active_registered_users", "active_population")
+    return frames(spark, sf_dir)["monthly_country_kpis"].select(
+        "month_end", "payer_country", money(F.col("gross_premium_usd")).alias("money"),
+        percent(share).alias("share"),
+        format_metric(F.lit("active_population"), members.cast("double")).alias("whole"),
+        compact_number(members).alias("compact"),
+    )
+
+
+# --- answers and records (no SQL form) -----------------------------------------------
+
+
+@query("answer_text")
+def answer_text(spark, sf_dir):
+    return an.answer_questions(evidence(spark, sf_dir)).select("question_id", "answer")
+
+
+@query("ev_context_json")
+def ev_context_json(spark, sf_dir):
+    ready = evidence(spark, sf_dir).withColumn("limitations", ev.limitations())
+    return ready.select(
+        "question_id", an.context_json(F.lit(an.ALL_PORTFOLIO)).alias("context_json")
+    )
+
+
+@query("prompt_text")
+def prompt_text(spark, sf_dir):
+    ready = evidence(spark, sf_dir).withColumn("limitations", ev.limitations())
+    context = an.context_json(F.lit(an.ALL_PORTFOLIO))
+    return ready.select(
+        "question_id", an.prompt_text(F.col("question"), context).alias("prompt")
+    )
+
+
+@query("all_metrics_json")
+def all_metrics_json(spark, sf_dir):
+    return an.aggregate_rows(frames(spark, sf_dir))
+
+
+def _evaluations(spark, sf_dir) -> str:
+    def write(path):
+        batch.answer_batch(
+            spark, questions(spark, sf_dir), aggregates(spark, sf_dir), f"{path}/work",
+            f"{path}/records",
+        )
+
+    return stored(spark, sf_dir, "evaluations", write)
+
+
+@query(
+    "eval_sink",
+    """SELECT question, focus AS question_focus, '["' || array_to_string(intents, '","')
+              || '"]' AS intents_json, 4 AS schema_version FROM plan""",
+    ("plan",),
+)
+def eval_sink(spark, sf_dir):
+    records = spark.read.parquet(f"{_evaluations(spark, sf_dir)}/records")
+    return records.select("question", "question_focus", "intents_json", "schema_version")
+
+
+@query(
+    "eval_scan",
+    """SELECT focus AS question_focus, metrics[1] AS first_metric, count(*) AS records
+       FROM plan GROUP BY 1, 2""",
+    ("plan",),
+)
+def eval_scan(spark, sf_dir):
+    records = spark.read.parquet(f"{_evaluations(spark, sf_dir)}/records")
+    first = F.get_json_object("requested_metrics_json", "$[0]").alias("first_metric")
+    return records.groupBy("question_focus", first).agg(F.count(F.lit(1)).alias("records"))
