@@ -9,6 +9,7 @@ from covermart.fixed_values import MISSING_TOKENS, UNASSIGNED
 
 # Space characters (Unicode class Zs). Tabs and line breaks are kept.
 _SPACES = "   " + "".join(chr(c) for c in range(0x2000, 0x200B)) + "  　"
+_LONGEST_MISSING = max(map(len, MISSING_TOKENS))
 _NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 _TIME = r"[0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?"
 _ISO_DATE = r"^([0-9]{4})[-/ ]([0-9]{1,2})[-/ ]([0-9]{1,2})"
@@ -17,14 +18,15 @@ _ISO_DATE = r"^([0-9]{4})[-/ ]([0-9]{1,2})[-/ ]([0-9]{1,2})"
 def clean_text(raw: Column) -> Column:
     """Trimmed text, with every spelling of "missing" as NULL."""
     text = F.btrim(raw.cast("string"), F.lit(_SPACES))
-    return F.when(~F.lower(text).isin(*MISSING_TOKENS), text)
+    known = (F.length(text) > _LONGEST_MISSING) | ~F.lower(text).isin(*MISSING_TOKENS)
+    return F.when(known, text)
 
 
 def parse_number(raw: Column) -> Column:
     """Number without thousands commas, ``$``, ``USD`` or spaces; NULL when malformed."""
     digits = F.translate(clean_text(raw), ",$", "")
     digits = F.replace(F.replace(digits, F.lit("USD"), F.lit("")), F.lit(" "), F.lit(""))
-    return F.when(digits.rlike(_NUMBER), digits.try_cast("double"))
+    return F.regexp_extract(digits, _NUMBER, 0).try_cast("double")
 
 
 def parse_integer(raw: Column) -> Column:

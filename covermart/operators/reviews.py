@@ -1,4 +1,11 @@
-"""Aggregates over the policies of one scope."""
+"""Aggregates over the policies of one scope.
+
+Each review needs several exact distinct counts beside its sums. Every counted key becomes
+a row of its own, ``(group, kind, key)``, and is made distinct once; then plain counts are
+enough. The reduction starts before the shuffle and is keyed by group and key together, so
+a payer that holds much of the portfolio is still spread over all tasks. Money is summed on
+its own, and the two small results are added together.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +13,80 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covermart.functions.clean import unassigned
-from covermart.functions.money import MONEY_COLUMNS, ratio, sum_usd, sum_usd_or_zero
+from covermart.functions.money import (
+    MONEY_COLUMNS,
+    dollars,
+    micro,
+    ratio,
+    sum_micro,
+    sum_usd,
+    sum_usd_or_zero,
+)
 
 PAYER_ROWS = 25
 POLICY_TYPE_ROWS = 20
+_KEYS = {
+    "beneficiary": "beneficiary_key",
+    "user": "registered_user_key",
+    "contract": "master_contract_key",
+}
+
+
+def _key_counts(scoped: DataFrame, by: dict[str, Column], counts: dict[str, str]) -> DataFrame:
+    """Exact distinct counts per group; ``counts`` maps a result name to a kind of key.
+
+    The kind ``linked`` counts beneficiaries that have a registered user.
+    """
+    kinds = {"beneficiary" if k == "linked" else k for k in counts.values()}
+    linked = F.col("registered_user_key").isNotNull()
+    keys = F.array(
+        *[
+            F.struct(
+                F.lit(kind).alias("kind"),
+                F.col(column).alias("key"),
+                (linked if kind == "beneficiary" else F.lit(False)).alias("linked"),
+            )
+            for kind, column in _KEYS.items()
+            if kind in kinds
+        ]
+    )
+    groups = [column.alias(name) for name, column in by.items()]
+    distinct = (
+        scoped.select(*groups, F.inline(keys))
+        .where("key IS NOT NULL")
+        .groupBy(*by, "kind", "key")
+        .agg(F.max("linked").alias("linked"))
+    )
+    return distinct.groupBy(*by).agg(
+        *[
+            F.count_if(F.col("linked") if kind == "linked" else F.col("kind") == kind).alias(name)
+            for name, kind in counts.items()
+        ]
+    )
+
 
+def _measures(
+    scoped: DataFrame, by: dict[str, Column], counts: dict[str, str], money: bool = True
+) -> DataFrame:
+    """Row count, distinct counts and money totals per group.
 
-def _linked_beneficiary() -> Column:
-    return F.when(F.col("registered_user_key").isNotNull(), F.col("beneficiary_key"))
+    A total is NULL when a group has no amount, and a group without keys counts 0.
+    """
+    amounts = MONEY_COLUMNS if money else ()
+    totals = scoped.groupBy(*[column.alias(name) for name, column in by.items()]).agg(
+        F.count(F.lit(1)).alias("policy_records"),
+        *[sum_micro(micro(F.col(c))).alias(c) for c in amounts],
+    )
+    return (
+        _key_counts(scoped, by, counts)
+        .unionByName(totals, allowMissingColumns=True)
+        .groupBy(*by)
+        .agg(
+            F.coalesce(F.sum("policy_records"), F.lit(0)).alias("policy_records"),
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts],
+            *[dollars(F.sum(c)).alias(c) for c in amounts],
+        )
+    )
 
 
 def _rates(review: DataFrame) -> DataFrame:
@@ -28,25 +101,31 @@ def _rates(review: DataFrame) -> DataFrame:
 
 
 def _review(scoped: DataFrame, dimension: str) -> DataFrame:
-    grouped = scoped.groupBy(unassigned(F.col(dimension)).alias(dimension)).agg(
-        F.countDistinct("beneficiary_key").alias("beneficiaries"),
-        F.countDistinct("registered_user_key").alias("registered_users"),
-        F.countDistinct(_linked_beneficiary()).alias("registered_beneficiaries"),
-        *[sum_usd(c) for c in MONEY_COLUMNS],
+    measures = _measures(
+        scoped,
+        {dimension: unassigned(F.col(dimension))},
+        {
+            "beneficiaries": "beneficiary",
+            "registered_users": "user",
+            "registered_beneficiaries": "linked",
+        },
     )
-    return _rates(grouped)
+    return _rates(measures.drop("policy_records"))
 
 
 def portfolio_summary(scoped: DataFrame) -> DataFrame:
     """One row of counts, exact distinct counts and money; always one row."""
-    return scoped.agg(
-        F.count(F.lit(1)).alias("policy_records"),
-        F.countDistinct("beneficiary_key").alias("unique_beneficiaries"),
-        F.countDistinct("master_contract_key").alias("master_contracts"),
-        F.countDistinct("registered_user_key").alias("registered_users"),
-        F.countDistinct(_linked_beneficiary()).alias("registered_beneficiaries"),
-        *[sum_usd_or_zero(c) for c in MONEY_COLUMNS],
+    measures = _measures(
+        scoped,
+        {},
+        {
+            "unique_beneficiaries": "beneficiary",
+            "master_contracts": "contract",
+            "registered_users": "user",
+            "registered_beneficiaries": "linked",
+        },
     )
+    return measures.na.fill(0.0, subset=list(MONEY_COLUMNS))
 
 
 def latest_active(summary: DataFrame, active_population: DataFrame) -> DataFrame:
@@ -63,10 +142,10 @@ def latest_active(summary: DataFrame, active_population: DataFrame) -> DataFrame
 
 def premium_by_year(scoped: DataFrame) -> DataFrame:
     """Distinct members and users, penetration and money by underwriting year."""
-    grouped = scoped.groupBy("uw_year").agg(
-        F.countDistinct("beneficiary_key").alias("beneficiaries"),
-        F.countDistinct("registered_user_key").alias("registered_users"),
-        *[sum_usd(c) for c in MONEY_COLUMNS],
+    grouped = _measures(
+        scoped,
+        {"uw_year": F.col("uw_year")},
+        {"beneficiaries": "beneficiary", "registered_users": "user"},
     )
     return grouped.select(
         "uw_year", "beneficiaries", "registered_users",
@@ -114,12 +193,13 @@ def age_bucket_review(scoped: DataFrame) -> DataFrame:
 
 def policy_type_review(scoped: DataFrame) -> DataFrame:
     """The policy types with the largest gross premium; ties go by name."""
+    measures = _measures(
+        scoped,
+        {"policy_type": unassigned(F.col("policy_type"))},
+        {"beneficiaries": "beneficiary"},
+    )
     return (
-        scoped.groupBy(unassigned(F.col("policy_type")).alias("policy_type"))
-        .agg(
-            F.countDistinct("beneficiary_key").alias("beneficiaries"),
-            *[sum_usd(c) for c in MONEY_COLUMNS],
-        )
+        measures.drop("policy_records")
         .orderBy(F.desc_nulls_last("gross_premium_usd"), "policy_type")
         .limit(POLICY_TYPE_ROWS)
     )
@@ -128,13 +208,18 @@ def policy_type_review(scoped: DataFrame) -> DataFrame:
 def mobile_by_payer_all(scoped: DataFrame) -> DataFrame:
     """Registered users, penetration and linked coverage of every payer."""
     members, users = F.col("unique_beneficiaries"), F.col("unique_registered_users")
+    measures = _measures(
+        scoped,
+        {"payer_name": unassigned(F.col("payer_name"))},
+        {
+            "unique_beneficiaries": "beneficiary",
+            "unique_registered_users": "user",
+            "linked_beneficiaries": "linked",
+        },
+        money=False,
+    )
     return (
-        scoped.groupBy(unassigned(F.col("payer_name")).alias("payer_name"))
-        .agg(
-            F.countDistinct("beneficiary_key").alias("unique_beneficiaries"),
-            F.countDistinct("registered_user_key").alias("unique_registered_users"),
-            F.countDistinct(_linked_beneficiary()).alias("linked_beneficiaries"),
-        )
+        measures.drop("policy_records")
         .withColumns(
             {
                 "registered_user_penetration": ratio(users, members),

@@ -16,7 +16,7 @@ from covermart.sources.sinks import write_by_year
 
 ROLLUPS = ("monthly_kpis", "monthly_country_kpis", "monthly_dimension_kpis")
 TABLES = (
-    "policy_records", "member_months", *ROLLUPS, "active_population", "filter_options",
+    "policy_records", "member_months", "monthly_series", *ROLLUPS, "active_population", "filter_options",
     "mart_metadata",
 )
 
@@ -43,14 +43,13 @@ def mart_metadata(policies: DataFrame, **extra: str) -> DataFrame:
     return facts.unpivot([], [*extra, *keys], "key", "value")
 
 
-def rollup(policies: DataFrame, name: str) -> DataFrame:
-    """One stored rollup. Policies without a year are outside every scope and left out."""
-    dated = policies.where("uw_year IS NOT NULL")
+def rollup(series: DataFrame, name: str) -> DataFrame:
+    """One stored rollup from the long month-end series."""
     if name == "monthly_kpis":
-        return mo.monthly_kpis(dated)
+        return series.where(F.col("dimension") == mo.TOTAL).select(*mo.SERIES_COLUMNS)
     if name == "monthly_country_kpis":
-        return mo.monthly_country_kpis(dated)
-    return mo.monthly_dimension_kpis(dated)
+        return mo.dimension_slice(series, "payer_country")
+    return series.where(F.col("dimension").isin(*mo.ROLLUP_DIMENSIONS))
 
 
 def build_mart(spark: SparkSession, source: str, folder: str) -> None:
@@ -62,13 +61,22 @@ def write_mart(spark: SparkSession, policies: DataFrame, folder: str, source: st
     """Replace every stored table from policies with coverage dates.
 
     Each fact is written once and read back, so the rollups start from stored columns and
-    a lost executor never repeats the cleaning.
+    a lost executor never repeats the cleaning. Stored policies are already in folders by
+    year, so their months are written without another shuffle.
     """
     write_by_year(policies, f"{folder}/policy_records")
     stored = spark.read.parquet(f"{folder}/policy_records")
-    write_by_year(member_months(stored), f"{folder}/member_months")
+    member_months(stored).write.mode("overwrite").partitionBy("uw_year").parquet(
+        f"{folder}/member_months"
+    )
+    # Policies without a year are outside every scope, so the rollups leave them out. All
+    # dimensions are computed in one pass and split afterwards.
+    mo.monthly_series(stored.where("uw_year IS NOT NULL"), mo.SERIES_DIMENSIONS).write.mode(
+        "overwrite"
+    ).parquet(f"{folder}/monthly_series")
+    series = spark.read.parquet(f"{folder}/monthly_series")
     for name in ROLLUPS:
-        rollup(stored, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+        rollup(series, name).write.mode("overwrite").parquet(f"{folder}/{name}")
     tables = {
         "active_population": mo.active_population(spark.read.parquet(f"{folder}/monthly_kpis")),
         "filter_options": filter_options(stored),
