@@ -95,19 +95,23 @@ class Mart:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._years: tuple[int, int] | None = None
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def year_range(self) -> tuple[int, int] | None:
         """First and last underwriting year, from the metadata; None without a valid year."""
+        if self._years:
+            return self._years
         years = {
             row["key"]: row["value"]
             for row in self.table("mart_metadata").where("key LIKE 'uw_year%'").collect()
         }
         if not years.get("uw_year_min"):
             return None
-        return int(years["uw_year_min"]), int(years["uw_year_max"])
+        self._years = int(years["uw_year_min"]), int(years["uw_year_max"])
+        return self._years
 
     def serves(self, scope: Scope) -> bool:
         """Whether the stored rollups answer a scope: no dimension, all years, all columns."""

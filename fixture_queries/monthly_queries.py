@@ -39,17 +39,32 @@ common(
 )
 
 
+def _mart(spark, sf_dir) -> Mart:
+    """All stored tables, written once per application."""
+    path = stored(
+        spark, sf_dir, "mart", lambda p: write_mart(spark, policies(spark, sf_dir), p, sf_dir)
+    )
+    return Mart(spark, path)
+
+
+def _full_scope(mart: Mart) -> Scope:
+    return Scope(*mart.year_range())
+
+
 def kpis(spark, sf_dir):
-    return mo.monthly_kpis(dated_policies(spark, sf_dir))
+    """Whole-portfolio series of the full scope, which the stored rollups answer."""
+    mart = _mart(spark, sf_dir)
+    return mart.monthly(_full_scope(mart))["monthly_kpis"]
 
 
 def country_kpis(spark, sf_dir):
-    return mo.monthly_country_kpis(dated_policies(spark, sf_dir))
+    mart = _mart(spark, sf_dir)
+    return mart.monthly(_full_scope(mart))["monthly_country_kpis"]
 
 
 def network_kpis(spark, sf_dir):
-    series = mo.monthly_series(dated_policies(spark, sf_dir), ("network_type",), total=False)
-    return mo.dimension_slice(series, "network_type")
+    mart = _mart(spark, sf_dir)
+    return mart.monthly(_full_scope(mart))["monthly_network_type_kpis"]
 
 
 @query(
@@ -96,7 +111,7 @@ def registered_as_of(spark, sf_dir):
 
 @query("monthly_kpis", "SELECT * FROM kpis", ("kpis",))
 def monthly_kpis(spark, sf_dir):
-    return kpis(spark, sf_dir)
+    return mo.monthly_kpis(dated_policies(spark, sf_dir))
 
 
 @query("active_population", "SELECT month_end, active_population FROM kpis", ("kpis",))
@@ -106,7 +121,7 @@ def active_population(spark, sf_dir):
 
 @query("monthly_country_kpis", "SELECT * FROM country_kpis", ("country_kpis",))
 def monthly_country_kpis(spark, sf_dir):
-    return country_kpis(spark, sf_dir)
+    return mo.monthly_country_kpis(dated_policies(spark, sf_dir))
 
 
 _DIMENSIONS_SQL = " UNION ALL ".join(
@@ -192,19 +207,10 @@ def split_grouping_sets(spark, sf_dir):
     return _stack_frames(mo.split_grouping_sets(metrics))
 
 
-def _mart(spark, sf_dir) -> Mart:
-    """All stored tables, written once per application."""
-    path = stored(
-        spark, sf_dir, "mart", lambda p: write_mart(spark, policies(spark, sf_dir), p, sf_dir)
-    )
-    return Mart(spark, path)
-
-
 @query("rollup_route", _SPLIT_SQL, ("scoped_months",))
 def rollup_route(spark, sf_dir):
     mart = _mart(spark, sf_dir)
-    first, last = mart.year_range()
-    return _stack_frames(mart.monthly(Scope(first, last)))
+    return _stack_frames(mart.monthly(_full_scope(mart)))
 
 
 @query(
