@@ -727,8 +727,8 @@ def entity_extremes(spark, sf_dir):
     return found.select("question_id", "extremes.*")
 
 
-@query(
-    "q_trend",
+common(
+    "trends",
     """SELECT question_id, source, period, value, previous_period, previous_value FROM (
            SELECT question_id, source, period, value,
                   lag(period) OVER w AS previous_period, lag(value) OVER w AS previous_value,
@@ -740,6 +740,8 @@ def entity_extremes(spark, sf_dir):
        QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY source) = 1""",
     ("row_values",),
 )
+
+@query("q_trend", "SELECT * FROM trends", ("trends",))
 def q_trend(spark, sf_dir):
     found = an.with_trend(evidence(spark, sf_dir)).where("trend IS NOT NULL")
     return found.select("question_id", "trend.*")
@@ -805,10 +807,131 @@ def format_metrics(spark, sf_dir):
     )
 
 
-# --- answers and records (no SQL form) -----------------------------------------------
+# --- answers and records -------------------------------------------------------------
+
+
+common(
+    "extremes",
+    """SELECT question_id, any_value(primary_metric) AS metric, count(*) AS n,
+              arg_min(entity, struct_pack(value := value, entity := entity)) AS low,
+              min(value) AS low_value,
+              arg_max(entity, struct_pack(value := value, entity := entity)) AS high,
+              max(value) AS high_value
+       FROM candidates GROUP BY 1""",
+    ("candidates",),
+)
+common(
+    "scope_values",
+    """SELECT question_id, max(value) FILTER (column_name = 'unique_beneficiaries') AS members,
+              max(value) FILTER (column_name = 'gross_premium_usd') AS gross,
+              max(value) FILTER (column_name = 'net_premium_usd') AS net
+       FROM cells WHERE source = 'summary' GROUP BY 1""",
+    ("cells",),
+)
+_RATE_LIST = "('app_penetration_rate', 'net_to_gross_ratio', 'tpa_to_gross_ratio')"
+_COUNT_LIST = "('active_population', 'active_registered_users', 'unique_beneficiaries')"
+
+
+def _metric_sql(metric: str, value: str) -> str:
+    return (
+        f"CASE WHEN {metric} IN {_RATE_LIST} THEN format('{{:.1f}}%', {value} * 100) "
+        f"WHEN {metric} IN {_COUNT_LIST} THEN format('{{:,.0f}}', {value}) "
+        f"ELSE {_money_sql(value)} END"
+    )
+
+
+_LABEL_SQL = "CASE metric " + " ".join(
+    f"WHEN '{m}' THEN '{label}'" for m, label in fv.METRIC_LABELS.items()
+) + " END"
+_GAP_SQL = (
+    f"CASE WHEN metric IN {_RATE_LIST} THEN format('{{:.1f}} percentage points', "
+    f"abs(high_value - low_value) * 100) "
+    f"ELSE {_metric_sql('metric', 'abs(high_value - low_value)')} END"
+)
+
+
+def _when_sql(period: str) -> str:
+    return (
+        f"CASE WHEN t.source = 'monthly_kpis' THEN strftime(make_date(cast({period} // 12 AS "
+        f"bigint), cast({period} % 12 + 1 AS bigint), 1), '%b %Y') "
+        f"ELSE cast({period} AS varchar) END"
+    )
 
 
-@query("answer_text")
+common(
+    "lines",
+    f"""SELECT p.question_id, p.intents, p.primary_metric AS metric, e.n, e.low, e.high,
+               e.low_value, e.high_value, {_LABEL_SQL.replace("metric", "p.primary_metric", 1)}
+                   AS label,
+               {_metric_sql("e.metric", "e.low_value")} AS low_text,
+               {_metric_sql("e.metric", "e.high_value")} AS high_text,
+               CASE WHEN e.n IS NOT NULL THEN {_GAP_SQL.replace("metric", "e.metric")} END
+                   AS gap_text,
+               CASE WHEN t.source IS NOT NULL THEN concat(
+                   CASE t.source WHEN 'monthly_kpis' THEN 'Monthly ' ELSE 'Underwriting-year '
+                   END, {_LABEL_SQL.replace("metric", "p.primary_metric", 1)}, ' is ',
+                   {_metric_sql("p.primary_metric", "t.value")}, ' in ', {_when_sql("t.period")},
+                   ', ', CASE WHEN p.primary_metric IN {_RATE_LIST}
+                         THEN format('{{:+.1f}} percentage points',
+                                     (t.value - t.previous_value) * 100)
+                         WHEN t.previous_value = 0 THEN 'from a zero base'
+                         ELSE format('{{:.1f}}%', (t.value / t.previous_value - 1) * 100) END,
+                   ' versus ', {_when_sql("t.previous_period")}, '.') END AS trend_line,
+               CASE WHEN s.members IS NOT NULL AND s.gross IS NOT NULL THEN concat(
+                   'The applied scope covers ', format('{{:,.0f}}', s.members),
+                   ' unique beneficiaries and ', {_money_sql("s.gross")}, ' GP',
+                   CASE WHEN s.net IS NOT NULL THEN concat(' / ', {_money_sql("s.net")}, ' NP')
+                        ELSE '' END, '.') END AS scope_line,
+               {_GAPS_SQL}[1] AS gap
+        FROM plan AS p LEFT JOIN extremes AS e ON e.question_id = p.question_id
+        LEFT JOIN trends AS t ON t.question_id = p.question_id
+        LEFT JOIN scope_values AS s ON s.question_id = p.question_id""",
+    ("plan", "extremes", "trends", "scope_values", "cells"),
+)
+
+
+def _action_sql(place: int) -> str:
+    target = (
+        "coalesce(CASE WHEN metric = 'tpa_to_gross_ratio' THEN high WHEN n > 1 AND metric IN "
+        f"{_RATE_LIST} THEN low END, '{fv.DEFAULT_TARGET}')"
+    )
+    whens = " ".join(
+        f"WHEN {_in(name)} THEN replace('{fv.ACTIONS[name][place]}', '{{target}}', {target})"
+        for name in ("adoption", "economics", "population")
+    )
+    return f"CASE {whens} ELSE '{fv.ACTIONS['other'][place]}' END"
+
+
+_SINGLE_SQL = "concat(low, ' is at ', low_text, ' for ', label, '.')"
+_ANSWER_SQL = f"""
+    SELECT question_id, concat('**Executive answer**', chr(10), chr(10),
+           coalesce(headline, trend_line, scope_line, '{fv.NO_ANSWER_TEXT}'),
+           chr(10), chr(10), '**Evidence**', chr(10),
+           array_to_string(list_transform(list_slice(CASE WHEN len(shown) > 0 THEN shown
+               ELSE ['{fv.NO_EVIDENCE_TEXT}'] END, 1, 4), lambda x: concat('- ', x)), chr(10)),
+           chr(10), chr(10), '**Recommended actions**', chr(10), '1. ', {_action_sql(0)},
+           chr(10), '2. ', {_action_sql(1)}) AS answer
+    FROM (SELECT *, list_filter([entity_line, trend_line, scope_line,
+                     CASE WHEN gap IS NOT NULL THEN concat('Limitation: ', gap) END],
+                     lambda x: x IS NOT NULL) AS shown
+          FROM (SELECT *,
+              CASE WHEN n = 1 THEN {_SINGLE_SQL}
+                   WHEN metric = 'tpa_to_gross_ratio' THEN concat(high, ' has the highest ',
+                        label, ' at ', high_text, ', ', gap_text, ' above ', low, '.')
+                   WHEN metric IN {_RATE_LIST} THEN concat(high, ' leads ', low, ' on ', label,
+                        ': ', high_text, ' versus ', low_text, ', a ', gap_text, ' gap.')
+                   WHEN n > 1 THEN concat(high, ' is largest on ', label, ' at ', high_text,
+                        '; ', low, ' is at ', low_text, '.') END AS headline_raw,
+              CASE WHEN n IS NULL THEN NULL ELSE headline_raw END AS headline,
+              CASE WHEN n IS NULL THEN NULL WHEN n = 1 THEN {_SINGLE_SQL}
+                   WHEN metric = 'tpa_to_gross_ratio' THEN concat('The peer range runs from ',
+                        low, ' at ', low_text, ' to ', high, ' at ', high_text, '.')
+                   ELSE concat('The observed ', label, ' range is ', low_text, ' to ',
+                        high_text, ' across the selected entities.') END AS entity_line
+                FROM lines) AS h) AS a"""
+
+
+@query("answer_text", _ANSWER_SQL, ("lines",))
 def answer_text(spark, sf_dir):
     return an.answer_questions(evidence(spark, sf_dir)).select("question_id", "answer")
 
