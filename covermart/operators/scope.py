@@ -119,22 +119,18 @@ def match_scopes(policies: DataFrame, scopes: DataFrame) -> DataFrame:
             F.explode(F.array_distinct(F.coalesce(first["kept"], years))),
         )
     )
-    used = wanted.agg(F.collect_set("anchor")).scalar()
-    own_columns = ("uw_year", *SCOPE_COLUMNS.values())
-    own_values = F.array(
+    # At most twenty column names; knowing them keeps the policies from offering the rest.
+    used = sorted(r["anchor"] for r in wanted.select("anchor").distinct().collect())
+    offers = F.array(
         *[
             F.struct(F.lit(c).alias("anchor"), F.col(c).cast("string").alias("anchor_value"))
-            for c in own_columns
+            for c in used or ["uw_year"]
         ]
     )
-    offers = F.filter(
-        own_values,
-        lambda v: v["anchor_value"].isNotNull() & F.array_contains("used_anchors", v["anchor"]),
-    )
     offered = (
         policies.where("uw_year IS NOT NULL")
-        .withColumn("used_anchors", used)
         .select(*policies.columns, F.inline(offers))
+        .where("anchor_value IS NOT NULL")
     )
     p, s = offered.alias("p"), wanted.alias("s")
     own = F.create_map(
