@@ -51,10 +51,17 @@ def catalog_of(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def evidence_of(spark: SparkSession, routed: DataFrame, folder: str) -> DataFrame:
-    """Evidence of routed questions from stored aggregates."""
+    """Evidence of routed questions from stored aggregates.
+
+    The work per question is large for its few bytes, so questions are spread over all
+    tasks instead of by size.
+    """
     frames = read_aggregates(spark, folder)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return ev.question_evidence(
-        routed, ev.shared_evidence(frames), ev.entity_evidence(frames)
+        routed.repartition(tasks, "question_id"),
+        ev.shared_evidence(frames),
+        ev.entity_evidence(frames),
     )
 
 
