@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from covermart.fixed_values import MISSING_TOKENS, UNASSIGNED
 
 # Space characters (Unicode class Zs). Tabs and line breaks are kept.
-_SPACES = "   " + "".join(chr(c) for c in range(0x2000, 0x200B)) + "  　"
+_SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 _LONGEST_MISSING = max(map(len, MISSING_TOKENS))
 _NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 _TIME = r"[0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?"

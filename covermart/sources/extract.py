@@ -51,7 +51,7 @@ def delimiter_of(line: Column) -> Column:
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
     """Delimiter of a text extract, from its first line that is not blank."""
-    lines = spark.read.text(path).where(F.trim(F.translate("value", "\t﻿", "")) != "")
+    lines = spark.read.text(path).where(F.trim(F.translate("value", "\t\ufeff", "")) != "")
     found = lines.select(delimiter_of(F.col("value")).alias("delimiter")).first()
     if found is None:
         return "\t" if path.lower().endswith(".tsv") else ","
@@ -63,7 +63,7 @@ def _distinct_names(fields: list[str | None]) -> list[str]:
     seen: set[str] = set()
     names = []
     for place, field in enumerate(fields):
-        name = (field or "").lstrip("﻿") or f"column{place}"
+        name = (field or "").lstrip("\ufeff") or f"column{place}"
         if name.lower() in seen:
             name = f"{name}_{place}"
         seen.add(name.lower())

@@ -24,8 +24,9 @@ def write_by_year(rows: DataFrame, path: str) -> None:
 
 def append_evaluations(records: DataFrame, path: str) -> None:
     """Append answered questions as zstd Parquet, a folder per UTC date."""
+    utc = F.to_utc_timestamp("timestamp_utc", F.current_timezone())
     (
-        records.withColumn("date", F.to_date("timestamp_utc"))
+        records.withColumn("date", F.to_date(utc))
         .write.mode("append")
         .option("compression", "zstd")
         .partitionBy("date")

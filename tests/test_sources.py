@@ -90,7 +90,7 @@ TEXTS = {" a b ": "a b", "  None": None, "\ta": "\ta", "NA": None, "nano": "nano
         (clean.parse_number, NUMBERS),
         (clean.parse_integer, INTEGERS),
         (clean.clean_text, TEXTS),
-        (clean.clean_text, {"  x　": "x"}),
+        (clean.clean_text, {"\u00a0 x\u3000": "x", "\u2003": None}),
     ],
 )
 def test_parsers(spark, parser, cases):
