@@ -1,9 +1,11 @@
 """Aggregate evidence for every question of a routed table.
 
 Aggregates are turned into rows of one shape: an entity, a period and named cells. Rows that
-many questions share (the latest months, a top twelve) form a lookup table whose size is
-bounded by the calendar and by fixed row limits; it is broadcast, so a slice that a third
-of all questions ask for is not a hot join key. Rows of named entities are joined by entity.
+many questions share (the latest months, a top twelve) form a lookup table bounded by the
+calendar, the countries and fixed row limits. Spark checks its size and broadcasts it, so a
+slice that a third of all questions ask for is not a hot join key; were it ever too large,
+the join is shuffled and adaptive execution splits the hot keys. Rows of named entities are
+joined by entity.
 """
 
 from __future__ import annotations
@@ -365,7 +367,7 @@ def question_evidence(
     )
     from_shared = (
         wanted.where("entity IS NULL")
-        .join(F.broadcast(shared), ["source", "key"])
+        .join(shared, ["source", "key"])
         .select("question_id", "requested_metrics", "source", "rank", "rows")
     )
     rank, rows = _sliced_entity_rows()
