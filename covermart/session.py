@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
-_local_folders: dict[str, str] = {}
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as the cluster or the application names it.
 
-    Only a local session without the setting (tests, a laptop) gets a temporary folder.
+    That is `spark.checkpoint.dir`, or the folder given to `SparkContext.setCheckpointDir`.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
-    application = spark.sparkContext.applicationId
-    if application not in _local_folders:
-        _local_folders[application] = tempfile.mkdtemp(prefix="covermart-")
-    return _local_folders[application]
+    return folder.rstrip("/")

@@ -6,6 +6,7 @@ import datetime
 import decimal
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -30,6 +31,7 @@ def local_session(cpus: int = 8, memory: str = "12g") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="covermart-checks-"))
     return spark
 
 
