@@ -10,10 +10,11 @@ confirmed on the full sets.
 Pairs within a bucket are not written out. First each member is held against the bucket's most
 central member (the one whose other buckets are largest), and links found are contracted to
 components. Only members outside the bucket's largest component are then held against members
-of other components; pairs inside one component need no test, as their link changes nothing.
+of other components, once for all the buckets that two of them share, and with a longer
+signature besides; pairs inside one component need no test, as their link changes nothing.
 
-A pair of similarity 0.75 meets in no band with probability (1 - 0.75 ** 4) ** 32 = 5e-6, and
-its estimate is below `SCREEN` with less than 2e-6. Links themselves are exact.
+A pair of similarity 0.75 meets in no band with probability (1 - 0.75 ** 4) ** 32 = 5e-6. The
+margins of the estimates are five of their standard deviations. Links themselves are exact.
 """
 
 from __future__ import annotations
@@ -32,11 +33,11 @@ from covermart.llm.components import components
 
 LANES, ROWS, BITS = 128, 4, 4
 BANDS = LANES // ROWS
-PACKED = LANES * BITS // 64
 #: Estimated similarity below the limit at which a pair is still confirmed on its sets.
 MARGIN = 0.2
+#: The longer signature, made for classes that the first comparison leaves unsettled.
+MORE_LANES, MORE_BITS, MORE_MARGIN = 1024, 2, 0.08
 _FACTOR = 0x9E3779B97F4A7C15
-_NIBBLES = 0x1111111111111111
 
 _SETS = "n_shingles long, d1 long, d2 long, sig array<bigint>, bands array<bigint>"
 
@@ -75,12 +76,12 @@ def near_duplicates(
     ).withColumnRenamed("doc_id", "cls")
     leads = scratch.cut("leads", leads)
 
-    keys = leads.select("cls", F.explode("bands").alias("key"))
+    keys = leads.select("cls", F.posexplode("bands").alias("band", "key"))
     full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = scratch.cut("members", keys.join(full, "key"))
     rank = scratch.cut("rank", members.groupBy("cls").agg(F.sum("n").alias("score")))
     packs = scratch.cut(
-        "packs", leads.join(rank, "cls", "left_semi").select("cls", "n_shingles", "d1", "d2", "sig")
+        "packs", leads.join(rank, "cls", "left_semi").withColumnRenamed("n_shingles", "n")
     )
     sets = scratch.cut(
         "sets",
@@ -99,14 +100,17 @@ def near_duplicates(
         .where("u != v")
         .distinct()
     )
-    left = packs.select(F.col("cls").alias("u"), F.col("n_shingles").alias("nu"), F.col("sig").alias("su"))
-    right = packs.select(F.col("cls").alias("v"), F.col("n_shingles").alias("nv"), F.col("sig").alias("sv"))
-    likely = stars.join(left, "u").join(right, "v").where(_likely(percent)).select("u", "v", "nu", "nv")
-    links = _confirmed(scratch, "stars", likely, sets, percent)
+    short = packs.select("cls", "n", "sig")
+    likely = stars.join(_side(short, "u"), "u").join(_side(short, "v"), "v").where(
+        _sizes(percent) & _alike("sig", LANES, BITS, percent / 100 - MARGIN)
+    )
+    links = _confirmed(scratch, "stars", likely.select("u", "v", "n_u", "n_v"), sets, percent)
     labels = components(scratch, links, "round1")
 
-    placed = members.select("key", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-    placed = scratch.cut("placed", placed.select("key", "cls", F.coalesce("label", "cls").alias("label")))
+    placed = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
+        "key", "band", "cls", F.coalesce("label", "cls").alias("label")
+    )
+    placed = scratch.cut("placed", placed)
     parts = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     open_ = (
         parts.groupBy("key")
@@ -115,18 +119,28 @@ def near_duplicates(
         .select("key", F.col("top.label").alias("main"))
     )
     unsettled = scratch.cut("unsettled", placed.join(open_, "key"))
-    outside = unsettled.where("label != main").select(
-        "key", F.col("cls").alias("u"), F.col("label").alias("lu")
+    long = sets.join(unsettled.select("cls").distinct(), "cls", "left_semi").mapInArrow(
+        _more_lanes, f"cls {identity}, more array<bigint>"
+    )
+    wide = scratch.cut(
+        "wide", packs.select("cls", "n", "sig", "bands").join(long, "cls").dropDuplicates(["cls"])
+    )
+    outside = unsettled.where("label != main").withColumnsRenamed({"cls": "u", "label": "label_u"})
+    others = unsettled.select("key", F.col("cls").alias("v"), F.col("label").alias("label_v"))
+    first_shared = F.coalesce(
+        *(F.when(F.col("bands_u")[i] == F.col("bands_v")[i], F.lit(i)) for i in range(BANDS))
     )
-    others = unsettled.select("key", "main", F.col("cls").alias("v"), F.col("label").alias("lv"))
     rest = (
-        outside.join(left, "u")
-        .join(others.join(right, "v"), "key")
-        .where(_likely(percent) & F.expr("lu != lv AND (lv = main OR u < v)"))
-        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"),
-                F.when(F.col("u") < F.col("v"), F.col("nu")).otherwise(F.col("nv")).alias("nu"),
-                F.when(F.col("u") < F.col("v"), F.col("nv")).otherwise(F.col("nu")).alias("nv"))
-        .distinct()
+        outside.join(_side(wide, "u"), "u")
+        .join(others.join(_side(wide, "v"), "v"), "key")
+        .where(
+            F.expr("label_u != label_v AND (label_v = main OR u < v)")
+            & _sizes(percent)
+            & _alike("sig", LANES, BITS, percent / 100 - MARGIN)
+            & _alike("more", MORE_LANES, MORE_BITS, percent / 100 - MORE_MARGIN)
+            & (first_shared == F.col("band"))
+        )
+        .select("u", "v", "n_u", "n_v")
     )
     more = _confirmed(scratch, "rest", rest, sets, percent)
     labels = components(scratch, links.unionByName(more), "round2")
@@ -151,21 +165,30 @@ def near_duplicates(
     )
 
 
-def _likely(percent: int) -> Column:
-    """Sizes allow the similarity, and equal lanes of the signatures suggest it."""
-    least = max(0.0, percent / 100 - MARGIN)
-    chance = 1 / 2**BITS
-    most_unequal = LANES - int((chance + least * (1 - chance)) * LANES)
-    unequal = None
-    for i in range(PACKED):
-        x = F.col("su")[i].bitwiseXOR(F.col("sv")[i])
-        lane = x
-        for bit in range(1, BITS):
-            lane = lane.bitwiseOR(F.shiftrightunsigned(x, bit))
-        count = F.bit_count(lane.bitwiseAND(F.lit(_NIBBLES)))
-        unequal = count if unequal is None else unequal + count
-    sizes = F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent
-    return sizes & (unequal <= most_unequal)
+def _side(frame: DataFrame, name: str) -> DataFrame:
+    """The columns of one side of a pair."""
+    renamed = {c: f"{c}_{name}" for c in frame.columns if c != "cls"}
+    return frame.withColumnsRenamed({"cls": name, **renamed})
+
+
+def _sizes(percent: int) -> Column:
+    """The sizes of two sets allow the similarity."""
+    return F.least("n_u", "n_v") * 100 >= F.greatest("n_u", "n_v") * percent
+
+
+def _alike(name: str, lanes: int, bits: int, least: float) -> Column:
+    """Equal lanes of two packed signatures, less those by chance, suggest the similarity."""
+    chance = 1 / 2**bits
+    most_unequal = lanes - int((chance + max(least, 0.0) * (1 - chance)) * lanes)
+    marks = sum(1 << at for at in range(0, 63, bits))
+    unequal = F.lit(0)
+    for i in range(lanes * bits // 64):
+        differ = F.col(f"{name}_u")[i].bitwiseXOR(F.col(f"{name}_v")[i])
+        lane = differ
+        for bit in range(1, bits):
+            lane = lane.bitwiseOR(F.shiftrightunsigned(differ, bit))
+        unequal = unequal + F.bit_count(lane.bitwiseAND(F.lit(marks)))
+    return unequal <= most_unequal
 
 
 def _confirmed(
@@ -176,7 +199,7 @@ def _confirmed(
     second = sets.select(F.col("cls").alias("v"), F.col("shingles").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
     linked = pairs.join(first, "u").join(second, "v").where(
-        shared * 100 >= (F.col("nu") + F.col("nv") - shared) * percent
+        shared * 100 >= (F.col("n_u") + F.col("n_v") - shared) * percent
     )
     return scratch.cut(f"{name}-links", linked.select("u", "v").distinct())
 
@@ -191,18 +214,15 @@ def _shingles(words: list[bytes], hashes: WordHashes, size: int) -> np.ndarray:
 
 def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    draw = np.random.default_rng(20240117)
-    factors = (draw.integers(0, 2**31, LANES, np.uint32) << np.uint32(1)) | np.uint32(1)
-    shifts = draw.integers(0, 2**32, LANES, np.uint32)
     for batch in common.slices(batches, "body", 1_500_000):
         sets = [_shingles(x.as_py().lower().split(), hashes, words) for x in batch.column("body")]
         sizes = np.array([len(x) for x in sets], np.int64)
         digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
         pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        minima = _minima([x for x in sets if len(x)], factors, shifts)
+        minima = _minima([x for x in sets if len(x)], LANES)
         bands = np.zeros((len(sets), BANDS), np.int64)
-        packed = np.zeros((len(sets), PACKED), np.int64)
-        bands[sizes > 0], packed[sizes > 0] = _bands(minima), _packed(minima)
+        packed = np.zeros((len(sets), LANES * BITS // 64), np.int64)
+        bands[sizes > 0], packed[sizes > 0] = _bands(minima), _packed(minima, BITS)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
@@ -221,9 +241,12 @@ def _arrays(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))
 
 
-def _minima(sets: list[np.ndarray], factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
-    """Smallest value of each lane over each set."""
-    out = np.empty((len(sets), LANES), np.uint32)
+def _minima(sets: list[np.ndarray], lanes: int) -> np.ndarray:
+    """Smallest value of each lane's linear hash over each set."""
+    draw = np.random.default_rng(lanes)
+    factors = (draw.integers(0, 2**31, lanes, np.uint32) << np.uint32(1)) | np.uint32(1)
+    shifts = draw.integers(0, 2**32, lanes, np.uint32)
+    out = np.empty((len(sets), lanes), np.uint32)
     first = 0
     while first < len(sets):
         last, held = first, 0
@@ -234,7 +257,7 @@ def _minima(sets: list[np.ndarray], factors: np.ndarray, shifts: np.ndarray) ->
         lengths = np.array([len(x) for x in sets[first:last]])
         starts = np.cumsum(lengths) - lengths
         value = np.empty_like(flat)
-        for lane in range(LANES):
+        for lane in range(lanes):
             np.multiply(flat, factors[lane], out=value)
             np.add(value, shifts[lane], out=value)
             out[first:last, lane] = np.minimum.reduceat(value, starts)
@@ -250,14 +273,25 @@ def _bands(minima: np.ndarray) -> np.ndarray:
     return common.signed(key)
 
 
-def _packed(minima: np.ndarray) -> np.ndarray:
-    """The low bits of all lanes, `64 / BITS` lanes to a long."""
-    per = 64 // BITS
-    low = (minima & np.uint32(2**BITS - 1)).astype(np.uint64).reshape(len(minima), PACKED, per)
-    shift = np.arange(per, dtype=np.uint64) * np.uint64(BITS)
+def _packed(minima: np.ndarray, bits: int) -> np.ndarray:
+    """The low bits of all lanes, `64 / bits` lanes to a long."""
+    per = 64 // bits
+    low = (minima & np.uint32(2**bits - 1)).astype(np.uint64).reshape(len(minima), -1, per)
+    shift = np.arange(per, dtype=np.uint64) * np.uint64(bits)
     return common.signed(np.bitwise_or.reduce(low << shift, axis=2))
 
 
+def _more_lanes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The longer signature, from the sets."""
+    for batch in batches:
+        for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+            sets = [np.asarray(x.values).view(np.uint64) for x in part.column("shingles")]
+            packed = _packed(_minima(sets, MORE_LANES), MORE_BITS)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("cls"), _arrays(packed)], names=["cls", "more"]
+            )
+
+
 def _shingle_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in common.slices(batches, "body", 1_500_000):
