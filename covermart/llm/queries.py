@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from covermart.llm import substring_dedup
+from covermart.llm import minhash_dedup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +26,9 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that no repeated 35-word window covers."""
     docs = _table(spark, sf_dir, "documents")
     return substring_dedup.remove_repeats(spark, docs).drop("kept_text")
+
+
+@_query
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents: 5-word shingles, similarity 0.75 or more."""
+    return minhash_dedup.near_duplicates(spark, _table(spark, sf_dir, "documents"))
