@@ -72,6 +72,7 @@ def remove_repeats(
 
     anchors = scratch.cut("anchors", _map(texts.select("row", "body"), _anchors, _ANCHOR, size))
     again = anchors.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
+    again = scratch.cut("again", again)  # so that the join can split the rows of a hot group
     places = scratch.cut("places", anchors.join(again, "grp", "left_semi"))
 
     contexts = scratch.cut(
