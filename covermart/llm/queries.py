@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from covermart.llm import minhash_dedup, substring_dedup
+from covermart.llm import (
+    compression_quality,
+    differencing_shards,
+    digest_index,
+    minhash_dedup,
+    substring_dedup,
+)
+from covermart.llm.common import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +39,35 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate documents: 5-word shingles, similarity 0.75 or more."""
     return minhash_dedup.near_duplicates(spark, _table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text and the verdict of the compression bands."""
+    docs = _table(spark, sf_dir, "documents")
+    return compression_quality.quality(docs).drop("ratio", "bad_share")
+
+
+@_query
+def op6_differencing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes."""
+    return differencing_shards.shard_documents(spark, _table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against an index that is empty at first."""
+    index = digest_index.DigestIndex(spark, Scratch(spark, "index").folder)
+    return index.add(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op9_digest_index"] = r"""
+WITH rows AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
+  FROM documents
+)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       doc_id = min(doc_id) OVER g AS kept, text_sha256
+FROM rows
+WINDOW g AS (PARTITION BY text_sha256)
+"""
