@@ -11,6 +11,7 @@ from covermart.llm import (
     compression_quality,
     differencing_shards,
     digest_index,
+    family_langid,
     minhash_dedup,
     reply_chat,
     substring_dedup,
@@ -127,3 +128,14 @@ def op10_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     return trie_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query
+def op5_family_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by machines fitted outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = family_langid.held_out("doc_id")
+    model = family_langid.fit(spark, docs.where(~fold))
+    return family_langid.predict(docs, model).select(
+        "doc_id", fold.alias("held_out"), "lang_pred", "score"
+    )
