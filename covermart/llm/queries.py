@@ -13,6 +13,7 @@ from covermart.llm import (
     digest_index,
     family_langid,
     minhash_dedup,
+    raked_mixing,
     reply_chat,
     substring_dedup,
     trie_bpe,
@@ -139,3 +140,23 @@ def op5_family_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return family_langid.predict(docs, model).select(
         "doc_id", fold.alias("held_out"), "lang_pred", "score"
     )
+
+
+@_query
+def op3_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its cell's fitted weight and probability, and whether it is drawn."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    rows, mix = raked_mixing.mix(spark, docs)
+    return rows.select(
+        "doc_id",
+        f"{mix}.source",
+        f"{mix}.lang",
+        f"{mix}.topic",
+        f"{mix}.tokens",
+        F.round(f"{mix}.weight", 9).alias("weight"),
+        F.round(f"{mix}.probability", 9).alias("probability"),
+        f"{mix}.kept",
+    )
+
+
+ORACLES["op3_raked_mixing"] = raked_mixing.mixing_sql()
