@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covermart.llm import (
+    block_labeller,
     compression_quality,
     differencing_shards,
     digest_index,
@@ -160,3 +161,10 @@ def op3_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op3_raked_mixing"] = raked_mixing.mixing_sql()
+
+
+@_query
+def op7_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by a labeller fitted on a sample of the pages."""
+    pages = _table(spark, sf_dir, "pages")
+    return block_labeller.extract(pages, block_labeller.fit(spark, pages))
