@@ -66,13 +66,14 @@ def quality(
 
 def keep(docs: DataFrame, bands=BANDS, chunk: int = CHUNK, text_column: str = "text") -> DataFrame:
     """The rows of `docs`, all columns as they are, whose text passes; see `quality`."""
+    at = docs.columns.index(text_column)
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, packer = WordHashes(), zstandard.ZstdCompressor(level=LEVEL)
-        at = docs.columns.index(text_column)
         for batch in batches:
             bodies = ((x.as_py() or "").encode() for x in batch.column(at))
-            yield batch.filter(pa.array([measure(x, bands, chunk, hashes, packer)[6] for x in bodies], pa.bool_()))
+            kept = [measure(x, bands, chunk, hashes, packer)[6] for x in bodies]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(passed, docs.schema)
 
