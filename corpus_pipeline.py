@@ -27,13 +27,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each normalised text, by an index that this run starts."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     index = digest_index.DigestIndex(spark, Scratch(spark, "index").folder, id_type=id_type)
-    kept = index.add(docs).where("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256")
-    own = _free(docs, "text_sha256")
-    digest = F.lower(F.hex(digest_index.text_digest(F.col("text"))))
-    numbered = docs.withColumn(own, digest)
-    same = (F.col(own) == kept["text_sha256"]) & F.col("doc_id").eqNullSafe(kept["kept_id"])
-    rows = numbered.join(kept, same, "left_semi")
-    return rows.dropDuplicates([own]).select(*docs.columns)
+    own, sha, first = (_free(docs, x) for x in ("own_sha256", "kept_sha256", "kept_id"))
+    kept = index.add(docs).where("kept").select(
+        F.col("doc_id").alias(first), F.col("text_sha256").alias(sha)
+    )
+    hashed = docs.withColumn(own, F.lower(F.hex(digest_index.text_digest(F.col("text")))))
+    same = (F.col(own) == F.col(sha)) & F.col("doc_id").eqNullSafe(F.col(first))
+    return hashed.join(kept, same, "left_semi").dropDuplicates([own]).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
