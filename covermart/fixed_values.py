@@ -160,11 +160,9 @@ LOWEST_WORDS = ("lowest", "least", "worst", "lagging", "weakest")
 RANK_BY_ADOPTION_WORDS = ("app", "mobile", "penetration", "adoption", "registered")
 RANK_BY_FEE_WORDS = ("tpa", "fee", "cost", "margin", "ratio")
 
-# Sizes of the evidence handed to one answer.
-QUESTION_MAX_CHARS = 800
+# Months of a trend, and entities that evidence lists when none is named.
 TRAILING_ROWS = 24
 TOP_ENTITIES = 12
-PROMPT_MAX_CHARS = 18_000
 
 # Evidence table -> metric -> description.
 METRIC_CATALOG = {
@@ -421,7 +419,6 @@ PROMPT_INTRO = (
 )
 PROMPT_QUESTION_HEADING = "Executive question:\n"
 PROMPT_EVIDENCE_HEADING = "\n\nAggregate evidence (JSON):\n"
-PROMPT_TRUNCATED = "\n[Aggregate evidence truncated due to size.]"
 
 # Lower-case letters whose case folding contains plain ASCII letters.
 CASE_FOLDS = {

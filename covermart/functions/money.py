@@ -1,8 +1,7 @@
 """Exact money sums and guarded ratios.
 
 A sum of doubles depends on the order in which tasks finish, so money is added as whole
-micro-dollars. The sum is taken as a decimal: a long total would overflow at about nine
-trillion dollars, which a very large portfolio can reach.
+micro-dollars. They are decimals: a long would overflow at about nine trillion dollars.
 """
 
 from __future__ import annotations
@@ -15,8 +14,8 @@ MICRO = 1_000_000
 
 
 def micro(dollars: Column) -> Column:
-    """Dollars as whole micro-dollars (long)."""
-    return F.rint(dollars * MICRO).try_cast("long")
+    """Dollars as whole micro-dollars (decimal of 28 digits)."""
+    return F.rint(dollars * MICRO).try_cast("decimal(28,0)")
 
 
 def dollars(micros: Column) -> Column:
@@ -26,7 +25,21 @@ def dollars(micros: Column) -> Column:
 
 def sum_micro(micros: Column) -> Column:
     """Exact total of micro-dollars; NULL when every value is NULL."""
-    return F.sum(micros.cast("decimal(20,0)"))
+    return F.sum(micros)
+
+
+def share_of_months(micros: Column, months: Column) -> Column:
+    """Micro-dollars over a number of months, to eleven decimal places."""
+    return micros.cast("decimal(26,0)") / months.cast("decimal(10,0)")
+
+
+def whole_micros(shares: Column) -> Column:
+    """A sum of shares to the nearest micro-dollar, a half upwards.
+
+    The margin covers what eleven places lose, so that a half is a half however the shares
+    were grouped.
+    """
+    return F.floor(shares + F.lit("0.5001").cast("decimal(5,4)"))
 
 
 def sum_usd(column: str) -> Column:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from covermart.fixed_values import (
     CASE_FOLDS,
     COUNT_METRICS,
-    QUESTION_MAX_CHARS,
     RATE_METRICS,
 )
 
@@ -18,10 +17,8 @@ _BLANKS = r"[\t-\r\x1c-\x20\x85\p{Z}]+"
 
 
 def clean_question(question: Column) -> Column:
-    """Runs of white space as one space, outer space removed, cut to the question length."""
-    return F.substring(
-        F.trim(F.regexp_replace(question, _BLANKS, " ")), 1, QUESTION_MAX_CHARS
-    )
+    """Runs of white space as one space, outer space removed."""
+    return F.trim(F.regexp_replace(question, _BLANKS, " "))
 
 
 def normalize_phrase(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covermart.fixed_values import SCOPE_COLUMNS
-from covermart.functions.money import MONEY_COLUMNS, dollars, micro
+from covermart.functions.money import MONEY_COLUMNS, dollars, micro, share_of_months
 
 FIRST_FALLBACK_YEAR, LAST_FALLBACK_YEAR = 1900, 2100
 
@@ -69,11 +69,6 @@ def covered_span(policies: DataFrame) -> DataFrame:
     )
 
 
-def monthly_share(column: str) -> Column:
-    """One covered month's equal share of a dollar column, in whole micro-dollars."""
-    return F.call_function("div", micro(F.col(column)), F.col("month_count"))
-
-
 def month_expand(policies: DataFrame, columns: list[str]) -> DataFrame:
     """One row per policy and covered month-end, with ``columns`` of the policy."""
     return (
@@ -84,15 +79,30 @@ def month_expand(policies: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def member_months(policies: DataFrame) -> DataFrame:
-    """Every covered month of every policy with its equal share of the money."""
+    """Every covered month of every policy with its share of the money.
+
+    Shares are whole micro-dollars, equal but for the remainder of the division, which goes
+    to the first months one by one: a policy's shares add up to its money.
+    """
     keep = [
         "uw_year", *SCOPE_COLUMNS.values(),
         "beneficiary_key", "registered_user_key", "registration_date",
     ]
-    shares = [dollars(monthly_share(c)).alias(c) for c in MONEY_COLUMNS]
+    whole = {c: micro(F.col(c)) for c in MONEY_COLUMNS}
+    each = {f"{c}_each": F.floor(share_of_months(F.col(c), F.col("month_count"))) for c in whole}
+    place = F.col("month") - F.col("first_month")
+    shares = [
+        dollars(
+            F.col(f"{c}_each")
+            + F.when(place < F.col(c) - F.col(f"{c}_each") * F.col("month_count"), 1).otherwise(0)
+        ).alias(c)
+        for c in whole
+    ]
     return (
         covered_span(policies)
-        .select(*keep, *shares, "first_month", "last_month")
+        .select(*keep, *[v.alias(c) for c, v in whole.items()], "first_month", "last_month",
+                "month_count")
+        .withColumns(each)
         .withColumn("month", F.explode(F.sequence("first_month", "last_month")))
-        .select(month_end(F.col("month")).alias("month_end"), *keep, *MONEY_COLUMNS)
+        .select(month_end(F.col("month")).alias("month_end"), *keep, *shares)
     )

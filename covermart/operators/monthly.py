@@ -10,7 +10,8 @@ the work is done on runs, never on exploded months:
 3. Along a member's runs, each run keeps only the months that earlier runs left uncovered.
    Runs can then simply be counted: no month counts a member twice.
 4. The counted runs (at most one row per dimension value and pair of months) are spread
-   over their months and added up with the money, which is summed by run as well.
+   over their months and added up with the money, which is summed by run as well and
+   divided once for the run, so that no policy loses a remainder.
 """
 
 from __future__ import annotations
@@ -19,8 +20,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from covermart.functions.clean import unassigned
-from covermart.functions.money import MONEY_COLUMNS, dollars, ratio, sum_micro
-from covermart.operators.coverage import covered_span, month_end, month_number, monthly_share
+from covermart.functions.money import (
+    MONEY_COLUMNS,
+    dollars,
+    micro,
+    ratio,
+    share_of_months,
+    sum_micro,
+    whole_micros,
+)
+from covermart.operators.coverage import covered_span, month_end, month_number
 
 TOTAL = "total"
 ROLLUP_DIMENSIONS = ("network_type", "network_group", "policy_type")
@@ -103,14 +112,12 @@ def _counted_runs(runs: DataFrame, dimensions: tuple[str, ...], total: bool) ->
 
 def _money_runs(spans: DataFrame, dimensions: tuple[str, ...], total: bool) -> DataFrame:
     """Monthly share of the money per run of months and dimension value."""
-    shares = spans.select(
-        *dimensions, "first_month", "last_month",
-        *[monthly_share(c).alias(c) for c in MONEY_COLUMNS],
+    by_run = spans.groupBy(*dimensions, "first_month", "last_month").agg(
+        *[sum_micro(micro(F.col(c))).alias(c) for c in MONEY_COLUMNS]
     )
-    by_run = shares.groupBy(*dimensions, "first_month", "last_month").agg(
-        *[sum_micro(F.col(c)).alias(c) for c in MONEY_COLUMNS]
-    )
-    return _long_form(by_run, dimensions, total)
+    months = F.col("last_month") - F.col("first_month") + 1
+    shares = {c: share_of_months(F.col(c), months) for c in MONEY_COLUMNS}
+    return _long_form(by_run.withColumns(shares), dimensions, total)
 
 
 def monthly_series(
@@ -133,7 +140,10 @@ def monthly_series(
         .groupBy("dimension", "dimension_value", "month")
         .agg(
             *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts],
-            *[F.coalesce(dollars(F.sum(c)), F.lit(0.0)).alias(c) for c in MONEY_COLUMNS],
+            *[
+                F.coalesce(dollars(whole_micros(F.sum(c))), F.lit(0.0)).alias(c)
+                for c in MONEY_COLUMNS
+            ],
         )
         .select(
             month_end(F.col("month")).alias("month_end"),

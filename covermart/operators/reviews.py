@@ -161,9 +161,9 @@ def payer_review_all(scoped: DataFrame) -> DataFrame:
     )
 
 
-def payer_review(scoped: DataFrame) -> DataFrame:
+def payer_review(scoped: DataFrame, rows: int = PAYER_ROWS) -> DataFrame:
     """The first payers of :func:`payer_review_all`; ties go by name."""
-    return payer_review_all(scoped).limit(PAYER_ROWS)
+    return payer_review_all(scoped).limit(rows)
 
 
 def _premium_by(scoped: DataFrame, *dimensions: str) -> DataFrame:
@@ -191,20 +191,23 @@ def age_bucket_review(scoped: DataFrame) -> DataFrame:
     )
 
 
-def policy_type_review(scoped: DataFrame) -> DataFrame:
-    """The policy types with the largest gross premium; ties go by name."""
+def policy_type_review_all(scoped: DataFrame) -> DataFrame:
+    """Distinct members and money of every policy type, largest gross first."""
     measures = _measures(
         scoped,
         {"policy_type": unassigned(F.col("policy_type"))},
         {"beneficiaries": "beneficiary"},
     )
-    return (
-        measures.drop("policy_records")
-        .orderBy(F.desc_nulls_last("gross_premium_usd"), "policy_type")
-        .limit(POLICY_TYPE_ROWS)
+    return measures.drop("policy_records").orderBy(
+        F.desc_nulls_last("gross_premium_usd"), "policy_type"
     )
 
 
+def policy_type_review(scoped: DataFrame, rows: int = POLICY_TYPE_ROWS) -> DataFrame:
+    """The first policy types of :func:`policy_type_review_all`; ties go by name."""
+    return policy_type_review_all(scoped).limit(rows)
+
+
 def mobile_by_payer_all(scoped: DataFrame) -> DataFrame:
     """Registered users, penetration and linked coverage of every payer."""
     members, users = F.col("unique_beneficiaries"), F.col("unique_registered_users")
@@ -230,9 +233,9 @@ def mobile_by_payer_all(scoped: DataFrame) -> DataFrame:
     )
 
 
-def mobile_by_payer(scoped: DataFrame) -> DataFrame:
+def mobile_by_payer(scoped: DataFrame, rows: int = PAYER_ROWS) -> DataFrame:
     """The first payers of :func:`mobile_by_payer_all`; ties go by name."""
-    return mobile_by_payer_all(scoped).limit(PAYER_ROWS)
+    return mobile_by_payer_all(scoped).limit(rows)
 
 
 def contract_totals(contract_network: DataFrame) -> DataFrame:

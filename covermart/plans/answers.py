@@ -2,30 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covermart.fixed_values import (
     ACTIONS,
     DEFAULT_TARGET,
+    IDENTITY_COLUMNS,
+    METRIC_CANDIDATES,
     METRIC_CATALOG,
+    METRIC_COLUMNS,
     METRIC_LABELS,
     NO_ANSWER_TEXT,
     NO_EVIDENCE_TEXT,
+    PENETRATION_COLUMNS,
     PROMPT_EVIDENCE_HEADING,
     PROMPT_INTRO,
-    PROMPT_MAX_CHARS,
     PROMPT_QUESTION_HEADING,
-    PROMPT_TRUNCATED,
     RATE_METRICS,
+    RATE_PARTS,
 )
 from covermart.functions.text import fixed, format_metric, money, percent
 from covermart.operators.coverage import month_end
-from covermart.plans.evidence import limitations, metric_value, rows_of
+from covermart.operators.reviews import contract_totals
+from covermart.plans.evidence import NAMED_SOURCES, SHAPES, limitations, metric_value, rows_of
 from covermart.plans.questions import ENTITY_COLUMNS
 from covermart.sources.sinks import EVALUATION_SCHEMA_VERSION
 
-EVIDENCE_LINES = 4
 ALL_PORTFOLIO = "All portfolio"
 _LOWER_IS_BETTER = "tpa_to_gross_ratio"
 
@@ -98,11 +103,71 @@ def _latest_only(candidates: Column) -> Column:
     )
 
 
-def with_extremes(evidence: DataFrame) -> DataFrame:
+def whole_extremes(frames: dict[str, DataFrame]) -> DataFrame:
+    """``(compared, primary_metric, whole)``: lowest and highest entity of whole tables.
+
+    For questions that name no entity of the table. A table and a metric give one row, so
+    there are at most as many rows as tables times metrics.
+    """
+    contract = "master_contract_network_premium"
+    totals = contract_totals(frames[contract]).select(
+        F.lit("gross_premium_usd").alias("primary_metric"),
+        F.col("gross_premium_usd").alias("value"),
+        F.col("master_contract").alias("entity"),
+    )
+    parts = [totals.withColumn("compared", F.lit(contract))]
+    for source in ("age_bucket_review", "payer_review", "mobile_by_payer"):
+        entity, frame = SHAPES[source][0], frames[source]
+        values = F.array(
+            *[
+                F.struct(
+                    F.lit(metric).alias("primary_metric"),
+                    _frame_value(frame.columns, source, metric).alias("value"),
+                )
+                for metric in METRIC_CANDIDATES
+            ]
+        )
+        parts.append(
+            frame.select(F.col(entity).alias("entity"), F.inline(values)).select(
+                "primary_metric", "value", "entity", F.lit(source).alias("compared")
+            )
+        )
+    known = reduce(lambda a, b: a.unionByName(b), parts).where(
+        "value IS NOT NULL AND entity IS NOT NULL"
+    )
+    pair = F.struct("value", "entity")
+    return known.groupBy("compared", "primary_metric").agg(
+        F.struct(
+            F.count(F.lit(1)).cast("int").alias("entities"),
+            F.min(pair).alias("low"),
+            F.max(pair).alias("high"),
+        ).alias("whole")
+    )
+
+
+def _frame_value(columns: list[str], source: str, metric: str) -> Column:
+    """A metric of a table's rows, from the columns that a question for it is shown."""
+    shown = METRIC_COLUMNS.get(metric) or PENETRATION_COLUMNS.get(source, ())
+    shown = [c for c in columns if c in (*IDENTITY_COLUMNS[source], *shown)]
+
+    def first(names: tuple[str, ...]) -> Column:
+        known = [F.col(n).cast("double") for n in names if n in shown]
+        return F.coalesce(*known, F.lit(None).cast("double"))
+
+    above, below = RATE_PARTS.get(metric, ((), ()))
+    return F.coalesce(
+        first(METRIC_CANDIDATES[metric]),
+        F.when(first(below) != 0, first(above) / first(below)),
+    )
+
+
+def with_extremes(evidence: DataFrame, whole: DataFrame) -> DataFrame:
     """Adds ``extremes``: the entities with the lowest and highest primary metric.
 
-    The compared table follows from what the question names; entities with equal values
-    are taken in name order. Lower is better for the fee ratio only.
+    The compared table follows from what the question names. Named entities are compared
+    with each other, otherwise all entities of the table (:func:`whole_extremes`), not only
+    those that the evidence lists. Entities with equal values are taken in name order.
+    Lower is better for the fee ratio only.
     """
     held = lambda source: F.size(rows_of(source)) > 0
     contract = "master_contract_network_premium"
@@ -125,40 +190,45 @@ def with_extremes(evidence: DataFrame) -> DataFrame:
         .when(_has("adoption") & held("mobile_by_payer"), "mobile_by_payer")
         .otherwise("none")
     )
-    candidates = F.when(F.col("compared") == contract, _contract_candidates())
-    for source in (
-        "age_bucket_review", "monthly_country_kpis", "policy_type_review", "payer_review",
-        "mobile_by_payer",
-    ):
-        found = _candidates(source)
+    is_named, candidates = F.lit(False), F.lit(None)
+    for source, entity_class in NAMED_SOURCES.items():
+        here = (F.col("compared") == source) & _named(entity_class)
+        is_named = is_named | here
+        found = _contract_candidates() if source == contract else _candidates(source)
         if source == "monthly_country_kpis":
             found = _latest_only(found)
-        candidates = candidates.when(F.col("compared") == source, found)
+        candidates = F.when(here, found).otherwise(candidates)
     known = F.sort_array(F.filter("candidates", lambda c: c["entity"].isNotNull()))
-    low, high = F.try_element_at("candidates", F.lit(1)), F.try_element_at("candidates", F.lit(-1))
-    rate = F.col("primary_metric").isin(*RATE_METRICS)
-    many = F.size("candidates") > 1
-    lower_is_better = F.col("primary_metric") == _LOWER_IS_BETTER
-    extremes = F.when(
+    named = F.when(
         F.size("candidates") > 0,
         F.struct(
             F.size("candidates").alias("entities"),
-            low["entity"].alias("low_entity"),
-            low["value"].alias("low_value"),
-            high["entity"].alias("high_entity"),
-            high["value"].alias("high_value"),
-            (high["value"] - low["value"]).alias("gap"),
-            F.when(lower_is_better, high["entity"])
-            .when(many & rate, low["entity"])
-            .alias("priority_entity"),
+            F.try_element_at("candidates", F.lit(1)).dropFields("period").alias("low"),
+            F.try_element_at("candidates", F.lit(-1)).dropFields("period").alias("high"),
         ),
     )
+    e = F.col("found")
+    rate = F.col("primary_metric").isin(*RATE_METRICS)
+    lower_is_better = F.col("primary_metric") == _LOWER_IS_BETTER
+    extremes = F.struct(
+        e["entities"].alias("entities"),
+        e["low"]["entity"].alias("low_entity"),
+        e["low"]["value"].alias("low_value"),
+        e["high"]["entity"].alias("high_entity"),
+        e["high"]["value"].alias("high_value"),
+        (e["high"]["value"] - e["low"]["value"]).alias("gap"),
+        F.when(lower_is_better, e["high"]["entity"])
+        .when((e["entities"] > 1) & rate, e["low"]["entity"])
+        .alias("priority_entity"),
+    )
     return (
         evidence.withColumn("compared", compared)
+        .join(F.broadcast(whole), ["compared", "primary_metric"], "left")
         .withColumn("candidates", candidates)
         .withColumn("candidates", known)
-        .withColumn("extremes", extremes)
-        .drop("candidates")
+        .withColumn("found", F.when(is_named, named).otherwise(F.col("whole")))
+        .withColumn("extremes", F.when(e.isNotNull(), extremes))
+        .drop("candidates", "whole", "found")
     )
 
 
@@ -285,10 +355,13 @@ def _action_text(place: int) -> Column:
     return text
 
 
-def answer_questions(evidence: DataFrame) -> DataFrame:
-    """Adds ``limitations`` and the Markdown ``answer`` of every question."""
+def answer_questions(evidence: DataFrame, whole: DataFrame) -> DataFrame:
+    """Adds ``limitations`` and the Markdown ``answer`` of every question.
+
+    ``whole`` is :func:`whole_extremes` of the tables the evidence was taken from.
+    """
     headline, entity_line = _entity_texts()
-    prepared = with_trend(with_extremes(evidence)).withColumn("limitations", limitations())
+    prepared = with_trend(with_extremes(evidence, whole)).withColumn("limitations", limitations())
     prepared = prepared.withColumns(
         {
             "headline": headline,
@@ -297,17 +370,12 @@ def answer_questions(evidence: DataFrame) -> DataFrame:
             "scope_line": _scope_text(),
         }
     )
-    first_gap = F.try_element_at("limitations", F.lit(1))
-    lines = F.array_compact(
-        F.array(
-            "entity_line", "trend_line", "scope_line",
-            F.when(first_gap.isNotNull(), F.concat(F.lit("Limitation: "), first_gap)),
-        )
+    lines = F.concat(
+        F.array_compact(F.array("entity_line", "trend_line", "scope_line")),
+        F.transform("limitations", lambda gap: F.concat(F.lit("Limitation: "), gap)),
     )
     lines = F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit(NO_EVIDENCE_TEXT)))
-    bullets = F.transform(
-        F.slice(lines, 1, EVIDENCE_LINES), lambda line: F.concat(F.lit("- "), line)
-    )
+    bullets = F.transform(lines, lambda line: F.concat(F.lit("- "), line))
     answer = F.concat(
         F.lit("**Executive answer**\n\n"),
         F.coalesce("headline", "trend_line", "scope_line", F.lit(NO_ANSWER_TEXT)),
@@ -373,15 +441,10 @@ def context_json(scope: Column) -> Column:
 
 
 def prompt_text(question: Column, context: Column) -> Column:
-    """Instruction, question and context (cut to its limit), as a prompt dataset column."""
-    context = F.trim(context)
-    cut = F.when(
-        F.length(context) > PROMPT_MAX_CHARS,
-        F.concat(F.substring(context, 1, PROMPT_MAX_CHARS), F.lit(PROMPT_TRUNCATED)),
-    ).otherwise(context)
+    """Instruction, question and whole context, as a prompt dataset column."""
     return F.concat(
         F.lit(PROMPT_INTRO + PROMPT_QUESTION_HEADING), F.trim(question),
-        F.lit(PROMPT_EVIDENCE_HEADING), cut,
+        F.lit(PROMPT_EVIDENCE_HEADING), F.trim(context),
     )
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from covermart.plans import answers as an
 from covermart.plans import evidence as ev
 from covermart.plans import questions as qu
 from covermart.sources.sinks import append_evaluations
 
-# Evidence table -> frame of a snapshot. Payer tables are used whole, not cut to 25 rows.
+# Evidence table -> frame of a snapshot. Tables are used whole, not their first rows.
 EVIDENCE_FRAMES = {
     "summary": "summary",
     "monthly_kpis": "monthly_kpis",
@@ -18,7 +22,7 @@ EVIDENCE_FRAMES = {
     "payer_review": "payer_review_all",
     "master_contract_network_premium": "master_contract_network_premium",
     "age_bucket_review": "age_bucket_review",
-    "policy_type_review": "policy_type_review",
+    "policy_type_review": "policy_type_review_all",
     "mobile_by_payer": "mobile_by_payer_all",
 }
 
@@ -37,6 +41,19 @@ def read_aggregates(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{folder}/{name}") for name in EVIDENCE_FRAMES}
 
 
+def other_values(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """What records keep besides the nine tables: active members by month, the table sizes."""
+    frames = read_aggregates(spark, folder)
+    counts = [
+        frame.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows")
+        for name, frame in frames.items()
+    ]
+    return {
+        "active_population": frames["monthly_kpis"].select("month_end", "active_population"),
+        "metadata": reduce(lambda a, b: a.unionByName(b), counts),
+    }
+
+
 def catalog_of(spark: SparkSession, folder: str) -> DataFrame:
     """The entity dictionary of stored aggregates."""
     frames = read_aggregates(spark, folder)
@@ -78,17 +95,23 @@ def answer_batch(
     """Answer a table of questions and append the records to the evaluation dataset.
 
     Routed questions are written under ``work`` and read back: three steps start from them,
-    and none has to match entities again, also after an executor is lost.
+    and none has to match entities again, also after an executor is lost. Each batch has a
+    folder of its own there that is never written again, so the values that its records
+    name stay those of the batch.
     """
-    qu.route_questions(questions, catalog_of(spark, aggregates)).write.mode(
-        "overwrite"
-    ).parquet(f"{work}/routed")
-    routed = spark.read.parquet(f"{work}/routed")
-    an.aggregate_rows(read_aggregates(spark, aggregates)).write.mode("overwrite").parquet(
-        f"{work}/aggregate_rows"
+    folder = f"{work}/batch-{uuid.uuid4().hex}"
+    qu.route_questions(questions, catalog_of(spark, aggregates)).write.parquet(
+        f"{folder}/routed"
+    )
+    routed = spark.read.parquet(f"{folder}/routed")
+    frames = read_aggregates(spark, aggregates)
+    an.aggregate_rows({**frames, **other_values(spark, aggregates)}).write.parquet(
+        f"{folder}/aggregate_rows"
+    )
+    answered = an.answer_questions(
+        evidence_of(spark, routed, aggregates), an.whole_extremes(frames)
     )
-    answered = an.answer_questions(evidence_of(spark, routed, aggregates))
     records = an.evaluation_records(
-        answered, scope, scope_json, f"{work}/aggregate_rows", engine
+        answered, scope, scope_json, f"{folder}/aggregate_rows", engine
     )
     append_evaluations(records, output)

@@ -2,10 +2,9 @@
 
 Aggregates are turned into rows of one shape: an entity, a period and named cells. Rows that
 many questions share (the latest months, a top twelve) form a lookup table bounded by the
-calendar, the countries and fixed row limits. Spark checks its size and broadcasts it, so a
-slice that a third of all questions ask for is not a hot join key; were it ever too large,
-the join is shuffled and adaptive execution splits the hot keys. Rows of named entities are
-joined by entity.
+calendar and the countries. Spark checks its size and broadcasts it, so a slice that a third
+of all questions ask for is not a hot join key; were it ever too large, the join is shuffled
+and adaptive execution splits the hot keys. Rows of named entities are joined by entity.
 """
 
 from __future__ import annotations
@@ -33,10 +32,6 @@ from covermart.operators.reviews import contract_totals, latest_active
 from covermart.operators.timeintel import trailing_months
 from covermart.operators.topn import topn_semi
 
-COUNTRY_ROWS = 12
-COUNTRY_TRAILING_ROWS = 72
-SHORTENED = "latest month of the year"
-
 # Evidence table -> (entity column, detail column, period column, entity class).
 SHAPES = {
     "summary": (None, None, None, None),
@@ -175,33 +170,15 @@ def _month_slices(months: DataFrame) -> DataFrame:
 
 
 def _country_slices(countries: DataFrame) -> DataFrame:
-    """Rows for questions that name no country.
-
-    Up to twelve rows of a slice are kept whole; beyond that only its latest month is
-    shown, largest population first. Such a year is marked, because several years together
-    are shortened to their latest month as well.
-    """
+    """All countries under ``latest``, ``trailing`` and their year, largest population first."""
     source = "monthly_country_kpis"
-    most_first = -F.col("active_population")
-    row = evidence_row(source, countries, most_first)
+    row = evidence_row(source, countries, -F.col("active_population"))
+    recent = trailing_months(countries, TRAILING_ROWS)
     last = trailing_months(countries, 1)
-    few = countries.orderBy(F.desc("month_end"), "payer_country").limit(COUNTRY_TRAILING_ROWS)
-    shown = F.when(
-        F.size("rows") > COUNTRY_ROWS,
-        F.filter("rows", lambda r: r["period"] == F.array_max("rows.period")),
-    ).otherwise(F.col("rows"))
-    trailing = _packed(source, few, F.lit("trailing"), row).withColumn("rows", shown)
-    by_year = _packed(source, countries, F.year("month_end"), row)
-    marked = F.transform(
-        shown,
-        lambda r: F.when(
-            F.size("rows") > COUNTRY_ROWS, r.withField("detail", F.lit(SHORTENED))
-        ).otherwise(r),
-    )
     return (
         _packed(source, last, F.lit("latest"), row)
-        .unionByName(trailing)
-        .unionByName(by_year.withColumn("rows", marked))
+        .unionByName(_packed(source, recent, F.lit("trailing"), row))
+        .unionByName(_packed(source, countries, F.year("month_end"), row))
     )
 
 
@@ -399,7 +376,7 @@ def question_evidence(
 
 
 def _merged() -> Column:
-    """One entry per table: the best-ranked slices, together, cut and in listing order."""
+    """One entry per table: the best-ranked slices, together and in listing order."""
 
     def of_source(source: Column) -> Column:
         parts = F.filter("found", lambda f: f["source"] == source)
@@ -411,27 +388,18 @@ def _merged() -> Column:
         )
 
     def cut(entry: Column) -> Column:
+        """Named countries without a year or a trend are shown in their last month."""
         rows = entry["rows"]
         last = F.array_max(F.transform(rows, lambda r: r["period"]))
         latest = F.filter(rows, lambda r: r["period"] == last)
-        named = F.size("payer_countries") > 0
-        long = (F.size(rows) > COUNTRY_ROWS) | F.exists(
-            rows, lambda r: F.coalesce(r["detail"], F.lit("")) == SHORTENED
-        )
-        trailing = F.when(
-            F.size(rows) > TRAILING_ROWS, F.slice(rows, -TRAILING_ROWS, TRAILING_ROWS)
-        ).otherwise(rows)
-        by_time = (
-            F.when(entry["rank"] == 1, rows)
-            .when(F.col("time_mode") == "trailing", trailing)
-            .otherwise(latest)
+        once = (
+            (entry["source"] == "monthly_country_kpis")
+            & (F.size("payer_countries") > 0)
+            & (entry["rank"] != 1)
+            & (F.col("time_mode") != "trailing")
         )
-        countries = F.when(named, by_time).otherwise(F.when(long, latest).otherwise(rows))
         return F.struct(
-            entry["source"].alias("source"),
-            F.when(entry["source"] == "monthly_country_kpis", countries)
-            .otherwise(rows)
-            .alias("rows"),
+            entry["source"].alias("source"), F.when(once, latest).otherwise(rows).alias("rows")
         )
 
     merged = F.transform(F.transform("source_tables", of_source), cut)

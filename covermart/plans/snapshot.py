@@ -12,7 +12,7 @@ from covermart.plans.mart import Mart
 
 
 def snapshot(mart: Mart, scope: Scope) -> dict[str, DataFrame]:
-    """Sixteen lazy frames of a scope.
+    """Seventeen lazy frames of a scope.
 
     The slim scoped policies are persisted because nine frames read them; unpersist the
     frame under ``scoped_policies`` when done.
@@ -33,6 +33,7 @@ def snapshot(mart: Mart, scope: Scope) -> dict[str, DataFrame]:
         "master_contract_network_premium": rv.contract_network_premium(scoped),
         "age_bucket_review": rv.age_bucket_review(scoped),
         "policy_type_review": rv.policy_type_review(scoped),
+        "policy_type_review_all": rv.policy_type_review_all(scoped),
         "mobile_by_payer": rv.mobile_by_payer(scoped),
         "mobile_by_payer_all": rv.mobile_by_payer_all(scoped),
     }

@@ -49,12 +49,15 @@ COMMON = {
     "months": (
         ("expanded",),
         """
-        SELECT *, gross_cents * 10000 // n AS gross_share, net_cents * 10000 // n AS net_share,
-               tpa_cents * 10000 // n AS tpa_share,
+        SELECT *, cast(gross_cents AS hugeint) * 10000000000000000 // n AS gross_share,
+               cast(net_cents AS hugeint) * 10000000000000000 // n AS net_share,
+               cast(tpa_cents AS hugeint) * 10000000000000000 // n AS tpa_share,
                CASE WHEN beneficiary_key IS NOT NULL AND registered_user_key IS NOT NULL
                      AND (registration_date IS NULL OR registration_date <= month_end)
                     THEN registered_user_key END AS active_user
-        FROM (SELECT *, count(*) OVER (PARTITION BY row_id) AS n FROM expanded) AS e
+        FROM (SELECT *, count(*) OVER (PARTITION BY row_id) AS n,
+                     row_number() OVER (PARTITION BY row_id ORDER BY month_end) AS place
+              FROM expanded) AS e
         """,
     ),
     "scoped_months": (("months",), "SELECT * FROM months WHERE uw_year IS NOT NULL"),
@@ -67,9 +70,12 @@ USD_SUMS = """
 MONTH_MEASURES = """
     count(DISTINCT beneficiary_key) AS active_population,
     count(DISTINCT active_user) AS active_registered_users,
-    coalesce(cast(sum(gross_share) AS bigint), 0) / 1e6 AS gross_premium_usd,
-    coalesce(cast(sum(net_share) AS bigint), 0) / 1e6 AS net_premium_usd,
-    coalesce(cast(sum(tpa_share) AS bigint), 0) / 1e6 AS tpa_fee_usd"""
+    coalesce(cast((sum(gross_share) + 500100000000) // 1000000000000 AS bigint), 0) / 1e6
+        AS gross_premium_usd,
+    coalesce(cast((sum(net_share) + 500100000000) // 1000000000000 AS bigint), 0) / 1e6
+        AS net_premium_usd,
+    coalesce(cast((sum(tpa_share) + 500100000000) // 1000000000000 AS bigint), 0) / 1e6
+        AS tpa_fee_usd"""
 LINKED = (
     "count(DISTINCT CASE WHEN registered_user_key IS NOT NULL THEN beneficiary_key END)"
 )

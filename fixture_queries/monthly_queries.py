@@ -80,11 +80,18 @@ def month_expand(spark, sf_dir):
     )
 
 
+def _share_sql(name: str) -> str:
+    """A month's whole micro-dollars; the first months get the remainder."""
+    micros = f"{name}_cents * 10000"
+    return f"({micros} // n + CASE WHEN place <= ({micros}) % n THEN 1 ELSE 0 END) / 1e6"
+
+
 @query(
     "apportion",
-    """SELECT month_end, uw_year, payer_name, network_type, beneficiary_key,
-              registered_user_key, registration_date, gross_share / 1e6 AS gross_premium_usd,
-              net_share / 1e6 AS net_premium_usd, tpa_share / 1e6 AS tpa_fee_usd FROM months""",
+    f"""SELECT month_end, uw_year, payer_name, network_type, beneficiary_key,
+               registered_user_key, registration_date, {_share_sql("gross")} AS gross_premium_usd,
+               {_share_sql("net")} AS net_premium_usd, {_share_sql("tpa")} AS tpa_fee_usd
+        FROM months""",
     ("months",),
 )
 def apportion(spark, sf_dir):

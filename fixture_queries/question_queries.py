@@ -82,8 +82,8 @@ common(
     "q",
     f"""SELECT *, concat(' ', normalised, ' ') AS padded FROM (
             SELECT question_id, question, {_normalised_sql("question")} AS normalised FROM (
-                SELECT question_id, substring(trim(regexp_replace(question,
-                    '[\\t-\\r\\x1c-\\x20\\x{{85}}\\p{{Z}}]+', ' ', 'g')), 1, 800) AS question
+                SELECT question_id, trim(regexp_replace(question,
+                    '[\\t-\\r\\x1c-\\x20\\x{{85}}\\p{{Z}}]+', ' ', 'g')) AS question
                 FROM questions) AS c WHERE question <> '') AS n""",
     ("questions",),
 )
@@ -99,8 +99,7 @@ common(
     "type_frame",
     f"""SELECT coalesce(policy_type, 'Unassigned') AS policy_type,
                count(DISTINCT beneficiary_key) AS beneficiaries, {USD_SUMS}
-        FROM scoped GROUP BY 1
-        ORDER BY gross_premium_usd DESC NULLS LAST, policy_type LIMIT 20""",
+        FROM scoped GROUP BY 1""",
     ("scoped",),
 )
 common(
@@ -348,16 +347,14 @@ common(
 common(
     "country_rows",
     """SELECT question_id, payer_country, month_end FROM (
-           SELECT *, max(month_end) OVER w AS last_month, count(*) OVER w AS n,
-                  row_number() OVER (PARTITION BY question_id
-                      ORDER BY month_end DESC, payer_country DESC) AS place
+           SELECT *, max(month_end) OVER w AS last_month, row_number() OVER (
+                      PARTITION BY question_id, payer_country ORDER BY month_end DESC) AS place
            FROM (SELECT p.question_id, p.trending, p.years, p.n_payer_countries AS named,
-                        c.payer_country, c.month_end, c.newest, c.last_known,
+                        c.payer_country, c.month_end, c.newest,
                         bool_or(list_contains(p.years, year(c.month_end)))
                             OVER (PARTITION BY p.question_id) AS has_years
                  FROM plan AS p,
-                      (SELECT *, max(month_end) OVER () AS last_known, row_number() OVER
-                              (ORDER BY month_end DESC, payer_country) AS newest
+                      (SELECT *, dense_rank() OVER (ORDER BY month_end DESC) AS newest
                        FROM country_kpis) AS c
                  WHERE list_contains(p.sources, 'monthly_country_kpis')
                    AND (p.n_payer_countries = 0 OR EXISTS (
@@ -366,10 +363,9 @@ common(
                         AND h.value = c.payer_country))) AS x
            WHERE CASE WHEN has_years THEN list_contains(years, year(month_end))
                       WHEN named > 0 THEN true
-                      WHEN trending THEN newest <= 72 ELSE month_end = last_known END
+                      WHEN trending THEN newest <= 24 ELSE newest = 1 END
            WINDOW w AS (PARTITION BY question_id)) AS y
-       WHERE CASE WHEN named = 0 THEN n <= 12 OR month_end = last_month
-                  WHEN has_years THEN true
+       WHERE CASE WHEN named = 0 OR has_years THEN true
                   WHEN trending THEN place <= 24 ELSE month_end = last_month END""",
     ("plan", "country_kpis", "hits"),
 )
@@ -683,15 +679,63 @@ _COMPARED_SQL = f"""CASE
     WHEN {_in("payer")} AND {_held("payer_review")} THEN 'payer_review'
     WHEN {_in("adoption")} AND {_held("mobile_by_payer")} THEN 'mobile_by_payer'
     ELSE 'none' END"""
-common("compared", f"SELECT question_id, {_COMPARED_SQL} AS compared FROM plan AS p",
-       ("plan", "cells"))
+common(
+    "compared",
+    f"""SELECT *, CASE compared WHEN 'payer_review' THEN n_payers > 0
+                       WHEN 'mobile_by_payer' THEN n_payers > 0
+                       WHEN 'age_bucket_review' THEN n_age_buckets > 0
+                       WHEN 'master_contract_network_premium' THEN n_master_contracts > 0
+                       ELSE true END AS named
+        FROM (SELECT p.*, {_COMPARED_SQL} AS compared FROM plan AS p) AS c""",
+    ("plan", "cells"),
+)
+
+
+def _whole_sql(source: str, metric: str) -> str:
+    frame, entity, _ = _ENTITY_SOURCES[source]
+    shown = {*fv.IDENTITY_COLUMNS[source], *(
+        fv.PENETRATION_COLUMNS.get(source, ()) if metric == "app_penetration_rate"
+        else fv.METRIC_COLUMNS[metric]
+    )} & set(_FRAME_COLUMNS[source])
+
+    def first(names):
+        return "coalesce(" + ", ".join([*[n for n in names if n in shown], "NULL", "NULL"]) + ")"
+
+    above, below = (first(p) for p in fv.RATE_PARTS.get(metric, ((), ())))
+    value = (
+        f"coalesce(cast({first(fv.METRIC_CANDIDATES[metric])} AS double), "
+        f"CASE WHEN {below} <> 0 THEN cast({above} AS double) / {below} END)"
+    )
+    return (
+        f"SELECT '{source}' AS source, '{metric}' AS metric, {entity} AS entity, "
+        f"{value} AS value FROM {frame}"
+    )
+
+
+common(
+    "whole_values",
+    " UNION ALL ".join(
+        _whole_sql(source, metric)
+        for source in ("payer_review", "age_bucket_review", "mobile_by_payer")
+        for metric in fv.METRIC_CANDIDATES
+    )
+    + """ UNION ALL SELECT 'master_contract_network_premium', 'gross_premium_usd',
+                 master_contract, cast(sum(round(gross_premium_usd * 1e6)) AS bigint) / 1e6
+          FROM contract_frame GROUP BY 3""",
+    ("payer_frame", "age_frame", "mobile_frame", "contract_frame"),
+)
 common(
     "candidates",
-    """SELECT r.question_id, r.primary_metric, r.entity, r.value
+    """SELECT k.question_id, k.primary_metric, w.entity, w.value
+       FROM compared AS k JOIN whole_values AS w
+         ON w.source = k.compared AND w.metric = k.primary_metric
+       WHERE NOT k.named AND w.value IS NOT NULL AND w.entity IS NOT NULL
+       UNION ALL
+       SELECT r.question_id, r.primary_metric, r.entity, r.value
        FROM compared AS k JOIN row_values AS r
          ON r.question_id = k.question_id AND r.source = k.compared
-       WHERE k.compared <> 'master_contract_network_premium' AND r.value IS NOT NULL
-         AND r.entity IS NOT NULL
+       WHERE k.named AND k.compared <> 'master_contract_network_premium'
+         AND r.value IS NOT NULL AND r.entity IS NOT NULL
        QUALIFY r.period IS NULL OR r.period = max(r.period)
                OVER (PARTITION BY r.question_id, r.entity)
        UNION ALL
@@ -699,10 +743,10 @@ common(
               cast(sum(round(r.gross * 1e6)) AS bigint) / 1e6
        FROM compared AS k JOIN row_values AS r
          ON r.question_id = k.question_id AND r.source = k.compared
-       WHERE k.compared = 'master_contract_network_premium'
+       WHERE k.named AND k.compared = 'master_contract_network_premium'
          AND r.primary_metric = 'gross_premium_usd' AND r.gross IS NOT NULL
        GROUP BY 1, 2, 3""",
-    ("compared", "row_values"),
+    ("compared", "row_values", "whole_values"),
 )
 
 
@@ -723,7 +767,8 @@ common(
     ("candidates",),
 )
 def entity_extremes(spark, sf_dir):
-    found = an.with_extremes(evidence(spark, sf_dir)).where("extremes IS NOT NULL")
+    whole = an.whole_extremes(frames(spark, sf_dir))
+    found = an.with_extremes(evidence(spark, sf_dir), whole).where("extremes IS NOT NULL")
     return found.select("question_id", "extremes.*")
 
 
@@ -882,7 +927,7 @@ common(
                    ' unique beneficiaries and ', {_money_sql("s.gross")}, ' GP',
                    CASE WHEN s.net IS NOT NULL THEN concat(' / ', {_money_sql("s.net")}, ' NP')
                         ELSE '' END, '.') END AS scope_line,
-               {_GAPS_SQL}[1] AS gap
+               {_GAPS_SQL} AS gaps
         FROM plan AS p LEFT JOIN extremes AS e ON e.question_id = p.question_id
         LEFT JOIN trends AS t ON t.question_id = p.question_id
         LEFT JOIN scope_values AS s ON s.question_id = p.question_id""",
@@ -907,13 +952,13 @@ _ANSWER_SQL = f"""
     SELECT question_id, concat('**Executive answer**', chr(10), chr(10),
            coalesce(headline, trend_line, scope_line, '{fv.NO_ANSWER_TEXT}'),
            chr(10), chr(10), '**Evidence**', chr(10),
-           array_to_string(list_transform(list_slice(CASE WHEN len(shown) > 0 THEN shown
-               ELSE ['{fv.NO_EVIDENCE_TEXT}'] END, 1, 4), lambda x: concat('- ', x)), chr(10)),
+           array_to_string(list_transform(CASE WHEN len(shown) > 0 THEN shown
+               ELSE ['{fv.NO_EVIDENCE_TEXT}'] END, lambda x: concat('- ', x)), chr(10)),
            chr(10), chr(10), '**Recommended actions**', chr(10), '1. ', {_action_sql(0)},
            chr(10), '2. ', {_action_sql(1)}) AS answer
-    FROM (SELECT *, list_filter([entity_line, trend_line, scope_line,
-                     CASE WHEN gap IS NOT NULL THEN concat('Limitation: ', gap) END],
-                     lambda x: x IS NOT NULL) AS shown
+    FROM (SELECT *, list_concat(list_filter([entity_line, trend_line, scope_line],
+                     lambda x: x IS NOT NULL),
+                     list_transform(gaps, lambda g: concat('Limitation: ', g))) AS shown
           FROM (SELECT *,
               CASE WHEN n = 1 THEN {_SINGLE_SQL}
                    WHEN metric = 'tpa_to_gross_ratio' THEN concat(high, ' has the highest ',
@@ -933,7 +978,8 @@ _ANSWER_SQL = f"""
 
 @query("answer_text", _ANSWER_SQL, ("lines",))
 def answer_text(spark, sf_dir):
-    return an.answer_questions(evidence(spark, sf_dir)).select("question_id", "answer")
+    whole = an.whole_extremes(frames(spark, sf_dir))
+    return an.answer_questions(evidence(spark, sf_dir), whole).select("question_id", "answer")
 
 
 @query("ev_context_json")
