@@ -237,6 +237,7 @@ def extract(
     empty pages have the empty text. Each row is labelled alone, so repeated rows get equal
     results. Other columns are not read.
     """
+    common.small_batches(pages.sparkSession)
     rows = pages.select(
         F.col(common.plain(id_column)).alias("page_id"),
         F.col(common.plain(url_column)).alias("url"),

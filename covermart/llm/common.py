@@ -21,10 +21,23 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _U64 = np.uint64
 
 
+#: Largest Arrow batch between Spark and its Python workers. Spark's default of 64 MB makes
+#: a task hold several hundred MB when whole texts travel.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send texts to Python in batches of `BATCH_BYTES`, unless it is smaller."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key, str(64 << 20)).rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 class Scratch:
     """Tables of one run, in a folder of its own under the shared one."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -44,7 +57,7 @@ def blob(text: str | Column) -> Column:
 class WordHashes(dict):
     """64-bit hash by word. Emptied when full, so its size is bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 

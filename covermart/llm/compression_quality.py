@@ -54,6 +54,7 @@ def quality(
     inside the bands. NULL and empty texts have no words, fail the base and have ratio 0.
     Each row is judged alone: repeated rows get equal verdicts. Other columns are not read.
     """
+    common.small_batches(docs.sparkSession)
     texts = docs.select(
         F.col(common.plain(id_column)).alias("doc_id"),
         common.blob(F.col(common.plain(text_column))).alias("body"),
@@ -66,6 +67,7 @@ def quality(
 
 def keep(docs: DataFrame, bands=BANDS, chunk: int = CHUNK, text_column: str = "text") -> DataFrame:
     """The rows of `docs`, all columns as they are, whose text passes; see `quality`."""
+    common.small_batches(docs.sparkSession)
     at = docs.columns.index(text_column)
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

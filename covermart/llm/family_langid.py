@@ -140,6 +140,7 @@ def fit(
     NULL languages and texts without a letter teach nothing; without any row there is no model.
     At most two times `sample` vectors of `SIZE` half floats per language reach the driver.
     """
+    common.small_batches(spark)
     labelled = docs.select(
         F.col(common.plain(id_column)).alias("doc_id"),
         common.blob(F.col(common.plain(text_column))).alias("body"),
@@ -182,6 +183,7 @@ def predict(
     `und` with score 0 for NULL texts, texts without a letter, and if there is no model. Each
     row is judged alone, so repeated rows get equal results. Other columns are not read.
     """
+    common.small_batches(docs.sparkSession)
     texts = docs.select(
         F.col(common.plain(id_column)).alias("doc_id"),
         common.blob(F.col(common.plain(text_column))).alias("body"),

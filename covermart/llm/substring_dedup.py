@@ -36,7 +36,7 @@ GRAM = 8
 #: Contexts in a group beyond which its prefix grows to the whole window.
 GROUP = 2000
 #: Words that a task turns into arrays at a time.
-SLAB = 400_000
+SLAB = 150_000
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -294,7 +294,7 @@ def _windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
 
 
 def _kept(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in common.slices(batches, "body", 16_000_000):
+    for batch in common.slices(batches, "body", 4_000_000):
         out = []
         for body, spans in zip(batch.column("body"), batch.column("spans"), strict=True):
             words = body.as_py().split()

@@ -50,6 +50,7 @@ def encode(
     is the empty text and has no tokens. Each row is encoded alone, so repeated rows get equal
     results. Other columns are not read.
     """
+    common.small_batches(docs.sparkSession)
     texts = docs.select(
         F.col(common.plain(id_column)).alias("doc_id"),
         common.blob(F.col(common.plain(text_column))).alias("body"),
