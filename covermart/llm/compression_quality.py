@@ -77,7 +77,8 @@ def keep(docs: DataFrame, bands=BANDS, chunk: int = CHUNK, text_column: str = "t
             kept = [measure(x, bands, chunk, hashes, packer)[6] for x in bodies]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(passed, docs.schema)
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return numbered.mapInArrow(passed, numbered.schema).toDF(*docs.columns)
 
 
 def _measured(batches: Iterator[pa.RecordBatch], bands, chunk: int) -> Iterator[pa.RecordBatch]:

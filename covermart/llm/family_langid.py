@@ -66,7 +66,7 @@ class PairMachines:
         self.pairs = list(itertools.combinations(range(len(self.classes)), 2))
         y = np.array([self.classes.index(c) for c in labels])
         fits = [_machine(x[(y == a) | (y == b)], y[(y == a) | (y == b)] == a) for a, b in self.pairs]
-        self.weights = np.array([w for w, _ in fits], np.float32).reshape(len(fits), -1).T
+        self.weights = np.array([w for w, _ in fits], np.float32).reshape(len(fits), x.shape[1]).T
         self.offsets = np.array([b for _, b in fits], np.float32)
 
     def decide(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

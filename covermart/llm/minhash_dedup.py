@@ -276,7 +276,7 @@ def _bands(minima: np.ndarray) -> np.ndarray:
 def _packed(minima: np.ndarray, bits: int) -> np.ndarray:
     """The low bits of all lanes, `64 / bits` lanes to a long."""
     per = 64 // bits
-    low = (minima & np.uint32(2**bits - 1)).astype(np.uint64).reshape(len(minima), -1, per)
+    low = (minima & np.uint32(2**bits - 1)).astype(np.uint64).reshape(len(minima), minima.shape[1] // per, per)
     shift = np.arange(per, dtype=np.uint64) * np.uint64(bits)
     return common.signed(np.bitwise_or.reduce(low << shift, axis=2))
 
