@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covermart.fixed_values import SCOPE_COLUMNS, SCOPE_LABELS
+from covermart.functions.money import dollars, micro, sum_micro
 
 LABEL_VALUES = 3
 LABEL_DIMENSIONS = 3
+UNREADABLE_SCOPE = "not a scope with a first and a last year"
+EMPTY_YEARS = "the first year is after the last"
 SCOPED_COLUMNS = (
     "uw_year", "payer_country", "payer_name", "service_provider", "master_contract",
     "policy_type", "network_type", "network_group", "age_bucket", "beneficiary_key",
@@ -78,58 +81,79 @@ def scoped_projection(policies: DataFrame, scope: Scope) -> DataFrame:
 
 
 def parse_scopes(scopes: DataFrame) -> DataFrame:
-    """Table of ``(scope_id, scope_json)`` with the JSON as columns, blank values dropped."""
+    """Table of ``(scope_id, scope_json)`` with the JSON as columns, blank values dropped.
+
+    ``problem`` says why a scope cannot match anything, else it is NULL.
+    """
     parsed = scopes.select(
         "scope_id", F.from_json("scope_json", SCOPE_JSON_SCHEMA).alias("scope")
     ).select("scope_id", "scope.*")
+    problem = F.when(
+        F.col("year_start").isNull() | F.col("year_end").isNull(), UNREADABLE_SCOPE
+    ).when(F.col("year_start") > F.col("year_end"), EMPTY_YEARS)
     return parsed.withColumns(
         {
             name: F.coalesce(F.filter(name, lambda v: F.trim(v) != ""), F.array())
             for name in SCOPE_COLUMNS
         }
-    )
+    ).withColumn("problem", problem)
 
 
-def match_scopes(policies: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Policies of every scope in a table of scopes, in one pass, as ``(scope_id, policy)``.
+def _wanted(policies: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Scopes with the years that policies have and their restrictions.
 
-    Each scope is looked up by the values of its first restricted dimension, so a policy
-    meets only scopes that name one of its own values instead of every scope there is. The
-    remaining dimensions are checked on the pairs that meet. Scopes without a dimension are
-    looked up by year.
+    Years are looked up among those of the policies, so a range of any width costs nothing.
+    The restriction on the dimension with most values comes first, as it keeps fewest
+    policies. A first pass over the policies gives twenty numbers and the list of years.
     """
+    facts = policies.agg(
+        F.collect_set("uw_year").alias("years"),
+        *[F.approx_count_distinct(c, 0.1).alias(c) for c in SCOPE_COLUMNS.values()],
+    )
+    fact = facts.first()
+    known = F.array(*[F.lit(y) for y in sorted(fact["years"])]).cast("array<int>")
     listed = F.array(
         *[
-            F.struct(F.lit(column).alias("dimension"), F.col(name).alias("kept"))
+            F.struct(
+                F.lit(-fact[column]).alias("order"),
+                F.lit(column).alias("dimension"),
+                F.col(name).alias("kept"),
+            )
             for name, column in SCOPE_COLUMNS.items()
         ]
     )
-    years = F.transform(F.sequence("year_start", "year_end"), lambda y: y.cast("string"))
-    first = F.try_element_at("restrictions", F.lit(1))
-    wanted = (
+    restrictions = F.filter(listed, lambda d: F.size(d["kept"]) > 0)
+    start, end = F.col("year_start"), F.col("year_end")
+    return (
         parse_scopes(scopes)
-        .where("year_start <= year_end")
+        .where("problem IS NULL")
         .select(
             "scope_id", "year_start", "year_end",
-            F.filter(listed, lambda d: F.size(d["kept"]) > 0).alias("restrictions"),
-        )
-        .withColumn("anchor", F.coalesce(first["dimension"], F.lit("uw_year")))
-        .withColumn(
-            "anchor_value",
-            F.explode(F.array_distinct(F.coalesce(first["kept"], years))),
+            F.filter(known, lambda y: y.between(start, end)).alias("years"),
+            F.sort_array(restrictions).alias("restrictions"),
         )
     )
-    # At most twenty column names; knowing them keeps the policies from offering the rest.
+
+
+def _matched(policies: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Policies of scopes that restrict a dimension, looked up by the first restriction."""
+    first = F.element_at("restrictions", 1)
+    wanted = wanted.select(
+        "scope_id", "year_start", "year_end", "restrictions",
+        first["dimension"].alias("anchor"),
+        F.explode(F.array_distinct(first["kept"])).alias("anchor_value"),
+    )
+    # At most nineteen column names; policies offer their values of those alone.
     used = sorted(r["anchor"] for r in wanted.select("anchor").distinct().collect())
     offers = F.array(
         *[
-            F.struct(F.lit(c).alias("anchor"), F.col(c).cast("string").alias("anchor_value"))
-            for c in used or ["uw_year"]
+            F.struct(F.lit(c).alias("anchor"), F.col(c).alias("anchor_value"))
+            for c in used or ["payer_name"]
         ]
     )
     offered = (
         policies.where("uw_year IS NOT NULL")
-        .select(*policies.columns, F.inline(offers))
+        .select("*", F.inline(offers))
         .where("anchor_value IS NOT NULL")
     )
     p, s = offered.alias("p"), wanted.alias("s")
@@ -148,6 +172,76 @@ def match_scopes(policies: DataFrame, scopes: DataFrame) -> DataFrame:
     return p.join(s, meets).select("s.scope_id", *[f"p.{c}" for c in policies.columns])
 
 
+def match_scopes(policies: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Policies of every scope in a table of scopes, in one pass, as ``(scope_id, policy)``.
+
+    Each scope is looked up by the values of its most selective restricted dimension, so a
+    policy meets only scopes that name one of its own values instead of every scope there
+    is. The remaining dimensions are checked on the pairs that meet. Scopes without a
+    dimension are looked up by year.
+    """
+    wanted = _wanted(policies, scopes)
+    by_value = _matched(policies, wanted.where(F.size("restrictions") > 0))
+    years = wanted.where(F.size("restrictions") == 0).select(
+        "scope_id", F.explode("years").alias("uw_year")
+    )
+    by_year = policies.join(years, "uw_year").select("scope_id", *policies.columns)
+    return by_value.unionByName(by_year)
+
+
+def scope_summary(policies: DataFrame, scopes: DataFrame) -> DataFrame:
+    """One row per scope: policies, distinct members, gross premium and ``problem``.
+
+    Scopes that match nothing have zeros. Scopes by year alone that cover the same years
+    are counted once, on policies reduced to year and member before they meet the years.
+    """
+    wanted = _wanted(policies, scopes)
+    slim = policies.select(
+        "uw_year", *SCOPE_COLUMNS.values(), "beneficiary_key",
+        micro(F.col("gross_premium_usd")).alias("gross"),
+    )
+    by_value = (
+        _matched(slim, wanted.where(F.size("restrictions") > 0))
+        .groupBy("scope_id", "beneficiary_key")
+        .agg(F.count(F.lit(1)).alias("n"), sum_micro(F.col("gross")).alias("gross"))
+        .groupBy("scope_id")
+        .agg(*_totals())
+    )
+    plain = wanted.where(F.size("restrictions") == 0).select("scope_id", "years")
+    members = slim.groupBy("uw_year", "beneficiary_key").agg(
+        F.count(F.lit(1)).alias("n"), sum_micro(F.col("gross")).alias("gross")
+    )
+    by_years = (
+        plain.select("years").distinct()
+        .select("years", F.explode("years").alias("uw_year"))
+        .join(members, "uw_year")
+        .groupBy("years", "beneficiary_key")
+        .agg(F.sum("n").alias("n"), F.sum("gross").alias("gross"))
+        .groupBy("years")
+        .agg(*_totals())
+    )
+    found = by_value.unionByName(plain.join(by_years, "years").drop("years"))
+    return (
+        parse_scopes(scopes).select("scope_id", "problem")
+        .join(found, "scope_id", "left")
+        .select(
+            "scope_id", "problem",
+            F.coalesce("policy_records", F.lit(0)).alias("policy_records"),
+            F.coalesce("beneficiaries", F.lit(0)).alias("beneficiaries"),
+            F.coalesce(dollars(F.col("gross")), F.lit(0.0)).alias("gross_premium_usd"),
+        )
+    )
+
+
+def _totals() -> list[Column]:
+    """Over rows that are one per member, NULL included."""
+    return [
+        F.sum("n").alias("policy_records"),
+        F.count("beneficiary_key").alias("beneficiaries"),
+        F.sum("gross").alias("gross"),
+    ]
+
+
 def scope_label() -> Column:
     """Readable text of a parsed scope: three dimensions of three values, then a count."""
     shown = F.array_compact(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,10 @@ from covermart.sources.sinks import write_by_year
 
 ROLLUPS = ("monthly_kpis", "monthly_country_kpis", "monthly_dimension_kpis")
 TABLES = (
-    "policy_records", "member_months", "monthly_series", *ROLLUPS, "active_population", "filter_options",
+    "policy_records", "monthly_series", *ROLLUPS, "active_population", "filter_options",
     "mart_metadata",
 )
+VERSIONS = "versions"
 
 
 def policy_records(raw: DataFrame) -> DataFrame:
@@ -52,23 +54,36 @@ def rollup(series: DataFrame, name: str) -> DataFrame:
     return series.where(F.col("dimension").isin(*mo.ROLLUP_DIMENSIONS))
 
 
-def build_mart(spark: SparkSession, source: str, folder: str) -> None:
-    """Read an extract and replace every stored table under ``folder``."""
-    write_mart(spark, policy_records(read_extract(spark, source)), folder, source)
+def build_mart(
+    spark: SparkSession,
+    source: str,
+    folder: str,
+    multiline: bool = False,
+    months: bool = False,
+) -> None:
+    """Read an extract and store a new version of every table under ``folder``."""
+    raw = read_extract(spark, source, multiline)
+    write_mart(spark, policy_records(raw), folder, source, months)
 
 
-def write_mart(spark: SparkSession, policies: DataFrame, folder: str, source: str) -> None:
-    """Replace every stored table from policies with coverage dates.
+def write_mart(
+    spark: SparkSession, policies: DataFrame, folder: str, source: str, months: bool = False
+) -> None:
+    """Store a new version of every table from policies with coverage dates.
+
+    A version is a folder of its own. Its name is committed last, in one append, so readers
+    see the version before until all tables are there, and a failed build leaves it in use.
+    Older versions stay until they are removed by hand.
 
     Each fact is written once and read back, so the rollups start from stored columns and
-    a lost executor never repeats the cleaning. Stored policies are already in folders by
-    year, so their months are written without another shuffle.
+    a lost executor never repeats the cleaning. ``months`` also stores every covered month of
+    every policy, about a dozen rows for each, which no aggregate here reads.
     """
+    root, folder = folder, f"{folder}/version-{uuid.uuid4().hex}"
     write_by_year(policies, f"{folder}/policy_records")
     stored = spark.read.parquet(f"{folder}/policy_records")
-    member_months(stored).write.mode("overwrite").partitionBy("uw_year").parquet(
-        f"{folder}/member_months"
-    )
+    if months:
+        member_months(stored).write.partitionBy("uw_year").parquet(f"{folder}/member_months")
     # Policies without a year are outside every scope, so the rollups leave them out. All
     # dimensions are computed in one pass and split afterwards.
     mo.monthly_series(stored.where("uw_year IS NOT NULL"), mo.SERIES_DIMENSIONS).write.mode(
@@ -88,13 +103,23 @@ def write_mart(spark: SparkSession, policies: DataFrame, folder: str, source: st
     }
     for name, table in tables.items():
         table.write.mode("overwrite").parquet(f"{folder}/{name}")
+    spark.range(1).select(
+        F.lit(folder.rsplit("/", 1)[1]).alias("version"),
+        F.lit(datetime.now(timezone.utc).isoformat()).alias("built_at_utc"),
+    ).write.mode("append").parquet(f"{root}/{VERSIONS}")
 
 
 class Mart:
-    """Stored tables under a folder."""
+    """Stored tables under a folder, in their last version or a given one.
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    The version is looked up once, so all tables of an object belong together.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, version: str | None = None):
+        if version is None:
+            versions = spark.read.parquet(f"{folder}/{VERSIONS}")
+            version = versions.agg(F.max_by("version", "built_at_utc")).first()[0]
+        self.spark, self.folder = spark, f"{folder}/{version}".rstrip("/")
         self._years: tuple[int, int] | None = None
 
     def table(self, name: str) -> DataFrame:
@@ -122,11 +147,20 @@ class Mart:
             and all(needed <= set(self.table(name).columns) for name in ROLLUPS)
         )
 
-    def monthly(self, scope: Scope) -> dict[str, DataFrame]:
-        """The five month-end frames, from the rollups where they serve, else recomputed."""
+    def monthly(
+        self, scope: Scope, caches: list[DataFrame] | None = None
+    ) -> dict[str, DataFrame]:
+        """The five month-end frames, from the rollups where they serve, else recomputed.
+
+        With ``caches`` the recomputed metrics are persisted and added to the list, whose
+        owner unpersists them; else each frame computes them anew.
+        """
         if not self.serves(scope):
             policies = scope_filter(self.table("policy_records"), scope)
-            return mo.split_grouping_sets(mo.scoped_monthly_metrics(policies).persist())
+            metrics = mo.scoped_monthly_metrics(policies)
+            if caches is not None:
+                caches.append(metrics.persist())
+            return mo.split_grouping_sets(metrics)
         stored = self.table("monthly_dimension_kpis")
         frames = {
             name: self.table(name).select(*columns).orderBy(*order)

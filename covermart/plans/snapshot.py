@@ -11,29 +11,53 @@ from covermart.operators.scope import Scope, scoped_projection
 from covermart.plans.mart import Mart
 
 
-def snapshot(mart: Mart, scope: Scope) -> dict[str, DataFrame]:
+class Snapshot(dict[str, DataFrame]):
+    """Frames by name, and the caches they read. Close it, or use it in a ``with`` block."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.caches: list[DataFrame] = []
+
+    def close(self) -> None:
+        """Free the caches; the frames still work, computed anew."""
+        for frame in self.caches:
+            frame.unpersist()
+        self.caches.clear()
+
+    def __enter__(self) -> Snapshot:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+
+def snapshot(mart: Mart, scope: Scope) -> Snapshot:
     """Seventeen lazy frames of a scope.
 
-    The slim scoped policies are persisted because nine frames read them; unpersist the
-    frame under ``scoped_policies`` when done.
+    The slim scoped policies are persisted because ten frames read them, and the month-end
+    metrics if the stored rollups do not serve the scope.
     """
+    frames = Snapshot()
     scoped = scoped_projection(mart.table("policy_records"), scope)
     scoped = scoped.persist(StorageLevel.MEMORY_AND_DISK)
-    monthly = mart.monthly(scope)
+    frames.caches.append(scoped)
+    monthly = mart.monthly(scope, frames.caches)
     population = mo.active_population(monthly["monthly_kpis"])
-    return {
-        "scoped_policies": scoped,
-        "summary": rv.latest_active(rv.portfolio_summary(scoped), population),
-        "active_population": population,
-        **monthly,
-        "premium_by_year": rv.premium_by_year(scoped),
-        "payer_review": rv.payer_review(scoped),
-        "payer_review_all": rv.payer_review_all(scoped),
-        "payer_network_premium": rv.payer_network_premium(scoped),
-        "master_contract_network_premium": rv.contract_network_premium(scoped),
-        "age_bucket_review": rv.age_bucket_review(scoped),
-        "policy_type_review": rv.policy_type_review(scoped),
-        "policy_type_review_all": rv.policy_type_review_all(scoped),
-        "mobile_by_payer": rv.mobile_by_payer(scoped),
-        "mobile_by_payer_all": rv.mobile_by_payer_all(scoped),
-    }
+    frames.update(
+        {
+            "summary": rv.latest_active(rv.portfolio_summary(scoped), population),
+            "active_population": population,
+            **monthly,
+            "premium_by_year": rv.premium_by_year(scoped),
+            "payer_review": rv.payer_review(scoped),
+            "payer_review_all": rv.payer_review_all(scoped),
+            "payer_network_premium": rv.payer_network_premium(scoped),
+            "master_contract_network_premium": rv.contract_network_premium(scoped),
+            "age_bucket_review": rv.age_bucket_review(scoped),
+            "policy_type_review": rv.policy_type_review(scoped),
+            "policy_type_review_all": rv.policy_type_review_all(scoped),
+            "mobile_by_payer": rv.mobile_by_payer(scoped),
+            "mobile_by_payer_all": rv.mobile_by_payer_all(scoped),
+        }
+    )
+    return frames

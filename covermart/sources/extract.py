@@ -28,6 +28,7 @@ from covermart.functions.clean import (
 
 TEXT_SUFFIXES = (".csv", ".tsv", ".txt")
 PARQUET_SUFFIXES = (".parquet", ".pq")
+OPEN_QUOTE = "A quoted field does not end on its line; read the extract with multiline=True."
 _PARSERS = {
     **dict.fromkeys(NUMBER_COLUMNS, (parse_number, "double")),
     **dict.fromkeys(INTEGER_COLUMNS, (parse_integer, "int")),
@@ -74,20 +75,37 @@ def _distinct_names(fields: list[str | None]) -> list[str]:
 def read_delimited(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Text extract with a header, every column text; short rows are filled with NULL.
 
-    Files are split between tasks. Set ``multiline`` when quoted fields hold line breaks;
-    a file is then read by one task.
+    Files are split between tasks, line by line; a line that ends inside a quoted field stops
+    the job, so that no row is read shifted. Set ``multiline`` when quoted fields hold line
+    breaks; a file is then read by one task.
     """
     options = {
         "sep": sniff_delimiter(spark, path),
         "quote": '"',
         "escape": '"',
         "mode": "PERMISSIVE",
-        "multiLine": multiline,
     }
-    header = spark.read.options(**options).csv(path, header=False).first()
-    names = _distinct_names(list(header or []))
+    reader = spark.read.options(**options, multiLine=multiline)
+    names = _distinct_names(list(reader.csv(path, header=False).first() or []))
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.schema(schema).options(**options, header=True).csv(path)
+    if multiline or not names:
+        return reader.schema(schema).csv(path, header=True)
+    lines = spark.read.text(path).where(F.trim(F.translate("value", "\t\ufeff", "")) != "")
+    header, line = lines.first()["value"], F.col("value")
+    open_quote = F.raise_error(F.lit(OPEN_QUOTE)).cast("string")
+    whole = F.when(line.rlike(_closed_line(options["sep"])), line).otherwise(open_quote)
+    places = [f"c{i}" for i in range(len(names))]
+    rows = lines.where(line != header).select(
+        F.from_csv(whole, ", ".join(f"{c} string" for c in places), options).alias("row")
+    )
+    return rows.select(*[F.col(f"row.{c}").alias(n) for c, n in zip(places, names)])
+
+
+def _closed_line(separator: str) -> str:
+    """A pattern for lines whose quoted fields all end on the line."""
+    sep = re.escape(separator)
+    quoted = f'"(?:[^"]++|"")*+"[^{sep}]*+'
+    return f'^(?:(?:{quoted}|[^"{sep}][^{sep}]*+|)(?:{sep}|$))*+$'
 
 
 def read_extract(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:

@@ -42,7 +42,8 @@ common(
 def _mart(spark, sf_dir) -> Mart:
     """All stored tables, written once per application."""
     path = stored(
-        spark, sf_dir, "mart", lambda p: write_mart(spark, policies(spark, sf_dir), p, sf_dir)
+        spark, sf_dir, "mart",
+        lambda p: write_mart(spark, policies(spark, sf_dir), p, sf_dir, months=True),
     )
     return Mart(spark, path)
 
@@ -95,7 +96,7 @@ def _share_sql(name: str) -> str:
     ("months",),
 )
 def apportion(spark, sf_dir):
-    return cov.member_months(policies(spark, sf_dir)).select(
+    return _mart(spark, sf_dir).table("member_months").select(
         "month_end", "uw_year", "payer_name", "network_type", "beneficiary_key",
         "registered_user_key", "registration_date", *MONEY_COLUMNS,
     )
@@ -110,7 +111,7 @@ def apportion(spark, sf_dir):
 def registered_as_of(spark, sf_dir):
     user = mo.registered_as_of(F.col("month_end"))
     return (
-        cov.member_months(policies(spark, sf_dir))
+        _mart(spark, sf_dir).table("member_months")
         .groupBy("month_end", "network_group")
         .agg(F.countDistinct(user).alias("active_registered_users"))
     )
@@ -210,7 +211,7 @@ def _stack_frames(frames):
 
 @query("split_grouping_sets", _SPLIT_SQL, ("scoped_months",))
 def split_grouping_sets(spark, sf_dir):
-    metrics = mo.scoped_monthly_metrics(dated_policies(spark, sf_dir)).persist()
+    metrics = mo.scoped_monthly_metrics(dated_policies(spark, sf_dir))
     return _stack_frames(mo.split_grouping_sets(metrics))
 
 
@@ -481,5 +482,18 @@ def densify_grid(spark, sf_dir):
     ("country_kpis", "latest_months"),
 )
 def country_month_matrix(spark, sf_dir):
+    """The matrix, laid out in rows again: its columns are named by the months shown."""
     series = ti.trailing_months(country_kpis(spark, sf_dir))
-    return rs.country_month_rows(series)
+    months = sorted(r["month_end"] for r in series.select("month_end").distinct().collect())
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(month).alias("month_end"),
+                F.col(f"{month:%Y-%m}_AP").alias("active_population"),
+                F.col(f"{month:%Y-%m}_AR").alias("active_registered_users"),
+                F.col(f"{month:%Y-%m}_Pen").alias("app_penetration"),
+            )
+            for month in months
+        ]
+    )
+    return rs.country_month_matrix(series, months).select("payer_country", F.inline(cells))

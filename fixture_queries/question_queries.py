@@ -38,9 +38,8 @@ def aggregates(spark, sf_dir) -> str:
 
     def write(path):
         mart = _mart(spark, sf_dir)
-        frames = snapshot(mart, Scope(*mart.year_range()))
-        batch.store_aggregates(frames, filter_options(policies(spark, sf_dir)), path)
-        frames["scoped_policies"].unpersist()
+        with snapshot(mart, Scope(*mart.year_range())) as frames:
+            batch.store_aggregates(frames, filter_options(policies(spark, sf_dir)), path)
 
     return stored(spark, sf_dir, "aggregates", write)
 

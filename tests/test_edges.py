@@ -5,8 +5,10 @@ from __future__ import annotations
 import calendar
 import datetime
 import json
+import math
 import random
 from collections import defaultdict
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,9 +106,12 @@ def test_month_series_matches_plain_python(rows, policies):
                         users[key].add(row["registered_user_key"])
                 for place, column in enumerate(mo.MONEY_COLUMNS):
                     if row[column] is not None:
-                        money[key][place] += round(row[column] * 1e6) // len(ends)
+                        money[key][place] += Fraction(round(row[column] * 1e6), len(ends))
     expected = {
-        key: (len(members[key]), len(users[key]), *(v / 1e6 for v in amounts))
+        key: (
+            len(members[key]), len(users[key]),
+            *(math.floor(v + Fraction(1, 2)) / 1e6 for v in amounts),
+        )
         for key, amounts in money.items()
     }
     found = {
@@ -187,6 +192,7 @@ def test_zero_and_missing_gross_have_no_ratio(spark, policies):
 def test_scope_table_agrees_with_single_scopes(spark, policies):
     payloads = {
         "all": {"year_start": 2000, "year_end": 2100},
+        "wide": {"year_start": -2_000_000_000, "year_end": 2_000_000_000},
         "one": {"year_start": 2023, "year_end": 2024, "payers": ["hot", "p1"]},
         "two": {"year_start": 2023, "year_end": 2025, "gender": ["a"], "payers": [" ", "p2"]},
         "null": {"year_start": 2023, "year_end": 2025, "policy_types": ["Unassigned"]},
@@ -201,6 +207,25 @@ def test_scope_table_agrees_with_single_scopes(spark, policies):
     for name, payload in payloads.items():
         single = sc.scope_filter(policies, sc.Scope.from_dict(payload)).count()
         assert counts.get(name, 0) == single, name
+    table = table.unionByName(
+        spark.createDataFrame(
+            [("broken", "{nope"), ("missing", None), ("yearless", "{}")], table.schema
+        )
+    )
+    summary = {r["scope_id"]: r for r in sc.scope_summary(policies, table).collect()}
+    assert set(summary) == {*payloads, "broken", "missing", "yearless"}
+    for name, payload in payloads.items():
+        row = summary[name]
+        single = sc.scope_filter(policies, sc.Scope.from_dict(payload))
+        expected = rv.portfolio_summary(single).first()
+        assert row["policy_records"] == single.count(), name
+        assert row["beneficiaries"] == expected["unique_beneficiaries"], name
+        assert row["gross_premium_usd"] == (expected["gross_premium_usd"] or 0.0), name
+        assert row["problem"] == (sc.EMPTY_YEARS if name == "back" else None), name
+    for name in ("broken", "missing", "yearless"):
+        assert (summary[name]["policy_records"], summary[name]["problem"]) == (
+            0, sc.UNREADABLE_SCOPE,
+        )
     label = dict(
         sc.parse_scopes(table).select("scope_id", sc.scope_label().alias("l")).collect()
     )
@@ -228,3 +253,26 @@ def test_changes_look_back_by_calendar_month(spark):
     assert found["active_registered_users"]["mom"] is None  # from zero
     assert found["net_premium_usd"]["yoy"] is None
     assert found["app_penetration"]["value"] == 0.5
+
+
+def test_no_money_is_lost_in_months(spark):
+    """Many small policies whose money does not divide by their months."""
+    start, stop = datetime.date(2030, 2, 1), datetime.date(2030, 8, 31)  # seven months
+    policies = spark.range(300_000).select(
+        *[F.lit("x").alias(d) for d in DIMENSIONS],
+        F.col("id").cast("string").alias("beneficiary_key"),
+        F.lit(None).cast("string").alias("registered_user_key"),
+        F.lit("m").alias("master_contract_key"),
+        F.lit(0.01).alias("gross_premium_usd"), F.lit(1.0).alias("net_premium_usd"),
+        F.lit(20_000_000_000_000.0).alias("tpa_fee_usd"), F.lit(2030).alias("uw_year"),
+        F.lit(start).alias("member_start_date"), F.lit(stop).alias("member_stop_date"),
+        F.lit(None).cast("date").alias("registration_date"),
+    )
+    policies = cov.coverage_dates(policies)
+    monthly = mo.monthly_kpis(policies).collect()
+    assert len(monthly) == 7
+    assert round(sum(r["gross_premium_usd"] for r in monthly), 2) == 3000.0
+    assert round(sum(r["net_premium_usd"] for r in monthly), 2) == 300_000.0
+    assert sum(r["tpa_fee_usd"] for r in monthly) == pytest.approx(6e18)
+    one = cov.member_months(policies.limit(1)).orderBy("month_end").collect()
+    assert [r["gross_premium_usd"] for r in one] == [0.001429] * 4 + [0.001428] * 3

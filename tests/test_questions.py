@@ -1,8 +1,10 @@
-"""Routing, evidence and answers on a small fixed set of aggregates."""
+"""Routing, evidence and answers on invented aggregates, wider than any list that is shown."""
 
 from __future__ import annotations
 
+import calendar
 import datetime
+import itertools
 import json
 
 import pytest
@@ -11,91 +13,99 @@ from pyspark.sql import functions as F
 from covermart.plans import answers as an
 from covermart.plans import evidence as ev
 from covermart.plans import questions as qu
-from covermart.plans.batch import answer_batch
+from covermart.plans.batch import answer_batch, catalog_of, evidence_of, read_aggregates
 
-JAN, FEB = datetime.date(2026, 1, 31), datetime.date(2026, 2, 28)
 MONEY = "gross_premium_usd double, net_premium_usd double, tpa_fee_usd double"
 RATES = "app_penetration_rate double, net_to_gross_ratio double, tpa_to_gross_ratio double"
 COUNTS = "beneficiaries long, registered_users long, registered_beneficiaries long"
+LETTERS = "abdefgkmnprsuvz"
+PAYERS = [f"{x}olm Care" for x in "BCDFGHJKLMNPRTW"]  # fifteen, largest premium first
+TYPES = [f"Plan {a}{b}" for a, b in itertools.product("KLMNO", "aeiou")]  # twenty-five
+COUNTRIES = [f"Ter{a}{b}ia" for a, b in itertools.product(LETTERS, "aeiou ".strip() + "y")][:80]
+MONTHS = [
+    datetime.date(y, m, calendar.monthrange(y, m)[1]) for y in (2031, 2032, 2033) for m in range(1, 13)
+][:30]
+
+
+def review(name: str, members: int, users: int, gross: float) -> tuple:
+    net, fee = gross * 0.75, gross * 0.125
+    return name, members, users, users, gross, net, fee, users / members, 0.75, 0.125
+
+
+PAYER_ROWS = [review(p, 200, 40 + 10 * i, 64_000.0 - 4_000 * i) for i, p in enumerate(PAYERS)]
 TABLES = {
     "summary": (
         "policy_records long, unique_beneficiaries long, master_contracts long, "
         f"registered_users long, registered_beneficiaries long, {MONEY}, "
         "latest_active_population long, latest_active_month date",
-        [(120, 100, 8, 68, 66, 120000.0, 106000.0, 6000.0, 96, FEB)],
+        [(4100, 3000, 3, 1650, 1600, 540_000.0, 405_000.0, 67_500.0, 2480, MONTHS[-1])],
     ),
     "monthly_kpis": (
         f"month_end date, active_population long, active_registered_users long, {MONEY}",
-        [(JAN, 92, 60, 58000.0, 51000.0, 2800.0), (FEB, 96, 68, 62000.0, 55000.0, 3200.0)],
+        [(m, 1900 + 20 * i, 800 + 10 * i, 1000.0 + i, 750.0, 125.0) for i, m in enumerate(MONTHS)],
     ),
     "monthly_country_kpis": (
         "month_end date, payer_country string, active_population long, "
         "active_registered_users long",
-        [(JAN, "Egypt", 48, 30), (JAN, "United Arab Emirates", 44, 30),
-         (FEB, "Egypt", 50, 36), (FEB, "United Arab Emirates", 46, 32)],
+        [(m, c, 100 + k + i, 50 + k) for i, m in enumerate(MONTHS) for k, c in enumerate(COUNTRIES)],
     ),
     "premium_by_year": (
         f"uw_year int, beneficiaries long, {MONEY}",
-        [(2025, 98, 110000.0, 97000.0, 5500.0), (2026, 100, 120000.0, 106000.0, 6000.0)],
-    ),
-    "payer_review": (
-        f"payer_name string, {COUNTS}, {MONEY}, {RATES}",
-        [("Allianz", 40, 32, 32, 50000.0, 44000.0, 2500.0, 0.8, 0.88, 0.05),
-         ("Bupa", 35, 18, 18, 43000.0, 38000.0, 2200.0, 0.5143, 0.8837, 0.0512),
-         ("Cigna", 25, 18, 16, 27000.0, 24000.0, 1300.0, 0.72, 0.8889, 0.0481)],
+        [(2031, 1400, 250_000.0, 187_500.0, 31_250.0), (2032, 1600, 290_000.0, 217_500.0, 36_250.0)],
     ),
+    "payer_review": (f"payer_name string, {COUNTS}, {MONEY}, {RATES}", PAYER_ROWS),
     "master_contract_network_premium": (
         "master_contract string, network_type string, gross_premium_usd double",
-        [("Delta Families", "GN", 52000.0), ("Delta Families", "PN", 8000.0),
-         ("Atlas Corporate", "GN", 46000.0)],
+        [("Quarry Crew", "Near", 700.0), ("Quarry Crew", "Far", 900.0), ("Mill Hands", "Near", 1200.0)]
+        + [(f"Yard {x}", "Near", 10.0 + k) for k, x in enumerate("ABCDEFGHIJKLMN")],
     ),
     "age_bucket_review": (
         f"age_bucket string, {COUNTS}, {MONEY}, {RATES}",
-        [("30-39", 55, 28, 28, 65000.0, 57000.0, 3300.0, 28 / 55, 57 / 65, 3.3 / 65),
-         ("40-49", 45, 40, 40, 55000.0, 49000.0, 2700.0, 40 / 45, 49 / 55, 2.7 / 55)],
+        [review("0-24", 900, 630, 100.0), review("25-54", 1500, 1200, 300.0), review("55-99", 600, 90, 140.0)],
     ),
     "policy_type_review": (
         f"policy_type string, beneficiaries long, {MONEY}",
-        [("Group", 80, 95000.0, 84000.0, 4800.0), ("Individual", 20, 25000.0, 22000.0, 1200.0)],
+        [(t, 50, 9000.0 - 100 * i, 50.0, 90.0 + i) for i, t in enumerate(TYPES)],
     ),
     "mobile_by_payer": (
         "payer_name string, unique_beneficiaries long, unique_registered_users long, "
         "linked_beneficiaries long, registered_user_penetration double, "
         "linked_beneficiary_coverage double",
-        [("Allianz", 40, 32, 32, 0.8, 0.8), ("Bupa", 35, 18, 18, 0.5143, 0.5143),
-         ("Cigna", 25, 18, 16, 0.72, 0.64)],
+        [(p, 200, 40 + 10 * i, 40, (40 + 10 * i) / 200, 0.2) for i, p in enumerate(PAYERS)],
     ),
-}
+}
 QUESTIONS = {
-    "payers": "Compare Allianz and Bupa app penetration and recommend an action.",
-    "contract": (
-        "Which master contract has the highest gross premium, how concentrated is it by network "
-        "type, and what should be reviewed before renewal?"
-    ),
-    "age": (
-        "Which age bucket has the lowest app penetration, how large is the beneficiary "
-        "opportunity, and what engagement should be prioritised?"
-    ),
-    "type": "Which policy type has the highest TPA ratio?",
-    "country": "Population of Egypt and United Arab Emirates",
-    "year": "Active population trend in 2026 and 2031",
-    "unknown_year": "Active population trend in 2031",
-    "unlisted": "What is the gross premium of Zeta Mutual?",
-    "nothing": "  How   are we doing? ",
-    "blank": " \t ",
+    "two": f"Is {PAYERS[3]} ahead of {PAYERS[9]} in digital registration?",
+    "lagging": "Which payer is lagging on mobile adoption?",
+    "contracts": "Rank every master contract by gross premium.",
+    "ages": "What is the weakest age group for app penetration?",
+    "last_type": f"TPA ratio for {TYPES[-1]}",
+    "countries": "Active population by country",
+    "country_trend": "Active population trend by country",
+    "named_trend": f"Population growth in {COUNTRIES[0]}, {COUNTRIES[40]} and {COUNTRIES[79]}",
+    "named": f"Active members of {COUNTRIES[5]} and {COUNTRIES[6]}",
+    "year": "Population by country in 2032",
+    "far_year": "Active population trend in 2090",
+    "long": "please " * 200 + f"show the gross premium of {PAYERS[14]}",
+    "gaps": "Premium of Oak Unlisted in every market of Nowhere Isle",
+    "vague": "  Tell \t us something. ",
+    "blank": " \n ",
 }
 
 
-@pytest.fixture(scope="module")
-def folder(spark, tmp_path_factory):
-    path = tmp_path_factory.mktemp("aggregates")
-    for name, (schema, rows) in TABLES.items():
+def store(spark, path: str, tables: dict) -> str:
+    for name, (schema, rows) in tables.items():
         spark.createDataFrame(rows, schema).write.parquet(f"{path}/{name}")
     spark.createDataFrame(
-        [("payer_name", "Zeta Mutual"), ("payer_name", "Bupa"), ("gender", "Female")],
+        [("payer_name", "Oak Unlisted"), ("payer_country", "Nowhere Isle"), ("gender", "X")],
         "dimension string, value string",
     ).write.parquet(f"{path}/filter_options")
-    return str(path)
+    return path
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    return store(spark, str(tmp_path_factory.mktemp("aggregates")), TABLES)
 
 
 @pytest.fixture(scope="module")
@@ -105,10 +115,9 @@ def questions(spark):
 
 @pytest.fixture(scope="module")
 def answered(spark, folder, questions):
-    from covermart.plans.batch import catalog_of, evidence_of
-
     routed = qu.route_questions(questions, catalog_of(spark, folder)).persist()
-    frame = an.answer_questions(evidence_of(spark, routed, folder))
+    whole = an.whole_extremes(read_aggregates(spark, folder))
+    frame = an.answer_questions(evidence_of(spark, routed, folder), whole)
     frame = frame.withColumn("context", an.context_json(F.lit("All portfolio")))
     frame = frame.withColumn("prompt", an.prompt_text(F.col("question"), F.col("context")))
     return {r["question_id"]: r.asDict(recursive=True) for r in frame.collect()}
@@ -118,130 +127,128 @@ def tables_of(row) -> dict[str, list[dict]]:
     return json.loads(row["context"])["evidence"]
 
 
-def test_named_payers(answered):
-    row = answered["payers"]
+def test_named_entities_are_compared_with_each_other(answered):
+    row = answered["two"]
+    assert sorted(row["payers"]) == sorted([PAYERS[3], PAYERS[9]])
     assert row["question_focus"] == "Payer digital-adoption comparison"
-    assert "adoption" in row["intents"]
-    assert row["payers"] == ["Allianz", "Bupa"]
     evidence = tables_of(row)
-    assert set(evidence["payer_review"][0]) == {
-        "payer_name", "beneficiaries", "registered_users", "app_penetration_rate",
-    }
-    for table in ("payer_review", "mobile_by_payer"):
-        assert [r["payer_name"] for r in evidence[table]] == ["Allianz", "Bupa"]
-    assert "Cigna" not in row["context"]
-    assert row["answer"].startswith(
-        "**Executive answer**\n\nAllianz leads Bupa on app penetration: 80.0% versus 51.4%, "
-        "a 28.6 percentage points gap.\n\n**Evidence**\n- The observed app penetration range is "
-        "51.4% to 80.0% across the selected entities."
-    )
-    assert "activation plan for Bupa" in row["answer"]
+    assert sorted(r["payer_name"] for r in evidence["payer_review"]) == sorted([PAYERS[3], PAYERS[9]])
+    assert PAYERS[0] not in row["context"]
+    assert (
+        f"{PAYERS[9]} leads {PAYERS[3]} on app penetration: 65.0% versus 35.0%, "
+        "a 30.0 percentage points gap."
+    ) in row["answer"]
 
 
-def test_contract_and_age_reviews(answered):
-    row = answered["contract"]
-    assert row["question_focus"] == "Master-contract review"
-    evidence = tables_of(row)
-    assert set(evidence) == {"summary", "master_contract_network_premium"}
-    assert evidence["master_contract_network_premium"] == [
-        {"master_contract": "Atlas Corporate", "network_type": "GN", "gross_premium_usd": 46000.0},
-        {"master_contract": "Delta Families", "network_type": "GN", "gross_premium_usd": 52000.0},
-        {"master_contract": "Delta Families", "network_type": "PN", "gross_premium_usd": 8000.0},
-    ]
+def test_extremes_cover_entities_that_are_not_listed(answered):
+    row = answered["lagging"]
+    listed = [r["payer_name"] for r in tables_of(row)["payer_review"]]
+    assert listed == PAYERS[:12]  # the twelve weakest are shown
     assert (
-        "Delta Families is largest on gross premium at $60.0k; Atlas Corporate is at $46.0k."
-        in row["answer"]
+        f"{PAYERS[14]} leads {PAYERS[0]} on app penetration: 90.0% versus 20.0%" in row["answer"]
     )
-    row = answered["age"]
-    assert row["question_focus"] == "Age-bucket demographic review"
-    assert {"adoption", "demographic"} <= set(row["intents"])
-    evidence = tables_of(row)
-    assert set(evidence) == {"summary", "age_bucket_review"}
-    assert [r["age_bucket"] for r in evidence["age_bucket_review"]] == ["30-39", "40-49"]
-    assert set(evidence["age_bucket_review"][0]) == {
-        "age_bucket", "beneficiaries", "registered_users", "app_penetration_rate",
+    assert f"plan for {PAYERS[0]}" in row["answer"]
+    for payer in PAYERS[:14]:
+        assert f"{payer} leads" not in row["answer"]
+    contracts = answered["contracts"]
+    names = {r["master_contract"] for r in tables_of(contracts)["master_contract_network_premium"]}
+    assert len(names) == 12 and "Yard A" not in names
+    assert "Quarry Crew is largest on gross premium at $1.6k; Yard A is at $10." in contracts["answer"]
+    assert "25-54 leads 55-99 on app penetration: 80.0% versus 15.0%" in answered["ages"]["answer"]
+
+
+def test_every_policy_type_has_evidence(answered):
+    row = answered["last_type"]
+    assert row["policy_types"] == [TYPES[-1]]
+    assert [r["policy_type"] for r in tables_of(row)["policy_type_review"]] == [TYPES[-1]]
+    assert row["limitations"] == []
+
+
+def test_countries_are_cut_by_months_only(answered):
+    def of(name):
+        return tables_of(answered[name])["monthly_country_kpis"]
+
+    last = f"{MONTHS[-1]}T00:00:00"
+    assert {(r["payer_country"], r["month_end"]) for r in of("countries")} == {
+        (c, last) for c in COUNTRIES
     }
+    assert len(of("country_trend")) == 24 * 80
+    assert len(of("named_trend")) == 24 * 3
+    assert {r["month_end"] for r in of("named")} == {last} and len(of("named")) == 2
+    assert len(of("year")) == 12 * 80
+    months = tables_of(answered["far_year"])["monthly_kpis"]
+    assert len(months) == 24  # no such year: the trend word decides
 
 
-def test_time_slices(answered):
-    assert len(tables_of(answered["year"])["monthly_kpis"]) == 2
-    assert len(tables_of(answered["unknown_year"])["monthly_kpis"]) == 2  # trend words decide
-    country = answered["country"]
-    assert country["payer_countries"] == ["United Arab Emirates", "Egypt"]  # longest first
-    rows = tables_of(country)["monthly_country_kpis"]
-    assert {(r["payer_country"], r["month_end"]) for r in rows} == {
-        ("Egypt", "2026-02-28T00:00:00"), ("United Arab Emirates", "2026-02-28T00:00:00"),
-    }
-    assert (
-        "Monthly active population is 96 in Feb 2026, 4.3% versus Jan 2026."
-        in answered["year"]["answer"]
-    )
+def test_long_questions_are_read_to_their_end(answered):
+    row = answered["long"]
+    assert row["payers"] == [PAYERS[14]] and len(row["question"]) > 1400
+    assert tables_of(row)["payer_review"][0]["gross_premium_usd"] == 8000.0
 
 
-def test_gaps_are_reported(answered):
-    row = answered["unlisted"]
-    assert row["payers"] == ["Zeta Mutual"]
-    assert row["question_focus"] == "Named payer review"
-    assert row["limitations"] == [
-        "No payer-level aggregate row was available for the payer named in the question."
-    ]
+def test_every_gap_is_reported(answered):
+    row = answered["gaps"]
     assert "payer_review" not in tables_of(row)
+    assert len(row["limitations"]) >= 3
+    for gap in row["limitations"]:
+        assert f"- Limitation: {gap}" in row["answer"]
 
 
 def test_unclear_and_blank_questions(answered):
-    row = answered["nothing"]
-    assert row["question"] == "How are we doing?"
-    assert row["intents"] == ["portfolio"]
-    assert row["question_focus"] == "Portfolio review"
+    row = answered["vague"]
+    assert row["question"] == "Tell us something."
+    assert (row["intents"], row["question_focus"]) == (["portfolio"], "Portfolio review")
     assert set(tables_of(row)) == {"summary", "premium_by_year", "payer_review"}
     assert "blank" not in answered
 
 
-def test_context_keys_are_sorted_and_prompt_holds_them(answered):
+def test_prompts_hold_the_whole_context(answered):
     for row in answered.values():
-        parsed = json.loads(row["context"])
+        parsed = json.loads(row["prompt"].split("Aggregate evidence (JSON):\n")[1])
+        assert parsed == json.loads(row["context"])
         assert list(parsed) == sorted(parsed)
         for rows in parsed["evidence"].values():
             assert all(list(r) == sorted(r) for r in rows)
-        assert row["context"] in row["prompt"]
         assert row["question"] in row["prompt"]
-
-
-def test_long_context_is_cut(spark):
-    frame = spark.createDataFrame([("q", "x" * 18_001)], "question string, context string")
-    prompt = frame.select(an.prompt_text(F.col("question"), F.col("context"))).first()[0]
-    assert prompt.endswith("x" * 18_000 + "\n[Aggregate evidence truncated due to size.]")
-
-
-def test_rankings_and_missing_measures(spark, folder):
-    mobile = ev.rankings(spark.read.parquet(f"{folder}/mobile_by_payer"), "mobile_by_payer")
-    by_ranking = {}
-    for row in mobile.orderBy("place").collect():
-        by_ranking.setdefault(row["ranking"], []).append(row["payer_name"])
-    assert by_ranking == {
-        "adoption:asc": ["Bupa", "Cigna", "Allianz"],
-        "adoption:desc": ["Allianz", "Cigna", "Bupa"],
-        "listed": ["Allianz", "Bupa", "Cigna"],
-    }
-
-
-def test_batch_appends_dated_records(spark, folder, questions, tmp_path):
-    for _ in range(2):
+    assert max(len(row["prompt"]) for row in answered.values()) > 100_000
+
+
+def test_rankings_and_missing_measures(spark):
+    schema = TABLES["mobile_by_payer"][0]
+    rows = [("b", 5, 1, 1, 0.2, 0.2), ("a", 5, 1, 1, 0.2, 0.2), ("c", 9, 0, 0, None, None)]
+    ranked = ev.rankings(spark.createDataFrame(rows, schema), "mobile_by_payer")
+    places: dict = {}
+    for row in ranked.orderBy("place").collect():
+        places.setdefault(row["ranking"], []).append(row["payer_name"])
+    assert places == {
+        "adoption:asc": ["a", "b", "c"], "adoption:desc": ["a", "b", "c"], "listed": ["c", "a", "b"],
+    }
+
+
+def test_batches_keep_their_own_values(spark, folder, questions, tmp_path):
+    other = dict(TABLES)
+    schema, (first, *rest) = TABLES["payer_review"]
+    other["payer_review"] = (schema, [review(PAYERS[0], 10, 5, 123.0), *rest])
+    second = store(spark, f"{tmp_path}/second", other)
+    asked = questions.where("question_id IN ('two', 'lagging', 'blank')")
+    for source in (folder, second):
         answer_batch(
-            spark, questions, folder, f"{tmp_path}/work", f"{tmp_path}/records",
-            scope="payer country: Egypt", scope_json='{"payer_countries":["Egypt"]}',
+            spark, asked, source, f"{tmp_path}/work", f"{tmp_path}/records",
+            scope="all of it", scope_json="{}",
         )
     saved = spark.read.parquet(f"{tmp_path}/records")
     assert len(saved.columns) == 24  # twenty-three fields and the date folder
-    rows = saved.collect()
-    assert len(rows) == 2 * (len(QUESTIONS) - 1)
-    assert len({r["interaction_id"] for r in rows}) == len(rows)
-    assert {r["schema_version"] for r in rows} == {4}
-    assert all(r["answer"].startswith("**Executive answer**") for r in rows)
-    assert {r["scope"] for r in rows} == {"payer country: Egypt"}
+    rows = saved.orderBy("timestamp_utc").collect()
+    assert len(rows) == 4 and len({r["interaction_id"] for r in rows}) == 4
+    assert {(r["schema_version"], r["scope"]) for r in rows} == {(4, "all of it")}
     assert all(r["timestamp_utc"].date() == r["date"] for r in rows)
-    shared = json.loads(rows[0]["all_aggregate_metrics_json"])
-    assert "policy_records" in shared["metric_catalog"]["summary"]
-    values = spark.read.parquet(shared["values_path"])
-    names = {r["table_name"] for r in values.select("table_name").distinct().collect()}
-    assert {"summary", "monthly_kpis", "payer_review"} <= names
+    paths = list(dict.fromkeys(json.loads(r["all_aggregate_metrics_json"])["values_path"] for r in rows))
+    assert len(paths) == 2
+    gross = []
+    for path in paths:
+        values = spark.read.parquet(path)
+        names = {r["table_name"] for r in values.select("table_name").distinct().collect()}
+        assert names == {*TABLES, "active_population", "metadata"}
+        own = [json.loads(r["row_json"]) for r in values.where("table_name = 'payer_review'").collect()]
+        gross.append({r["payer_name"]: r["gross_premium_usd"] for r in own}[PAYERS[0]])
+    assert gross == [64_000.0, 123.0]
