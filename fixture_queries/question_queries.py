@@ -498,6 +498,27 @@ _TEXT_COLUMNS = (
 )
 
 
+_DATES = ("month_end", "latest_active_month")
+_DOUBLES = (*_MONEY, *_RATES, "registered_user_penetration", "linked_beneficiary_coverage")
+
+
+def _json_sql(column: str) -> str:
+    """A value as JSON text: doubles with ten decimal places at most, without ending zeros."""
+    value = f"f.{column}"
+    if column in _DATES:
+        text = f"concat('\"', cast({value} AS date), 'T00:00:00\"')"
+        text = f"CASE WHEN {value} IS NOT NULL THEN {text} END"
+    elif column in _TEXT_COLUMNS:
+        text = f"cast(to_json({value}) AS varchar)"
+    elif column in _DOUBLES:
+        digits = f"cast(cast(round({value}, 10) AS decimal(38, 10)) AS varchar)"
+        short = f"regexp_replace(regexp_replace({digits}, '0+$', ''), '\\.$', '.0')"
+        text = f"CASE WHEN abs({value}) >= 1e5 THEN cast({value} AS varchar) ELSE {short} END"
+    else:
+        text = f"cast({value} AS varchar)"
+    return f"coalesce({text}, 'null')"
+
+
 def _cells_sql() -> str:
     parts = []
     for source, columns in _FRAME_COLUMNS.items():
@@ -516,7 +537,7 @@ def _cells_sql() -> str:
             parts.append(
                 f"SELECT p.question_id, '{source}' AS source, {entity} AS entity, "
                 f"{detail} AS detail, {period} AS period, '{column}' AS column_name, "
-                f"{number} AS value FROM {rows} "
+                f"{number} AS value, {_json_sql(column)} AS value_text FROM {rows} "
                 f"WHERE list_contains(p.sources, '{source}') AND {shown}"
             )
     return " UNION ALL ".join(parts)
@@ -585,7 +606,7 @@ def ev_entity_tables(spark, sf_dir):
 
 @query("ev_project", "SELECT * FROM cells", ("cells",))
 def ev_project(spark, sf_dir):
-    return _cells(spark, sf_dir).drop("value_text")
+    return _cells(spark, sf_dir)
 
 
 _GAPS_SQL = _pick(
@@ -981,7 +1002,92 @@ def answer_text(spark, sf_dir):
     return an.answer_questions(evidence(spark, sf_dir), whole).select("question_id", "answer")
 
 
-@query("ev_context_json")
+_GROSS_FIRST = "-coalesce(f.gross_premium_usd, '-infinity'::double)"
+
+
+def _place_sql(source: str) -> tuple[str, str]:
+    """Section and place of a row in the listing order of its table."""
+    if source in _ENTITY_SOURCES and source not in (
+        "policy_type_review", "master_contract_network_premium",
+    ):
+        _, entity, cls = _ENTITY_SOURCES[source]
+        named = "-cast(f.unique_beneficiaries AS double)"
+        if source != "mobile_by_payer":
+            named = _GROSS_FIRST
+        ranked = (
+            f"(SELECT max(r.place) FROM ranked AS r WHERE r.source = '{source}' AND r.entity = "
+            f"f.{entity} AND r.ranking = {_WANTED_RANKING.format(source=source)})"
+        )
+        return "''", f"CASE WHEN p.n_{cls} > 0 THEN {named} ELSE {ranked} END"
+    return {
+        "summary": ("''", "0"),
+        "premium_by_year": ("''", "f.uw_year"),
+        "monthly_kpis": ("''", _PERIOD),
+        "monthly_country_kpis": (
+            "''", f"CASE WHEN p.n_payer_countries > 0 THEN {_PERIOD} ELSE -f.active_population END",
+        ),
+        "policy_type_review": ("''", _GROSS_FIRST),
+        "master_contract_network_premium": ("f.master_contract", _GROSS_FIRST),
+    }[source]
+
+
+def _places_sql() -> str:
+    parts = []
+    for source, (rows, entity, detail, period) in _EVIDENCE_FROM.items():
+        section, place = _place_sql(source)
+        parts.append(
+            f"SELECT p.question_id, '{source}' AS source, {entity} AS entity, {detail} AS detail, "
+            f"{period} AS period, {section} AS section, cast({place} AS double) AS place "
+            f"FROM {rows} WHERE list_contains(p.sources, '{source}')"
+        )
+    return " UNION ALL ".join(parts)
+
+
+common(
+    "places",
+    _places_sql(),
+    ("plan", "summary_frame", "years_frame", "month_rows", "country_rows", "entity_rows",
+     "ranked"),
+)
+common(
+    "evidence_json",
+    """SELECT question_id, concat('{', string_agg(concat('"', source, '":[', rows, ']'), ','
+                                                  ORDER BY source), '}') AS evidence
+       FROM (SELECT r.question_id, r.source, string_agg(r.row_json, ',' ORDER BY
+                        p.section, p.place, r.entity NULLS FIRST, r.detail NULLS FIRST,
+                        r.period NULLS FIRST) AS rows
+             FROM (SELECT question_id, source, entity, detail, period,
+                          concat('{', string_agg(concat('"', column_name, '":', value_text), ','
+                                                 ORDER BY column_name), '}') AS row_json
+                   FROM cells GROUP BY ALL) AS r JOIN places AS p
+               ON p.question_id = r.question_id AND p.source = r.source
+              AND p.entity IS NOT DISTINCT FROM r.entity
+              AND p.detail IS NOT DISTINCT FROM r.detail
+              AND p.period IS NOT DISTINCT FROM r.period
+             GROUP BY 1, 2) AS t GROUP BY 1""",
+    ("cells", "places"),
+)
+_MATCHED_SQL = " || ',' || ".join(
+    f"""'"{c}":' || coalesce((SELECT cast(to_json(list(value ORDER BY length(phrase) DESC,
+        position, value)) AS varchar) FROM hits AS h WHERE h.question_id = p.question_id
+        AND h.entity_class = '{c}'), '[]')"""
+    for c in sorted(qu.ENTITY_COLUMNS)
+)
+_CONTEXT_SQL = f"""
+    SELECT p.question_id, p.question, concat('{{"evidence":', coalesce(e.evidence, '{{}}'),
+           ',"intents":', to_json(p.intents), ',"limitations":', to_json({_GAPS_SQL}),
+           ',"matched_entities":{{', {_MATCHED_SQL}, '}},"question":', to_json(p.question),
+           ',"question_focus":', to_json(p.focus), ',"requested_metrics":', to_json(p.metrics),
+           ',"scope":"{an.ALL_PORTFOLIO}"}}') AS context_json
+    FROM plan AS p LEFT JOIN evidence_json AS e ON e.question_id = p.question_id"""
+common("contexts", _CONTEXT_SQL, ("plan", "hits", "cells", "evidence_json"))
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query("ev_context_json", "SELECT question_id, context_json FROM contexts", ("contexts",))
 def ev_context_json(spark, sf_dir):
     ready = evidence(spark, sf_dir).withColumn("limitations", ev.limitations())
     return ready.select(
@@ -989,7 +1095,13 @@ def ev_context_json(spark, sf_dir):
     )
 
 
-@query("prompt_text")
+@query(
+    "prompt_text",
+    f"""SELECT question_id, concat({_literal(fv.PROMPT_INTRO + fv.PROMPT_QUESTION_HEADING)},
+               question, {_literal(fv.PROMPT_EVIDENCE_HEADING)}, context_json) AS prompt
+        FROM contexts""",
+    ("contexts",),
+)
 def prompt_text(spark, sf_dir):
     ready = evidence(spark, sf_dir).withColumn("limitations", ev.limitations())
     context = an.context_json(F.lit(an.ALL_PORTFOLIO))
