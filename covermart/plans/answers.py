@@ -27,7 +27,14 @@ from covermart.fixed_values import (
 from covermart.functions.text import fixed, format_metric, money, percent
 from covermart.operators.coverage import month_end
 from covermart.operators.reviews import contract_totals
-from covermart.plans.evidence import NAMED_SOURCES, SHAPES, limitations, metric_value, rows_of
+from covermart.plans.evidence import (
+    NAMED_SOURCES,
+    SHAPES,
+    json_text,
+    limitations,
+    metric_value,
+    rows_of,
+)
 from covermart.plans.questions import ENTITY_COLUMNS
 from covermart.sources.sinks import EVALUATION_SCHEMA_VERSION
 
@@ -451,15 +458,19 @@ def prompt_text(question: Column, context: Column) -> Column:
 def aggregate_rows(frames: dict[str, DataFrame]) -> DataFrame:
     """All aggregate values as ``(table_name, row_json)``, one row per aggregate row.
 
-    A table, not one document, because the payer tables grow with the portfolio.
+    A table, not one document, because the payer tables grow with the portfolio. Values are
+    written as in the evidence.
     """
+
+    def row(frame: DataFrame) -> Column:
+        cells = [
+            F.concat(F.lit(f'"{name}":'), json_text(name, kind))
+            for name, kind in sorted(frame.dtypes)
+        ]
+        return F.concat(F.lit("{"), F.concat_ws(",", *cells), F.lit("}"))
+
     parts = [
-        frame.select(
-            F.lit(name).alias("table_name"),
-            F.to_json(F.struct(*sorted(frame.columns)), {"ignoreNullFields": "false"}).alias(
-                "row_json"
-            ),
-        )
+        frame.select(F.lit(name).alias("table_name"), row(frame).alias("row_json"))
         for name, frame in frames.items()
     ]
     whole = parts[0]

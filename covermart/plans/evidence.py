@@ -52,7 +52,7 @@ NAMED_SOURCES = {source: shape[3] for source, shape in SHAPES.items() if shape[3
 # --- rows of one shape ---------------------------------------------------------------
 
 
-def _json_text(name: str, kind: str) -> Column:
+def json_text(name: str, kind: str) -> Column:
     """A column's value as JSON text; NULL becomes ``null``."""
     value = F.col(name)
     if kind == "string":
@@ -82,7 +82,7 @@ def evidence_row(
         *[
             F.struct(
                 F.lit(name).alias("name"),
-                _json_text(name, kinds[name]).alias("json"),
+                json_text(name, kinds[name]).alias("json"),
                 (F.col(name) if kinds[name] in number_kinds else F.lit(None))
                 .cast("double")
                 .alias("number"),

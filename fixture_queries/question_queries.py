@@ -1110,9 +1110,55 @@ def prompt_text(spark, sf_dir):
     )
 
 
-@query("all_metrics_json")
+_WHOLE_FRAMES = {
+    "summary": ("summary_frame", _FRAME_COLUMNS["summary"]),
+    "monthly_kpis": ("kpis", _FRAME_COLUMNS["monthly_kpis"]),
+    "monthly_country_kpis": ("country_kpis", _FRAME_COLUMNS["monthly_country_kpis"]),
+    "premium_by_year": (
+        "(SELECT *, cast(registered_users AS double) / nullif(beneficiaries, 0) "
+        "AS app_penetration_rate FROM years_frame)",
+        _FRAME_COLUMNS["premium_by_year"],
+    ),
+    **{
+        source: (frame, _FRAME_COLUMNS[source])
+        for source, (frame, _, _) in _ENTITY_SOURCES.items()
+    },
+    "active_population": ("kpis", ("month_end", "active_population")),
+}
+
+
+def _rows_sql(name: str) -> str:
+    frame, columns = _WHOLE_FRAMES[name]
+    cells = {c: _json_sql(c) for c in columns}
+    if name == "premium_by_year":
+        cells["app_penetration"] = _json_sql("app_penetration_rate")
+    if name == "mobile_by_payer":
+        cells["linked_beneficiaries"] = _json_sql("linked_beneficiaries")
+    listed = " || ',' || ".join(f"'\"{c}\":' || {text}" for c, text in sorted(cells.items()))
+    return f"SELECT '{name}' AS table_name, '{{' || {listed} || '}}' AS row_json FROM {frame} AS f"
+
+
+def _sizes_sql() -> str:
+    sizes = " UNION ALL ".join(
+        f"SELECT '{name}' AS name, count(*) AS n FROM {frame} AS f"
+        for name, (frame, _) in _WHOLE_FRAMES.items()
+        if name != "active_population"
+    )
+    return (
+        "SELECT 'metadata', '{\"name\":\"' || name || '\",\"rows\":' || cast(n AS varchar) || '}' "
+        f"FROM ({sizes}) AS s"
+    )
+
+
+@query(
+    "all_metrics_json",
+    " UNION ALL ".join([*map(_rows_sql, _WHOLE_FRAMES), _sizes_sql()]),
+    ("summary_frame", "kpis", "country_kpis", "years_frame", "payer_frame", "age_frame",
+     "type_frame", "contract_frame", "mobile_frame"),
+)
 def all_metrics_json(spark, sf_dir):
-    return an.aggregate_rows(frames(spark, sf_dir))
+    folder = aggregates(spark, sf_dir)
+    return an.aggregate_rows({**frames(spark, sf_dir), **batch.other_values(spark, folder)})
 
 
 def _evaluations(spark, sf_dir) -> str:
