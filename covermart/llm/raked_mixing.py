@@ -21,6 +21,8 @@ POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 #: Tokens to sample, as a share of all tokens.
 BUDGET = 0.5
 ROUNDS = 10
+#: Up to so many cells are raked by one task; more are dealt out by margin.
+TOGETHER = 100_000
 _WORD = r"[^\x20\x09-\x0D]+"
 _SYMBOLS = "#*$%&|<>"
 
@@ -79,18 +81,22 @@ def mix(
     cells = scratch.cut(
         "cells", docs.select(*keys, tokens.alias("t")).groupBy(*names).agg(F.sum("t").alias("t"))
     )
-    total = cells.agg(F.sum("t")).first()[0] or 0
+    total, n_cells = cells.agg(F.sum("t"), F.count(F.lit(1))).first()
+    total = total or 0
     for name, margin in zip(names, margins, strict=True):
         cells = cells.join(_shares(cells, name, targets.get(margin), powers.get(margin, 0.7)), name)
     cells = cells.withColumn("w", F.col("t") / F.lit(float(max(total, 1))))
     for at in range(1, rounds + 1):
+        if at % 5 == 1:
+            cells = scratch.cut(f"before-{at}", cells)
+            if n_cells <= TOGETHER:  # one task fits them all without a shuffle per margin
+                cells = cells.coalesce(1)
         for name in names:
             held = F.sum("w").over(Window.partitionBy(name))
             cells = cells.withColumn(
                 "w", F.when(held > 0, F.col("w") * F.col(f"g_{name}") / held).otherwise(F.lit(0.0))
             )
-        if at % 5 == 0 or at == rounds:
-            cells = scratch.cut(f"round-{at}", cells)
+    cells = scratch.cut("fitted", cells)
     rate = _calibrated(cells, budget * total)
     cells = cells.select(
         *names,

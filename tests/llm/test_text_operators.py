@@ -239,6 +239,14 @@ def test_mixture_meets_its_targets(spark, sf_dir):
     assert drawn == pytest.approx(0.2 * total, rel=0.25)
 
 
+def test_many_cells_are_raked_alike(spark, documents, monkeypatch):
+    rows, mix = raked_mixing.mix(spark, documents)
+    together = brute.order((r["doc_id"], round(r[mix]["weight"], 12)) for r in rows.collect())
+    monkeypatch.setattr(raked_mixing, "TOGETHER", 0)
+    rows, mix = raked_mixing.mix(spark, documents)
+    assert brute.order((r["doc_id"], round(r[mix]["weight"], 12)) for r in rows.collect()) == together
+
+
 def test_mixture_of_awkward_rows(spark, edge_docs, edge_rows, no_docs):
     rows, mix = raked_mixing.mix(spark, edge_docs)
     assert mix == "mix_" and rows.columns == [*edge_docs.columns, "mix_"]
