@@ -217,11 +217,19 @@ def train(pages: list[str], made: int = MADE, epochs: int = EPOCHS, seed: int =
 def fit(
     spark: SparkSession, pages: DataFrame, sample: int = SAMPLE, html_column: str = "html"
 ) -> Labeller:
-    """Train on `sample` rows at most, chosen by a hash; without pages, on invented prose."""
+    """Train on `sample` rows at most, chosen by a hash; without pages, on invented prose.
+
+    Only hashes are sorted; whole pages reach the driver once the smallest hashes are known,
+    one page of each.
+    """
     page = F.col(common.plain(html_column))
-    drawn = pages.where(page.isNotNull()).select(page.alias("html"))
-    rows = drawn.orderBy(F.xxhash64("html"), "html").limit(sample).collect()
-    return train([r["html"] for r in rows])
+    drawn = pages.where(page.isNotNull()).select(page.alias("html"), F.xxhash64(page).alias("at"))
+    least = drawn.select("at").distinct().orderBy("at").limit(sample)
+    last = least.agg(F.max("at")).first()[0]
+    if last is None:
+        return train([])
+    rows = drawn.where(F.col("at") <= last).dropDuplicates(["at"]).limit(sample).collect()
+    return train([r["html"] for r in sorted(rows, key=lambda r: r["at"])])
 
 
 def extract(
