@@ -8,11 +8,11 @@ stages like others.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covermart.llm import compression_quality, digest_index, minhash_dedup, raked_mixing, trie_bpe
-from covermart.llm.common import Scratch
+from covermart.llm.common import Scratch, plain
 
 #: Path of the vocabulary, the same on every executor.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,7 +33,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
     hashed = docs.withColumn(own, F.lower(F.hex(digest_index.text_digest(F.col("text")))))
     same = (F.col(own) == F.col(sha)) & F.col("doc_id").eqNullSafe(F.col(first))
-    return hashed.join(kept, same, "left_semi").dropDuplicates([own]).select(*docs.columns)
+    return hashed.join(kept, same, "left_semi").dropDuplicates([own]).select(*_columns(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,13 +44,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     verdicts = minhash_dedup.near_duplicates(spark, numbered, id_column=own)
     # a document without words is a group of its own
     kept = verdicts.where("kept").select(F.col("doc_id").alias(own)).distinct()
-    return numbered.join(kept, own, "left_semi").select(*docs.columns)
+    return numbered.join(kept, own, "left_semi").select(*_columns(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of half the tokens, raked to the target shares of source, language and topic."""
     rows, mix = raked_mixing.mix(spark, docs)
-    return rows.where(F.col(f"{mix}.kept")).select(*docs.columns)
+    return rows.where(F.col(f"{mix}.kept")).select(*_columns(docs))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,6 +58,11 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return trie_bpe.encode(docs, VOCABULARY, with_ids=True)
 
 
+def _columns(docs: DataFrame) -> list[Column]:
+    """The columns of the documents, dots in their names included."""
+    return [F.col(plain(c)) for c in docs.columns]
+
+
 def _free(docs: DataFrame, name: str) -> str:
     """A column name that the documents do not have."""
     while name in docs.columns:
