@@ -149,6 +149,59 @@ def test_compression_bands():
     assert whole > 2 and chunked > compression_quality.BAD_SHARE  # a chunk is out of band
 
 
+def test_bands_follow_the_table(spark, sf_dir, as_frame):
+    """Encoded bytes, line templates and most junk go, clean text of each length stays."""
+    import base64
+    import random
+
+    from conftest import prose
+
+    folder = sf_dir.replace("sf0.001", "sf0.1")
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    verdicts = compression_quality.quality(documents).where("NOT base_failed").join(labels, "doc_id")
+    rows = verdicts.select("quality", F.col("kept").cast("int").alias("kept")).collect()
+    kept = {q: [r["kept"] for r in rows if r["quality"] == q] for q in (0, 1)}
+    assert sum(kept[1]) >= 0.995 * len(kept[1]) and sum(kept[0]) <= 0.5 * len(kept[0])
+
+    draw = random.Random(2)
+    words = prose(8, 3000).split()
+
+    def wrapped(raw):
+        return "\n".join(raw[i : i + 64] for i in range(0, len(raw), 64))
+
+    def spam(size):
+        lines = ""
+        while len(lines) < size:
+            lines += f"buy {draw.choice(words)} online cheap {draw.choice(words)} best price\n"
+        return lines
+
+    junk = [spam(n) for n in (1400, 5000, 20_000, 91_000)]
+    junk += [wrapped(base64.b64encode(draw.randbytes(n)).decode()) for n in (1100, 6000, 40_000)]
+    junk += [wrapped(draw.randbytes(n).hex()) for n in (1500, 4000, 40_000)]
+    packer, hashes = zstandard.ZstdCompressor(level=3), WordHashes()
+    limits = compression_quality.limits(documents)
+    for text in junk:
+        found = compression_quality.measure(text.encode(), limits, 4096, hashes, packer)
+        assert not found[5] and not found[6], (text[:30], len(text), found)
+
+
+def test_bands_count_copies_once_and_scripts_apart(spark, as_frame):
+    import random
+
+    from conftest import prose
+
+    draw = random.Random(3)
+    words = prose(9, 3000).split()
+    latin = [" ".join(draw.choices(words, k=60 + k)) for k in range(300)]
+    cyrillic = [x.translate(str.maketrans("etaoinshrdlucmfw", "етаоинсхрдлуцмфв")) for x in latin[:120]]
+    spam = "".join(f"buy {x} online cheap {y} best price\n" for x, y in zip(words, words[50:80]))
+    rows = list(enumerate(latin + cyrillic + [spam] * 2000))
+    got = {r["doc_id"]: r["kept"] for r in compression_quality.quality(as_frame(rows)).collect()}
+    assert sum(not got[i] for i in range(420)) <= 4
+    assert not any(got[i] for i in range(420, len(rows)))
+
+
 def test_keep_leaves_columns_alone(edge_docs, no_docs):
     kept = compression_quality.keep(edge_docs)
     assert kept.schema == edge_docs.schema
