@@ -2,7 +2,9 @@
 
 Documents are summed into cells, one for each combination of the margins (source, language,
 topic); everything but the last step works on cells. Iterative proportional fitting scales the
-cells' token weights to the target shares of each margin in turn. From the fitted weights and
+cells' token weights to the target shares of each margin in turn, until every share is within
+`TOLERANCE` of its target. Targets that no weights can meet together, as those of sources of one
+language each, leave a gap, which is reported. From the fitted weights and
 the tokens at hand follows one sampling probability per cell, calibrated so that the expected
 tokens meet the budget although no probability exceeds 1. A hash of the id draws documents.
 All steps are DataFrame operations.
@@ -10,6 +12,8 @@ All steps are DataFrame operations.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +24,16 @@ from covermart.llm.common import Scratch
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
 #: Tokens to sample, as a share of all tokens.
 BUDGET = 0.5
+#: Rounds at least. The gaps are looked at then, and every so many rounds after.
 ROUNDS = 10
+#: Raking ends when no share is off its target by more than this part of the target,
+TOLERANCE = 1e-4
+#: or when the largest gap changes by less than this part of itself at two looks in a row,
+STILL = 1e-4
+#: or after so many rounds.
+MOST_ROUNDS = 2_500
+#: Rounds of one plan.
+_CUT = 5
 #: Up to so many cells are raked by one task; more are dealt out by margin.
 TOGETHER = 100_000
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -63,7 +76,9 @@ def mix(
     """The rows of `docs` with one struct column more, and that column's name.
 
     The struct holds the margins, tokens, weight (the cell's fitted share of the mixture),
-    probability and kept. `targets` gives shares of a margin's values outright (values not named
+    probability, kept and gap: how far the worst share of any margin stays off its target, as a part
+    of the target, the same in all rows. A gap over `TOLERANCE` is also given as a warning.
+    `rounds` are raked at least. `targets` gives shares of a margin's values outright (values not named
     get none); other margins follow their power in `powers`, 0.7 if not named. NULL margins are
     the empty value, NULL texts have no tokens. Rows with equal ids share their draw, rows
     without id draw as the empty id. If targets leave fewer tokens than the budget, all of
@@ -85,18 +100,8 @@ def mix(
     total = total or 0
     for name, margin in zip(names, margins, strict=True):
         cells = cells.join(_shares(cells, name, targets.get(margin), powers.get(margin, 0.7)), name)
-    cells = cells.withColumn("w", F.col("t") / F.lit(float(max(total, 1))))
-    for at in range(1, rounds + 1):
-        if at % 5 == 1:
-            cells = scratch.cut(f"before-{at}", cells)
-            if n_cells <= TOGETHER:  # one task fits them all without a shuffle per margin
-                cells = cells.coalesce(1)
-        for name in names:
-            held = F.sum("w").over(Window.partitionBy(name))
-            cells = cells.withColumn(
-                "w", F.when(held > 0, F.col("w") * F.col(f"g_{name}") / held).otherwise(F.lit(0.0))
-            )
-    cells = scratch.cut("fitted", cells)
+    cells = scratch.cut("shares", cells.withColumn("w", F.col("t") / F.lit(float(max(total, 1)))))
+    cells, gap = _raked(scratch, cells, names, list(margins), rounds, n_cells)
     rate = _calibrated(cells, budget * total)
     cells = cells.select(
         *names,
@@ -123,11 +128,50 @@ def mix(
         F.col(f"{name}_c.w").alias("weight"),
         F.col(f"{name}_c.p").alias("probability"),
         (F.col(f"{name}_u") < F.col(f"{name}_c.p")).alias("kept"),
+        F.lit(gap).alias("gap"),
     )
     joined = rows.join(of_cell, same)
     return joined.select(*(F.col(common.plain(c)) for c in docs.columns), fitted.alias(name)), name
 
 
+def _raked(
+    scratch: Scratch, cells: DataFrame, names: list[str], margins: list[str], rounds: int, n_cells: int
+) -> tuple[DataFrame, float]:
+    """The cells with fitted weights, and the largest gap that is left."""
+    done, look, still, before = 0, rounds, 0, None
+    while True:
+        while done < look:
+            if n_cells <= TOGETHER:  # one task fits them all without a shuffle per margin
+                cells = cells.coalesce(1)
+            for _ in range(min(_CUT, look - done)):
+                for name in names:
+                    held = F.sum("w").over(Window.partitionBy(name))
+                    fitted = F.col("w") * F.col(f"g_{name}") / held
+                    cells = cells.withColumn("w", F.when(held > 0, fitted).otherwise(F.lit(0.0)))
+                done += 1
+            cells = scratch.cut(f"after-{done}", cells)
+        gaps = _gaps(cells.coalesce(1) if n_cells <= TOGETHER else cells, names)
+        gap = max(gaps)
+        if gap <= TOLERANCE:
+            return cells, gap
+        still = still + 1 if before is not None and abs(gap - before) <= STILL * before else 0
+        if still == 2 or done >= MOST_ROUNDS:
+            told = ", ".join(f"{m} {g:.3g}" for m, g in zip(margins, gaps, strict=True))
+            warnings.warn(f"targets not met after {done} rounds; largest relative gaps: {told}", stacklevel=3)
+            return cells, gap
+        before, look = gap, min(done + ROUNDS, MOST_ROUNDS)
+
+
+def _gaps(cells: DataFrame, names: list[str]) -> list[float]:
+    """By margin, the largest distance of a share from its target, as a part of the target."""
+    held = {n: F.sum("w").over(Window.partitionBy(n)) for n in names}
+    off = [
+        F.when(F.col(f"g_{n}") > 0, F.abs(held[n] / F.col(f"g_{n}") - 1)).alias(f"o_{n}") for n in names
+    ]
+    worst = cells.select(*off).agg(*(F.max(f"o_{n}") for n in names)).first()
+    return [x or 0.0 for x in worst]
+
+
 def _shares(
     cells: DataFrame, name: str, given: dict[str, float] | None, power: float
 ) -> DataFrame:

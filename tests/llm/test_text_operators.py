@@ -247,6 +247,53 @@ def test_many_cells_are_raked_alike(spark, documents, monkeypatch):
     assert brute.order((r["doc_id"], round(r[mix]["weight"], 12)) for r in rows.collect()) == together
 
 
+def two_margins():
+    return {"source": F.col("source"), "lang": F.col("lang")}
+
+
+def leaning(spark, share):
+    """Ten sources, all but one with `share` of their words in the source's own language."""
+    rows = [
+        (f"s{k}", lang, " ".join(["w"] * round(size * (1 - share if (k % 2 == 0) == (lang == "b") else share))))
+        for k in range(10)
+        for size in (4000 if k == 0 else 700 + 100 * k,)
+        for lang in "ab"
+    ]
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, source string, lang string, text string")
+
+
+def fitted(rows, mix):
+    """Share by margin and value of the fitted weights, and the gap."""
+    found = [r[mix] for r in rows.collect()]
+    cells = {(m["source"], m["lang"]): m["weight"] for m in found}
+    shares: dict = {}
+    for cell, weight in cells.items():
+        for at, value in enumerate(cell):
+            shares[at, value] = shares.get((at, value), 0.0) + weight
+    return shares, {m["gap"] for m in found}
+
+
+def test_mixture_of_nearly_monolingual_sources(spark):
+    docs = leaning(spark, 0.99)
+    rows, mix = raked_mixing.mix(spark, docs, two_margins(), targets={"lang": {"a": 0.4, "b": 0.6}})
+    shares, gaps = fitted(rows, mix)
+    totals: dict = {}
+    for r in docs.collect():
+        totals[r["source"]] = totals.get(r["source"], 0) + len(r["text"].split())
+    whole = sum(t**0.5 for t in totals.values())
+    assert max(abs(shares[0, s] / (t**0.5 / whole) - 1) for s, t in totals.items()) < 2e-4
+    assert shares[1, "a"] == pytest.approx(0.4, rel=2e-4)
+    assert gaps.pop() <= raked_mixing.TOLERANCE and not gaps
+
+
+def test_targets_of_monolingual_sources_that_cannot_be_met(spark):
+    docs = leaning(spark, 1.0).where("text != ''")
+    with pytest.warns(UserWarning, match="targets not met"):
+        rows, mix = raked_mixing.mix(spark, docs, two_margins(), targets={"lang": {"a": 0.2, "b": 0.8}})
+    shares, gaps = fitted(rows, mix)
+    assert shares[1, "a"] == pytest.approx(0.2, rel=1e-6) and gaps.pop() > 0.1
+
+
 def test_mixture_of_awkward_rows(spark, edge_docs, edge_rows, no_docs):
     rows, mix = raked_mixing.mix(spark, edge_docs)
     assert mix == "mix_" and rows.columns == [*edge_docs.columns, "mix_"]
