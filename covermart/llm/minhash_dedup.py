@@ -56,25 +56,28 @@ def near_duplicates(
     `component_id` is the smallest doc_id reachable, `kept` marks its row. A text with fewer
     words is one shingle; NULL texts and texts without words have no shingles and no links.
     Rows without doc_id are linked like others, but are never the row that stays; a component
-    of such rows alone has no component_id. Rows that repeat a doc_id are one node of the
-    links. Other columns are not read. An empty table gives an empty result.
+    of such rows alone has no component_id. Links hold between texts: rows that repeat a doc_id
+    with another text are each linked by their own. Other columns are not read. An empty table
+    gives an empty result.
     """
     scratch = Scratch(spark, "near")
     texts = docs.select(
         F.col(common.plain(id_column)).alias("doc_id"),
         common.blob(F.col(common.plain(text_column))).alias("body"),
-    )
+    ).withColumn("row", F.xxhash64("doc_id", "body"))  # names a class, with or without an id
     identity = texts.schema["doc_id"].dataType.simpleString()
     signed = scratch.cut(
         "signatures",
-        texts.mapInArrow(lambda b: _signatures(b, words), f"doc_id {identity}, {_SETS}"),
+        texts.mapInArrow(lambda b: _signatures(b, words), f"row long, doc_id {identity}, {_SETS}"),
+    )
+    classes = signed.where("n_shingles > 0").groupBy("d1", "d2").agg(
+        F.min("row").alias("cls"), F.min("doc_id").alias("least")
+    )
+    classes = scratch.cut("classes", classes)
+    leads = signed.drop("doc_id").withColumnRenamed("row", "cls").join(
+        classes.select("cls", "d1", "d2"), ["cls", "d1", "d2"], "left_semi"
     )
-    classes = signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("cls"))
-    classes = scratch.cut("classes", classes.where("cls IS NOT NULL"))
-    leads = signed.join(
-        classes.select(F.col("cls").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi"
-    ).withColumnRenamed("doc_id", "cls")
-    leads = scratch.cut("leads", leads)
+    leads = scratch.cut("leads", leads.dropDuplicates(["cls", "d1", "d2"]))
 
     keys = leads.select("cls", F.posexplode("bands").alias("band", "key"))
     full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -85,11 +88,10 @@ def near_duplicates(
     )
     sets = scratch.cut(
         "sets",
-        texts.join(
-            packs.select(F.col("cls").alias("doc_id"), "d1", "d2"), "doc_id"
-        ).mapInArrow(
-            lambda b: _shingle_sets(b, words), f"cls {identity}, shingles array<bigint>"
-        ),
+        texts.drop("doc_id")
+        .join(packs.select(F.col("cls").alias("row"), "d1", "d2"), "row")
+        .dropDuplicates(["row"])
+        .mapInArrow(lambda b: _shingle_sets(b, words), "cls long, shingles array<bigint>"),
     )
 
     ranked = members.join(rank, "cls")
@@ -120,7 +122,7 @@ def near_duplicates(
     )
     unsettled = scratch.cut("unsettled", placed.join(open_, "key"))
     long = sets.join(unsettled.select("cls").distinct(), "cls", "left_semi").mapInArrow(
-        _more_lanes, f"cls {identity}, more array<bigint>"
+        _more_lanes, "cls long, more array<bigint>"
     )
     wide = scratch.cut(
         "wide", packs.select("cls", "n", "sig", "bands").join(long, "cls").dropDuplicates(["cls"])
@@ -145,10 +147,14 @@ def near_duplicates(
     more = _confirmed(scratch, "rest", rest, sets, percent)
     labels = components(scratch, links.unionByName(more), "round2")
 
+    placed = scratch.cut(
+        "labelled", classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+    )
+    best = scratch.cut("best", placed.where("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("best")))
     reached = scratch.cut(
         "reached",
-        classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
-            "d1", "d2", F.coalesce("label", "cls").alias("component_id")
+        placed.join(best, "label", "left").select(
+            "d1", "d2", F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("best")).alias("component_id")
         ),
     )
     rows = signed.select("doc_id", "n_shingles", "d1", "d2")
@@ -225,6 +231,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Re
         bands[sizes > 0], packed[sizes > 0] = _bands(minima), _packed(minima, BITS)
         yield pa.RecordBatch.from_arrays(
             [
+                batch.column("row"),
                 batch.column("doc_id"),
                 pa.array(sizes),
                 pa.array(pairs[:, 0]),
@@ -232,7 +239,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Re
                 _arrays(packed),
                 _arrays(bands),
             ],
-            names=["doc_id", "n_shingles", "d1", "d2", "sig", "bands"],
+            names=["row", "doc_id", "n_shingles", "d1", "d2", "sig", "bands"],
         )
 
 
@@ -298,7 +305,7 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.
         names, sets = [], []
         for body, cls, d1, d2 in zip(
             batch.column("body"),
-            batch.column("doc_id").to_pylist(),
+            batch.column("row").to_pylist(),
             batch.column("d1").to_pylist(),
             batch.column("d2").to_pylist(),
             strict=True,
@@ -312,7 +319,7 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.
         offsets = np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(names, batch.schema.field("doc_id").type),
+                pa.array(names, pa.int64()),
                 pa.ListArray.from_arrays(
                     pa.array(offsets), pa.array(common.signed(np.concatenate(sets)))
                 ),

@@ -75,6 +75,28 @@ def test_near_duplicates_of_repeated_and_unnamed_rows(spark, as_frame, null_id_d
     assert minhash_dedup.near_duplicates(spark, no_docs).count() == 0
 
 
+def test_rows_without_ids_bridge_and_texts_of_one_id_stand_alone(spark, as_frame):
+    def edited(words, places):
+        return " ".join(f"e{k}" if k in places else w for k, w in enumerate(words))
+
+    words = [f"w{k}" for k in range(120)]
+    other = " ".join(f"x{k}" for k in range(60))
+    rows = [
+        (7, edited(words, {10, 40})),
+        (None, " ".join(words)),
+        (None, " ".join(words)),
+        (9, edited(words, {70, 100})),
+        (9, other),
+        (9, other),
+        (4, other + " tail"),
+        (None, "only one " * 9),
+    ]
+    got = minhash_dedup.near_duplicates(spark, as_frame(rows))
+    expected = brute.near(rows)
+    assert [r[2] for r in expected[:5]] == [7, 7, 7, 7, 4]
+    assert brute.order(got.collect()) == brute.order(expected)
+
+
 def test_near_duplicates_of_documents(spark, documents, document_rows):
     got = minhash_dedup.near_duplicates(spark, documents)
     assert brute.order(got.collect()) == brute.order(brute.near(document_rows))
