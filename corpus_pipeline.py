@@ -39,8 +39,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id."""
     own = _free(docs, "node")
-    by_text = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))  # after all given ids
-    numbered = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), by_text))
+    # a text under an id is a node; those without id come after all given ids
+    unnamed, number = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    numbered = docs.withColumn(own, F.struct(unnamed.alias("a"), number.alias("b"), digest.alias("c")))
     verdicts = minhash_dedup.near_duplicates(spark, numbered, id_column=own)
     # a document without words is a group of its own
     kept = verdicts.where("kept").select(F.col("doc_id").alias(own)).distinct()
