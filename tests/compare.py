@@ -18,6 +18,9 @@ sys.path.insert(0, str(ROOT))
 
 from fixture_queries.views import ALL_TABLES  # noqa: E402
 
+#: The tables that the tests read.
+SF_DIR = "/root/testdata/sf0.001"
+
 
 def local_session(cpus: int = 8, memory: str = "12g") -> SparkSession:
     spark = (

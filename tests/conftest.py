@@ -8,8 +8,6 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
-SF_DIR = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -22,4 +20,6 @@ def spark():
 
 @pytest.fixture(scope="session")
 def sf_dir() -> str:
+    from compare import SF_DIR
+
     return SF_DIR

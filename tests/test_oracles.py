@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from compare import compare, duck
-from conftest import SF_DIR
+from compare import SF_DIR, compare, duck
 from fixture_queries.registry import ORACLES, QUERIES
 
 
