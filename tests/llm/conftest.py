@@ -1,27 +1,15 @@
 from __future__ import annotations
 
-import random
-import sys
-from pathlib import Path
-
 import pytest
+from llm.brute import prose
 from pyspark.sql import functions as F
 
-sys.path.insert(0, str(Path(__file__).resolve().parent))
-
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, body string, "
     "kept boolean, mix string, row long, node long, `digest.x` string"
 )
 
 
-def prose(seed: int, count: int) -> str:
-    draw = random.Random(seed)
-    letters = "etaoinshrdlucmfw"
-    made = ("".join(draw.choice(letters) for _ in range(draw.randint(1, 9))) for _ in range(count))
-    return " ".join(made)
-
-
 def edge_texts() -> list[tuple]:
     """(doc_id, text): NULLs, empty and very long texts, ties, repeated rows, clashing needs."""
     a, passage, long = prose(1, 60), prose(2, 50), prose(3, 30_000)

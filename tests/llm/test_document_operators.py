@@ -5,7 +5,6 @@ from __future__ import annotations
 import collections
 import zlib
 
-import brute
 import pytest
 import zstandard
 from covermart.llm import (
@@ -17,6 +16,7 @@ from covermart.llm import (
     substring_dedup,
 )
 from covermart.llm.common import Scratch, WordHashes
+from llm import brute
 from pyspark.sql import functions as F
 
 
@@ -158,15 +158,13 @@ def test_compression_bands():
     import random
 
     draw = random.Random(1)
-    from conftest import prose
-
-    assert verdict(prose(3, 3000))[6]
-    assert verdict(prose(4, 40))[6]
-    repeated = " ".join(f"{w} {w} {w} {w} {w} {w} {w}" for w in prose(5, 12).split())
+    assert verdict(brute.prose(3, 3000))[6]
+    assert verdict(brute.prose(4, 40))[6]
+    repeated = " ".join(f"{w} {w} {w} {w} {w} {w} {w}" for w in brute.prose(5, 12).split())
     assert not verdict(repeated)[5] and not verdict(repeated)[6]  # only the band sees it
     noise = " ".join("".join(chr(draw.randint(0x4E00, 0x9FFF)) for _ in range(9)) for _ in range(400))
     assert not verdict(noise)[5] and not verdict(noise)[6]
-    half = prose(6, 1500) + " " + " ".join(["word"] * 7 + ["other"] * 7) * 120
+    half = brute.prose(6, 1500) + " " + " ".join(["word"] * 7 + ["other"] * 7) * 120
     whole, chunked = verdict(half)[7], verdict(half)[8]
     assert whole > 2 and chunked > compression_quality.BAD_SHARE  # a chunk is out of band
 
@@ -176,8 +174,6 @@ def test_bands_follow_the_table(spark, sf_dir, as_frame):
     import base64
     import random
 
-    from conftest import prose
-
     folder = sf_dir.replace("sf0.001", "sf0.1")
     documents = spark.read.parquet(f"{folder}/documents.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
@@ -187,7 +183,7 @@ def test_bands_follow_the_table(spark, sf_dir, as_frame):
     assert sum(kept[1]) >= 0.995 * len(kept[1]) and sum(kept[0]) <= 0.5 * len(kept[0])
 
     draw = random.Random(2)
-    words = prose(8, 3000).split()
+    words = brute.prose(8, 3000).split()
 
     def wrapped(raw):
         return "\n".join(raw[i : i + 64] for i in range(0, len(raw), 64))
@@ -211,10 +207,8 @@ def test_bands_follow_the_table(spark, sf_dir, as_frame):
 def test_bands_count_copies_once_and_scripts_apart(spark, as_frame):
     import random
 
-    from conftest import prose
-
     draw = random.Random(3)
-    words = prose(9, 3000).split()
+    words = brute.prose(9, 3000).split()
     latin = [" ".join(draw.choices(words, k=60 + k)) for k in range(300)]
     cyrillic = [x.translate(str.maketrans("etaoinshrdlucmfw", "етаоинсхрдлуцмфв")) for x in latin[:120]]
     spam = "".join(f"buy {x} online cheap {y} best price\n" for x, y in zip(words, words[50:80]))
@@ -346,13 +340,11 @@ def test_language_of_awkward_rows(spark, edge_docs, no_docs):
 def test_related_languages_are_decided_within_their_family():
     import numpy as np
 
-    from conftest import prose
-
     texts = {"en": "the and of to", "de": "der und die zu", "fr": "le et de la", "es": "el y de los"}
     x, y = [], []
     for lang, marks in texts.items():
         for k in range(12):
-            x.append(family_langid.features(f"{marks} {prose(k, 5)} {marks}"))
+            x.append(family_langid.features(f"{marks} {brute.prose(k, 5)} {marks}"))
             y.append(lang)
     model = family_langid.LanguageModel(np.array(x), y)
     assert model.top.classes == ["germanic", "romance"]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import brute
 import corpus_pipeline as cp
 import tokenizers
 from covermart.llm import compression_quality, raked_mixing
+from llm import brute
 
 
 def walk(spark, docs, sf_dir, tmp_path):
@@ -72,9 +72,7 @@ def test_rows_without_ids_go_through(spark, as_frame, null_id_docs, sf_dir, tmp_
 
 def test_texts_of_one_id_are_judged_apart(spark, as_frame, sf_dir):
     """Of two texts under id 9 one is a near copy of id 7, the other stands alone; id 3 has near copies."""
-    from conftest import prose
-
-    a, b, c = prose(91, 90), prose(92, 90), prose(93, 90)
+    a, b, c = brute.prose(91, 90), brute.prose(92, 90), brute.prose(93, 90)
     rows = [(7, a), (9, a + " tail"), (9, b), (3, c), (3, c + " tail"), (None, b + " end")]
     kept = pairs(cp.near_dedup(spark, as_frame(rows), sf_dir))
     assert {i: sum(1 for k, _ in kept if k == i) for i in (7, 9, 3, None)} == {7: 1, 9: 1, 3: 1, None: 0}

@@ -7,7 +7,6 @@ import html
 import random
 import re
 
-import brute
 import duckdb
 import numpy as np
 import public_tokenizers
@@ -16,6 +15,7 @@ import tokenizers
 from covermart.llm import block_labeller, page_layouts, queries, raked_mixing, reply_chat, trie_bpe
 from covermart.llm.html_blocks import blocks
 from pyspark.sql import functions as F
+from llm import brute
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -55,10 +55,8 @@ def test_bpe_caches_stay_bounded(monkeypatch, tokenizer):
     monkeypatch.setattr(trie_bpe, "WORDS", 50)
     monkeypatch.setattr(trie_bpe, "PAIRS", 20)
     coder = trie_bpe.Coder(VOCABULARY)
-    from conftest import prose
-
     for seed in range(5):
-        text = prose(seed, 40)
+        text = brute.prose(seed, 40)
         (parts,) = coder.encode([text])
         assert [int(i) for p in parts for i in p[0].split(",")] == encoded(tokenizer, text)[0]
         assert len(coder.known) <= 50 and len(coder.fits) <= 20
