@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from covermart.llm import (
     differencing_shards,
     digest_index,
     family_langid,
+    merkle_manifest,
     minhash_dedup,
     raked_mixing,
     reply_chat,
@@ -168,3 +170,17 @@ def op7_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page, by a labeller fitted on a sample of the pages."""
     pages = _table(spark, sf_dir, "pages")
     return block_labeller.extract(pages, block_labeller.fit(spark, pages))
+
+
+@_query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents against a manifest; one in five was lower-cased after it was made."""
+    docs = _table(spark, sf_dir, "documents")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    found = F.when(chosen, lowered).otherwise(F.col("text"))
+    manifest = merkle_manifest.document_manifest(spark, docs, found)
+    return manifest.proofs().withColumnRenamed("id", "doc_id")
+
+
+ORACLES["op12_merkle_manifest"] = merkle_manifest.manifest_sql()

@@ -110,3 +110,45 @@ def exact(rows: list[tuple]) -> list[tuple]:
 
 def order(rows) -> list[tuple]:
     return sorted((tuple(r) for r in rows), key=repr)
+
+
+def merkle(rows: list[tuple], found: dict[int, str | None] | None = None, fan: int = 16) -> list[tuple]:
+    """Proofs of (doc_id, source, lang, n_chars, text) rows; `found` has other texts by doc_id."""
+
+    def leaf(values):
+        parts = ("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values)
+        return sha("".join(parts))
+
+    def grown(nodes):
+        """The levels of a tree, the leaves first."""
+        levels = [nodes]
+        while len(levels[-1]) > 1:
+            last = levels[-1]
+            levels.append([sha("".join(last[k : k + fan])) for k in range(0, len(last), fan)])
+        return levels
+
+    def siblings(levels, at):
+        for nodes in levels[:-1]:
+            first = at // fan * fan
+            yield nodes[first:at], nodes[at + 1 : first + fan]
+            at //= fan
+
+    found = found or {}
+    trees = collections.defaultdict(list)
+    for row in rows:
+        trees[row[1]].append(row)
+    names = sorted(trees, key=lambda s: (s is not None, (s or "").encode()))
+    held = {s: sorted(trees[s], key=lambda r: (r[0] is not None, r[0] or 0, leaf(r))) for s in names}
+    made = {s: grown([leaf(r) for r in held[s]]) for s in names}
+    top = grown([made[s][-1][0] for s in names]) if names else None
+    out = []
+    for k, s in enumerate(names):
+        for at, row in enumerate(held[s]):
+            steps = [*siblings(made[s], at), *siblings(top, k)]
+            value = leaf((*row[:4], found.get(row[0], row[4])))
+            for left, right in steps:
+                value = sha("".join((*left, value, *right)))
+            proof = sha("".join(x for left, right in steps for x in (*left, *right)))
+            root = top[-1][0]
+            out.append((row[0], made[s][0][at], made[s][-1][0], root, proof, value, value == root))
+    return out
