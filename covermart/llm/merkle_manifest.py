@@ -15,6 +15,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -244,7 +245,7 @@ def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(batch.num_rows):
             rows = batch.column("rows").slice(at, 1).flatten()
-            rows = rows.take(pa.compute.sort_indices(rows.field("place")))
+            rows = rows.take(pc.sort_indices(rows.field("place")))
             n = batch.column("n")[at].as_py()
             leaves = [bytes.fromhex(x) for x in rows.field("leaf").to_pylist()]
             log = appended(leaves, LEVELS if n > BLOCK else height(n))

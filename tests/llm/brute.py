@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -152,3 +153,24 @@ def merkle(rows: list[tuple], found: dict[int, str | None] | None = None, fan: i
             root = top[-1][0]
             out.append((row[0], made[s][0][at], made[s][-1][0], root, proof, value, value == root))
     return out
+
+
+def negatives(rows: list[tuple], every: int = 100, n_positives: int = 5, n_negatives: int = 10) -> list[tuple]:
+    """Hard negatives of (vec_id, label, vector) rows whose id is divisible by `every`."""
+    sound = [
+        (i, c, [math.floor(256 * x) for x in v])
+        for i, c, v in rows
+        if i is not None and c is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
+    ]
+    out = []
+    for a, (anchor, label, v) in enumerate(sound):
+        if anchor % every:
+            continue
+        scored = [(-sum(x * y for x, y in zip(v, w)), i, c) for k, (i, c, w) in enumerate(sound) if k != a]  # noqa: B905
+        for score, positive, _ in sorted(s for s in scored if s[2] == label)[:n_positives]:
+            window = sorted(s for s in scored if s[2] != label and -30 * score <= -100 * s[0] <= -90 * score)
+            out += [
+                (anchor, positive, rank, i, -score, -other)
+                for rank, (other, i, _) in enumerate(window[:n_negatives], 1)
+            ]
+    return out
