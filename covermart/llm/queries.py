@@ -19,6 +19,7 @@ from covermart.llm import (
     minhash_dedup,
     raked_mixing,
     reply_chat,
+    subsequence_toxicity,
     substring_dedup,
     trie_bpe,
 )
@@ -173,6 +174,17 @@ def op7_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_labeller.extract(pages, block_labeller.fit(spark, pages))
 
 
+@_query
+def op11_subsequence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by a machine fitted on labels outside the held-out fold."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    fold = family_langid.held_out("doc_id")
+    model = subsequence_toxicity.fit(spark, docs, labels.where(~fold))
+    return subsequence_toxicity.score(docs, model).select(
+        "doc_id", fold.alias("held_out"), "score", "predicted"
+    )
+
+
 @_query
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs of all documents against a manifest; one in five was lower-cased after it was made."""

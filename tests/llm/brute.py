@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -174,3 +175,17 @@ def negatives(rows: list[tuple], every: int = 100, n_positives: int = 5, n_negat
                 for rank, (other, i, _) in enumerate(window[:n_negatives], 1)
             ]
     return out
+
+
+def shared_subsequences(a: str, b: str, decay: float, size: int = 3) -> float:
+    """Kernel of two words: their common subsequences with gaps, weighted by spans."""
+
+    def weights(word):
+        out = collections.Counter()
+        for places in itertools.combinations(range(len(word)), size):
+            out["".join(word[p] for p in places)] += decay ** (places[-1] - places[0])
+        return out
+
+    x, y = weights(a), weights(b)
+    norm = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    return sum(v * y[k] for k, v in x.items()) / norm
