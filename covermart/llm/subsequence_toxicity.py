@@ -1,7 +1,7 @@
 """Toxicity of a text by a support vector machine over a subsequence string kernel.
 
 Two words are alike by the letters they share in order, three at a time, with gaps: a shared
-subsequence counts `DECAY` to the power of the letters that it spans in either word. A letter put
+subsequence counts `DECAY` to the power of the steps that it spans in either word. A letter put
 in, left out or doubled changes only the subsequences over it. The normalised kernel is raised to
 `POWER`. A sentence is as like a landmark as its most alike word; landmarks are the words that go
 with label 1 most, and the Nyström map turns these likenesses into features of a linear machine.
@@ -30,6 +30,8 @@ from covermart.llm.common import Scratch
 SAMPLE = 3000
 LANDMARKS = 64
 DECAY, POWER = 0.8, 4
+#: Steps from one letter of a subsequence to the next, at most: up to three letters may stand between.
+GAP = 4
 #: Letters of a window, its two edges included, and how far the next one starts in a long word.
 WIDEST, STEP = 24, 8
 #: Sentences of a text that the fit looks at, the worst so far, and those that count.
@@ -63,15 +65,17 @@ def windows(word: str) -> list[str]:
 @functools.cache
 def _triples(length: int) -> tuple[np.ndarray, ...]:
     """Places of all subsequences of three, and their weights."""
-    i, j, k = np.array(list(itertools.combinations(range(length), 3)), np.int64).reshape(-1, 3).T
+    steps = itertools.product(range(length), range(1, GAP + 1), range(1, GAP + 1))
+    places = [(i, i + a, i + a + b) for i, a, b in steps if i + a + b < length]
+    i, j, k = np.array(places, np.int64).reshape(-1, 3).T
     return i, j, k, (DECAY ** (k - i)).astype(np.float32)
 
 
 @functools.cache
 def _decay(length: int) -> np.ndarray:
-    """From each place to every later one."""
+    """From each place to the next `GAP` ones."""
     gap = np.subtract.outer(np.arange(length), np.arange(length)).T
-    return np.where(gap > 0, DECAY ** np.maximum(gap, 0), 0.0).astype(np.float32)
+    return np.where((gap > 0) & (gap <= GAP), DECAY ** np.maximum(gap, 0), 0.0).astype(np.float32)
 
 
 def norms(codes: np.ndarray) -> np.ndarray:
@@ -163,7 +167,7 @@ class Likeness:
     About `most` words are held at most, and those of one call.
     """
 
-    def __init__(self, kernel: Kernel, most: int = 250_000):
+    def __init__(self, kernel: Kernel, most: int = 500_000):
         self.kernel, self.most = kernel, most
         self._clear()
 

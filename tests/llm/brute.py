@@ -177,13 +177,14 @@ def negatives(rows: list[tuple], every: int = 100, n_positives: int = 5, n_negat
     return out
 
 
-def shared_subsequences(a: str, b: str, decay: float, size: int = 3) -> float:
+def shared_subsequences(a: str, b: str, decay: float, gap: int, size: int = 3) -> float:
     """Kernel of two words: their common subsequences with gaps, weighted by spans."""
 
     def weights(word):
         out = collections.Counter()
         for places in itertools.combinations(range(len(word)), size):
-            out["".join(word[p] for p in places)] += decay ** (places[-1] - places[0])
+            if max(q - p for p, q in itertools.pairwise(places)) <= gap:
+                out["".join(word[p] for p in places)] += decay ** (places[-1] - places[0])
         return out
 
     x, y = weights(a), weights(b)

@@ -22,7 +22,7 @@ def test_kernel_equals_plain_python():
     got = kernel.of_words(words)
     for word, row in zip(words, got, strict=True):
         edged = [f"\x02{st._OUTER.sub('', w) or w}\x02" for w in (word, *MARKS)]
-        want = [brute.shared_subsequences(edged[0], m, st.DECAY) ** st.POWER for m in edged[1:]]
+        want = [brute.shared_subsequences(edged[0], m, st.DECAY, st.GAP) ** st.POWER for m in edged[1:]]
         assert row == pytest.approx([x if x >= st.LEAST else 0 for x in want], abs=1e-4)
     assert got[:2, 0] == pytest.approx([1, got[1, 0]]) and got[1, 0] > 0.2
 
