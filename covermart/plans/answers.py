@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,15 +26,13 @@ from covermart.fixed_values import (
     RATE_PARTS,
 )
 from covermart.functions.text import fixed, format_metric, money, percent
-from covermart.operators.coverage import month_end
-from covermart.operators.reviews import contract_totals
+from covermart.operators.coverage import month_end, month_number
 from covermart.plans.evidence import (
     NAMED_SOURCES,
     SHAPES,
     json_text,
     limitations,
-    metric_value,
-    rows_of,
+    shown_columns,
 )
 from covermart.plans.questions import ENTITY_COLUMNS
 from covermart.sources.sinks import EVALUATION_SCHEMA_VERSION
@@ -55,107 +54,58 @@ def _label(metric: Column) -> Column:
     return F.element_at(pairs, metric)
 
 
-def _candidates(source: str) -> Column:
-    """``array<struct<value, entity>>`` of a table's rows that have the primary metric."""
-    values = F.transform(
-        rows_of(source),
-        lambda r: F.struct(
-            metric_value(r["cells"], F.col("primary_metric")).alias("value"),
-            r["entity"].alias("entity"),
-            r["period"].alias("period"),
-        ),
-    )
-    return F.filter(values, lambda v: v["value"].isNotNull())
-
-
-def _contract_candidates() -> Column:
-    """Contracts with their gross premium over the network rows in evidence, in dollars."""
-    source = "master_contract_network_premium"
-    gross = F.transform(
-        rows_of(source),
-        lambda r: F.struct(
-            r["entity"].alias("entity"),
-            F.rint(metric_value(r["cells"], F.lit("gross_premium_usd")) * 1e6)
-            .cast("long")
-            .alias("micros"),
-        ),
-    )
-    known = F.filter(gross, lambda g: g["micros"].isNotNull())
-    names = F.array_distinct(F.transform(known, lambda g: g["entity"]))
-    totals = F.transform(
-        names,
-        lambda n: F.struct(
-            (
-                F.aggregate(
-                    F.filter(known, lambda g: g["entity"] == n),
-                    F.lit(0).cast("long"),
-                    lambda total, g: total + g["micros"],
-                ).cast("double")
-                / F.lit(1e6)
-            ).alias("value"),
-            n.alias("entity"),
-            F.lit(None).cast("int").alias("period"),
-        ),
-    )
-    return F.when(F.col("primary_metric") == "gross_premium_usd", totals)
-
-
-def _latest_only(candidates: Column) -> Column:
-    """For each entity, its row of the last period."""
-    return F.filter(
-        candidates,
-        lambda c: ~F.exists(
-            candidates, lambda d: (d["entity"] == c["entity"]) & (d["period"] > c["period"])
-        ),
-    )
-
-
-def whole_extremes(frames: dict[str, DataFrame]) -> DataFrame:
-    """``(compared, primary_metric, whole)``: lowest and highest entity of whole tables.
+def metric_values(frames: dict[str, DataFrame]) -> DataFrame:
+    """Every metric of every aggregate row: source, metric, entity, detail, period, needs, value.
 
-    For questions that name no entity of the table. A table and a metric give one row, so
-    there are at most as many rows as tables times metrics.
+    Computed once for a batch. Questions look values up by these keys and never compute one.
+    A value comes from the columns that a question for its metric is shown. Where others would
+    give one as well, a second row holds the value with them, and ``needs`` names them: it
+    counts for questions that are shown them for another metric. The one-row summary has no
+    key and is left out.
     """
-    contract = "master_contract_network_premium"
-    totals = contract_totals(frames[contract]).select(
-        F.lit("gross_premium_usd").alias("primary_metric"),
-        F.col("gross_premium_usd").alias("value"),
-        F.col("master_contract").alias("entity"),
-    )
-    parts = [totals.withColumn("compared", F.lit(contract))]
-    for source in ("age_bucket_review", "payer_review", "mobile_by_payer"):
-        entity, frame = SHAPES[source][0], frames[source]
-        values = F.array(
-            *[
-                F.struct(
-                    F.lit(metric).alias("primary_metric"),
-                    _frame_value(frame.columns, source, metric).alias("value"),
-                )
-                for metric in METRIC_CANDIDATES
-            ]
-        )
+    parts = []
+    for source, (entity, detail, period, _) in SHAPES.items():
+        if not (entity or period):
+            continue
+        columns = frames[source].columns
+        values = [
+            F.struct(
+                F.lit(metric).alias("metric"),
+                F.array(*map(F.lit, needs)).cast("array<string>").alias("needs"),
+                _frame_value(columns, source, metric, needs).alias("value"),
+            )
+            for metric in METRIC_CANDIDATES
+            for needs in dict.fromkeys([(), _unshown(columns, source, metric)])
+        ]
+        when = F.lit(None) if period is None else F.col(period)
         parts.append(
-            frame.select(F.col(entity).alias("entity"), F.inline(values)).select(
-                "primary_metric", "value", "entity", F.lit(source).alias("compared")
+            frames[source].select(
+                F.lit(source).alias("source"),
+                (F.col(entity) if entity else F.lit(None).cast("string")).alias("entity"),
+                (F.col(detail) if detail else F.lit(None).cast("string")).alias("detail"),
+                (month_number(when) if period == "month_end" else when).cast("int").alias("period"),
+                F.inline(F.array(*values)),
             )
         )
-    known = reduce(lambda a, b: a.unionByName(b), parts).where(
-        "value IS NOT NULL AND entity IS NOT NULL"
-    )
-    pair = F.struct("value", "entity")
-    return known.groupBy("compared", "primary_metric").agg(
-        F.struct(
-            F.count(F.lit(1)).cast("int").alias("entities"),
-            F.min(pair).alias("low"),
-            F.max(pair).alias("high"),
-        ).alias("whole")
-    )
+    return reduce(lambda a, b: a.unionByName(b), parts).where("value IS NOT NULL")
 
 
-def _frame_value(columns: list[str], source: str, metric: str) -> Column:
-    """A metric of a table's rows, from the columns that a question for it is shown."""
+def _own_columns(columns: list[str], source: str, metric: str) -> list[str]:
+    """The columns of a table that a question for a metric alone is shown."""
     shown = METRIC_COLUMNS.get(metric) or PENETRATION_COLUMNS.get(source, ())
-    shown = [c for c in columns if c in (*IDENTITY_COLUMNS[source], *shown)]
+    return [c for c in columns if c in (*IDENTITY_COLUMNS[source], *shown)]
+
+
+def _unshown(columns: list[str], source: str, metric: str) -> tuple[str, ...]:
+    """Columns that could give the metric, but are only shown for others."""
+    above, below = RATE_PARTS.get(metric, ((), ()))
+    own = _own_columns(columns, source, metric)
+    return tuple(c for c in columns if c in (*METRIC_CANDIDATES[metric], *above, *below) and c not in own)
+
+
+def _frame_value(columns: list[str], source: str, metric: str, more: tuple[str, ...]) -> Column:
+    """A metric of a table's rows, from the columns shown for it and some more."""
+    shown = [*_own_columns(columns, source, metric), *more]
 
     def first(names: tuple[str, ...]) -> Column:
         known = [F.col(n).cast("double") for n in names if n in shown]
@@ -168,52 +118,117 @@ def _frame_value(columns: list[str], source: str, metric: str) -> Column:
     )
 
 
-def with_extremes(evidence: DataFrame, whole: DataFrame) -> DataFrame:
-    """Adds ``extremes``: the entities with the lowest and highest primary metric.
+#: Contracts are compared by their gross premium over all networks, in whole micro-dollars.
+CONTRACTS = "master_contract_network_premium"
+
+
+def _by_entity(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of each entity its last value, or a contract's sum; contracts have no other metric."""
+    micros = F.rint(F.col("value") * 1e6).cast("long")
+    total = F.sum(micros).cast("double") / F.lit(1e6)
+    last = F.max_by("value", F.struct(F.coalesce("period", F.lit(0)), F.size("needs")))
+    contract = F.col("source") == CONTRACTS
+    known = rows.where("entity IS NOT NULL").where(~contract | (F.col("metric") == "gross_premium_usd"))
+    return known.groupBy(*keys, "source", "metric", "entity").agg(
+        F.when(contract, total).otherwise(last).alias("value")
+    )
+
+
+def _lowest_and_highest() -> Column:
+    """Of compared entities: how many, the lowest and the highest; ties go by name."""
+    pair = F.struct("value", "entity")
+    return F.struct(
+        F.count(F.lit(1)).cast("int").alias("entities"), F.min(pair).alias("low"), F.max(pair).alias("high")
+    )
+
+
+def whole_extremes(values: DataFrame) -> DataFrame:
+    """``(compared, primary_metric, whole)``: lowest and highest entity of whole tables.
 
-    The compared table follows from what the question names. Named entities are compared
-    with each other, otherwise all entities of the table (:func:`whole_extremes`), not only
-    those that the evidence lists. Entities with equal values are taken in name order.
-    Lower is better for the fee ratio only.
+    For questions that name no entity of the table. A table and a metric give one row, so
+    there are at most as many rows as tables times metrics.
     """
-    held = lambda source: F.size(rows_of(source)) > 0
-    contract = "master_contract_network_premium"
+    whole = values.where(F.col("source").isin(CONTRACTS, "age_bucket_review", "payer_review", "mobile_by_payer"))
+    return (
+        _by_entity(whole)
+        .groupBy(F.col("source").alias("compared"), F.col("metric").alias("primary_metric"))
+        .agg(_lowest_and_highest().alias("whole"))
+    )
+
+
+def _held(source: str) -> Column:
+    """Whether a question has evidence from a table; tables without rows are not listed."""
+    return F.array_contains(F.col("evidence.source"), source)
+
+
+def _compared() -> Column:
+    """The table whose entities an answer compares; it follows from what the question names."""
     has_gross = F.array_contains("requested_metrics", "gross_premium_usd") | F.arrays_overlap(
         "requested_metrics",
         F.array(F.lit("net_to_gross_ratio"), F.lit("tpa_to_gross_ratio")),
     )
-    compared = (
-        F.when(_has("master_contract") & held(contract) & has_gross, F.lit(contract))
-        .when(_has("demographic") & held("age_bucket_review"), "age_bucket_review")
+    return (
+        F.when(_has("master_contract") & _held(CONTRACTS) & has_gross, F.lit(CONTRACTS))
+        .when(_has("demographic") & _held("age_bucket_review"), "age_bucket_review")
         .when(
             _named("payer_countries"),
-            F.when(held("monthly_country_kpis"), "monthly_country_kpis").otherwise("none"),
+            F.when(_held("monthly_country_kpis"), "monthly_country_kpis").otherwise("none"),
         )
         .when(
             _named("policy_types"),
-            F.when(held("policy_type_review"), "policy_type_review").otherwise("none"),
+            F.when(_held("policy_type_review"), "policy_type_review").otherwise("none"),
         )
-        .when(_has("payer") & held("payer_review"), "payer_review")
-        .when(_has("adoption") & held("mobile_by_payer"), "mobile_by_payer")
+        .when(_has("payer") & _held("payer_review"), "payer_review")
+        .when(_has("adoption") & _held("mobile_by_payer"), "mobile_by_payer")
         .otherwise("none")
     )
-    is_named, candidates = F.lit(False), F.lit(None)
-    for source, entity_class in NAMED_SOURCES.items():
-        here = (F.col("compared") == source) & _named(entity_class)
-        is_named = is_named | here
-        found = _contract_candidates() if source == contract else _candidates(source)
-        if source == "monthly_country_kpis":
-            found = _latest_only(found)
-        candidates = F.when(here, found).otherwise(candidates)
-    known = F.sort_array(F.filter("candidates", lambda c: c["entity"].isNotNull()))
-    named = F.when(
-        F.size("candidates") > 0,
-        F.struct(
-            F.size("candidates").alias("entities"),
-            F.try_element_at("candidates", F.lit(1)).dropFields("period").alias("low"),
-            F.try_element_at("candidates", F.lit(-1)).dropFields("period").alias("high"),
-        ),
-    )
+
+
+def _is_named() -> Column:
+    """Whether the question names entities of the compared table."""
+    named = [(F.col("compared") == s) & _named(c) for s, c in NAMED_SOURCES.items()]
+    return reduce(lambda a, b: a | b, named)
+
+
+def _valued(asked: DataFrame, values: DataFrame) -> DataFrame:
+    """Evidence rows of one table per question with the value of the primary metric.
+
+    ``asked`` has question_id, source, metric, requested_metrics and evidence. The rows' keys
+    alone are read, and looked up among the values by equality.
+    """
+    entries = asked.select(
+        "question_id", F.col("source").alias("asked"), "metric",
+        shown_columns(F.col("source")).alias("shown"), F.explode("evidence").alias("e"),
+    )
+    rows = entries.where(F.col("e.source") == F.col("asked")).select(
+        "question_id", F.col("e.source").alias("source"), "metric", "shown", F.explode("e.rows").alias("r")
+    )
+    keys = rows.select("question_id", "source", "metric", "shown", "r.entity", "r.detail", "r.period").alias("k")
+    v = values.alias("v")
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"v.{c}")) for c in ("entity", "detail", "period")]
+    on = reduce(lambda a, b: a & b, same, (F.col("k.source") == F.col("v.source")) & (F.col("k.metric") == F.col("v.metric")))
+    visible = F.size(F.array_except("v.needs", "k.shown")) == 0
+    return keys.join(v, on).where(visible).select("k.*", "v.needs", "v.value").drop("shown")
+
+
+def named_extremes(evidence: DataFrame, values: DataFrame) -> DataFrame:
+    """``(question_id, named)``: the extremes among the entities that a question names."""
+    asked = (
+        evidence.withColumn("compared", _compared()).where(_is_named())
+        .select("question_id", F.col("compared").alias("source"), F.col("primary_metric").alias("metric"),
+                "requested_metrics", "evidence")
+    )
+    found = _by_entity(_valued(asked, values), "question_id")
+    return found.groupBy("question_id").agg(_lowest_and_highest().alias("named"))
+
+
+def with_extremes(evidence: DataFrame, values: DataFrame) -> DataFrame:
+    """Adds ``extremes``: the entities with the lowest and highest primary metric.
+
+    Named entities are compared with each other, otherwise all entities of the table
+    (:func:`whole_extremes`), not only those that the evidence lists. Entities with equal
+    values are taken in name order. Lower is better for the fee ratio only.
+    """
     e = F.col("found")
     rate = F.col("primary_metric").isin(*RATE_METRICS)
     lower_is_better = F.col("primary_metric") == _LOWER_IS_BETTER
@@ -229,13 +244,12 @@ def with_extremes(evidence: DataFrame, whole: DataFrame) -> DataFrame:
         .alias("priority_entity"),
     )
     return (
-        evidence.withColumn("compared", compared)
-        .join(F.broadcast(whole), ["compared", "primary_metric"], "left")
-        .withColumn("candidates", candidates)
-        .withColumn("candidates", known)
-        .withColumn("found", F.when(is_named, named).otherwise(F.col("whole")))
+        evidence.withColumn("compared", _compared())
+        .join(F.broadcast(whole_extremes(values)), ["compared", "primary_metric"], "left")
+        .join(named_extremes(evidence, values), "question_id", "left")
+        .withColumn("found", F.when(_is_named(), F.col("named")).otherwise(F.col("whole")))
         .withColumn("extremes", F.when(e.isNotNull(), extremes))
-        .drop("candidates", "whole", "found")
+        .drop("whole", "named", "found")
     )
 
 
@@ -284,26 +298,30 @@ def _entity_texts() -> tuple[Column, Column]:
     return F.when(e.isNotNull(), headline), F.when(e.isNotNull(), line)
 
 
-def with_trend(evidence: DataFrame) -> DataFrame:
+def with_trend(evidence: DataFrame, values: DataFrame) -> DataFrame:
     """Adds ``trend``: the last two points of the first series that has two."""
-
-    def points(source: str) -> Column:
-        known = F.array_sort(_candidates(source), lambda a, b: a["period"] - b["period"])
-        before, now = F.try_element_at(known, F.lit(-2)), F.try_element_at(known, F.lit(-1))
-        return F.when(
-            F.size(known) >= 2,
-            F.struct(
-                F.lit(source).alias("source"),
-                now["period"].alias("period"),
-                now["value"].alias("value"),
-                before["period"].alias("previous_period"),
-                before["value"].alias("previous_value"),
-            ),
-        )
-
-    return evidence.withColumn(
-        "trend", F.coalesce(points("monthly_kpis"), points("premium_by_year"))
-    )
+    series = ("monthly_kpis", "premium_by_year")
+    asked = evidence.select(
+        "question_id", F.explode(F.array(*map(F.lit, series))).alias("source"),
+        F.col("primary_metric").alias("metric"), "requested_metrics", "evidence",
+    )
+    # a series has as many points as the calendar has periods
+    points = F.sort_array(F.collect_list(F.struct("period", F.size("needs"), "value")), False)
+    now = F.col("points")[0]
+    before = F.get(F.filter("points", lambda p: p["period"] < now["period"]), F.lit(0))
+    trend = F.struct(
+        "source",
+        now["period"].alias("period"),
+        now["value"].alias("value"),
+        before["period"].alias("previous_period"),
+        before["value"].alias("previous_value"),
+    )
+    found = (
+        _valued(asked, values)
+        .groupBy("question_id", "source").agg(points.alias("points")).where(before.isNotNull())
+        .groupBy("question_id").agg(F.min_by(trend, "source").alias("trend"))
+    )
+    return evidence.join(found, "question_id", "left")
 
 
 def _trend_text() -> Column:
@@ -335,18 +353,35 @@ def _trend_text() -> Column:
     return F.when(t.isNotNull(), text)
 
 
-def _scope_text() -> Column:
-    cells = F.try_element_at(rows_of("summary"), F.lit(1))["cells"]
-    members = metric_value(cells, F.lit("unique_beneficiaries"))
-    gross = metric_value(cells, F.lit("gross_premium_usd"))
-    net = metric_value(cells, F.lit("net_premium_usd"))
+def with_scope_line(evidence: DataFrame, summary: DataFrame) -> DataFrame:
+    """Adds ``scope_line``, from the columns of the one-row summary that the question is shown."""
+    shown, kept = F.col("summary_columns"), {}
+
+    def first(names: tuple[str, ...]) -> Column:
+        known = [c for c in names if c in summary.columns]
+        kept.update((f"summary_{c}", F.col(c).cast("double")) for c in known)
+        seen = [F.when(F.array_contains(shown, c), F.col(f"summary_{c}")) for c in known]
+        return F.coalesce(*seen, F.lit(None).cast("double"))
+
+    members, gross, net = (
+        first(METRIC_CANDIDATES[m]) for m in ("unique_beneficiaries", "gross_premium_usd", "net_premium_usd")
+    )
     text = F.concat(
         F.lit("The applied scope covers "), fixed(members, "#,##0"),
         F.lit(" unique beneficiaries and "), money(gross), F.lit(" GP"),
         F.when(net.isNotNull(), F.concat(F.lit(" / "), money(net), F.lit(" NP"))).otherwise(""),
         F.lit("."),
     )
-    return F.when(members.isNotNull() & gross.isNotNull(), text)
+    one = summary.limit(1).select(
+        F.lit("summary").alias("held"), *[value.alias(name) for name, value in kept.items()]
+    )
+    return (
+        evidence.withColumn("summary_columns", shown_columns(F.lit("summary")))
+        .withColumn("held", F.when(_held("summary"), "summary"))
+        .join(F.broadcast(one), "held", "left")
+        .withColumn("scope_line", F.when(members.isNotNull() & gross.isNotNull(), text))
+        .drop("held", "summary_columns", *kept)
+    )
 
 
 def _action_text(place: int) -> Column:
@@ -362,19 +397,21 @@ def _action_text(place: int) -> Column:
     return text
 
 
-def answer_questions(evidence: DataFrame, whole: DataFrame) -> DataFrame:
+def answer_questions(evidence: DataFrame, values: DataFrame, summary: DataFrame) -> DataFrame:
     """Adds ``limitations`` and the Markdown ``answer`` of every question.
 
-    ``whole`` is :func:`whole_extremes` of the tables the evidence was taken from.
+    ``values`` is :func:`metric_values` of the tables the evidence was taken from, ``summary``
+    the one-row table. ``evidence`` is read three times and should be stored. Extremes and
+    trends are small tables by question, joined back to it.
     """
     headline, entity_line = _entity_texts()
-    prepared = with_trend(with_extremes(evidence, whole)).withColumn("limitations", limitations())
-    prepared = prepared.withColumns(
+    found = with_trend(with_extremes(evidence, values), values)
+    prepared = with_scope_line(found, summary).withColumns(
         {
+            "limitations": limitations(),
             "headline": headline,
             "entity_line": entity_line,
             "trend_line": _trend_text(),
-            "scope_line": _scope_text(),
         }
     )
     lines = F.concat(
@@ -499,10 +536,13 @@ def evaluation_records(
     scope_json: str,
     aggregates_path: str,
     engine: str,
+    batch: str,
+    started: datetime.datetime,
 ) -> DataFrame:
     """One record per answered question, in the layout of the evaluation dataset.
 
-    Values shared by the batch are written once: ``all_aggregate_metrics_json`` holds the
+    Ids follow from the batch and the question, and the time is that of the batch, so a batch
+    that is run again gives the same records. Values shared by the batch are written once: ``all_aggregate_metrics_json`` holds the
     metric dictionary and names the folder of the batch's aggregate rows.
     """
     aggregates = F.concat(
@@ -515,8 +555,8 @@ def evaluation_records(
     none = F.lit(None).cast("double")
     return answered.select(
         F.lit(EVALUATION_SCHEMA_VERSION).alias("schema_version"),
-        F.replace(F.uuid(), F.lit("-"), F.lit("")).alias("interaction_id"),
-        F.current_timestamp().alias("timestamp_utc"),
+        F.md5(F.to_json(F.array(F.lit(batch), F.col("question_id").cast("string")))).alias("interaction_id"),
+        F.lit(started).alias("timestamp_utc"),
         "question",
         "question_focus",
         _json(F.col("intents")).alias("intents_json"),
@@ -537,4 +577,5 @@ def evaluation_records(
         none.alias("planning_ms"),
         none.alias("response_ms"),
         none.alias("dashboard_query_ms"),
+        F.lit(batch).alias("batch"),
     )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +36,21 @@ def store_aggregates(snapshot: dict[str, DataFrame], options: DataFrame, folder:
     """
     for name, frame in EVIDENCE_FRAMES.items():
         snapshot[frame].write.mode("overwrite").parquet(f"{folder}/{name}")
+    store_values(options.sparkSession, folder)
     options.write.mode("overwrite").parquet(f"{folder}/filter_options")
 
 
+def store_values(spark: SparkSession, folder: str) -> None:
+    """Write the metrics of stored aggregates in long form, for questions to look up."""
+    an.metric_values(read_aggregates(spark, folder)).write.mode("overwrite").parquet(
+        f"{folder}/metric_values"
+    )
+
+
+def read_values(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/metric_values")
+
+
 def read_aggregates(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{folder}/{name}") for name in EVIDENCE_FRAMES}
 
@@ -82,6 +96,21 @@ def evidence_of(spark: SparkSession, routed: DataFrame, folder: str) -> DataFram
     )
 
 
+def _started(spark: SparkSession, folder: str) -> datetime.datetime:
+    """When a batch began: written once, read by every later attempt."""
+    path = f"{folder}/started"
+    try:
+        row = spark.read.schema("started timestamp").parquet(path).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        row = None
+    if row is None:
+        spark.range(1).select(F.current_timestamp().alias("started")).write.mode("overwrite").parquet(path)
+        row = spark.read.parquet(path).first()
+    return row["started"]
+
+
 def answer_batch(
     spark: SparkSession,
     questions: DataFrame,
@@ -91,27 +120,33 @@ def answer_batch(
     scope: str = "",
     scope_json: str = "{}",
     engine: str = "deterministic-cxo-engine-v1",
-) -> None:
-    """Answer a table of questions and append the records to the evaluation dataset.
-
-    Routed questions are written under ``work`` and read back: three steps start from them,
-    and none has to match entities again, also after an executor is lost. Each batch has a
-    folder of its own there that is never written again, so the values that its records
-    name stay those of the batch.
+    batch: str | None = None,
+) -> str:
+    """Answer a table of questions, append the records to the evaluation dataset, return the batch.
+
+    Each batch has a folder of its own under ``work``, so the values that its records name stay
+    those of the batch. Routed questions and their evidence are written there and read back:
+    several steps start from them, and none has to be repeated after an executor is lost. A
+    batch that failed is run again under its name with the same questions; its records then
+    replace those that an earlier attempt left.
     """
-    folder = f"{work}/batch-{uuid.uuid4().hex}"
-    qu.route_questions(questions, catalog_of(spark, aggregates)).write.parquet(
+    batch = batch or uuid.uuid4().hex
+    folder = f"{work}/batch-{batch}"
+    started = _started(spark, folder)
+    qu.route_questions(questions, catalog_of(spark, aggregates)).write.mode("overwrite").parquet(
         f"{folder}/routed"
     )
     routed = spark.read.parquet(f"{folder}/routed")
+    evidence_of(spark, routed, aggregates).write.mode("overwrite").parquet(f"{folder}/evidence")
     frames = read_aggregates(spark, aggregates)
-    an.aggregate_rows({**frames, **other_values(spark, aggregates)}).write.parquet(
+    an.aggregate_rows({**frames, **other_values(spark, aggregates)}).write.mode("overwrite").parquet(
         f"{folder}/aggregate_rows"
     )
     answered = an.answer_questions(
-        evidence_of(spark, routed, aggregates), an.whole_extremes(frames)
+        spark.read.parquet(f"{folder}/evidence"), read_values(spark, aggregates), frames["summary"]
     )
     records = an.evaluation_records(
-        answered, scope, scope_json, f"{folder}/aggregate_rows", engine
+        answered, scope, scope_json, f"{folder}/aggregate_rows", engine, batch, started
     )
     append_evaluations(records, output)
+    return batch

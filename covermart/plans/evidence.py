@@ -407,14 +407,6 @@ def _merged() -> Column:
     return kept
 
 
-def rows_of(source: str) -> Column:
-    """Evidence rows of one table; an empty array when there are none."""
-    entry = F.try_element_at(
-        F.filter("evidence", lambda e: e["source"] == source), F.lit(1)
-    )
-    return F.coalesce(entry["rows"], F.expr("slice(flatten(evidence.rows), 1, 0)"))
-
-
 def evidence_cells(evidence: DataFrame) -> DataFrame:
     """Evidence in long form, one row per question, table, row and shown column."""
     rows = evidence.select("question_id", F.inline("evidence")).select(
@@ -438,7 +430,7 @@ def limitations() -> Column:
     has = lambda name: F.array_contains("intents", name)
     gaps = [
         F.when(
-            (F.size(entity_class) > 0) & (F.size(rows_of(source)) == 0), F.lit(text)
+            (F.size(entity_class) > 0) & ~F.array_contains(F.col("evidence.source"), source), F.lit(text)
         )
         for (entity_class, source), text in MISSING_EVIDENCE.items()
     ]

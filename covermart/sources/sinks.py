@@ -23,12 +23,17 @@ def write_by_year(rows: DataFrame, path: str) -> None:
 
 
 def append_evaluations(records: DataFrame, path: str) -> None:
-    """Append answered questions as zstd Parquet, a folder per UTC date."""
+    """Append answered questions as zstd Parquet, a folder per UTC date and batch.
+
+    Only the folders of the records' batches are replaced, so a batch that is written again,
+    after a failure or by mistake, leaves one copy.
+    """
     utc = F.to_utc_timestamp("timestamp_utc", F.current_timezone())
     (
         records.withColumn("date", F.to_date(utc))
-        .write.mode("append")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
-        .partitionBy("date")
+        .partitionBy("date", "batch")
         .parquet(path)
     )

@@ -48,6 +48,10 @@ def frames(spark, sf_dir):
     return batch.read_aggregates(spark, aggregates(spark, sf_dir))
 
 
+def values(spark, sf_dir):
+    return batch.read_values(spark, aggregates(spark, sf_dir))
+
+
 def routed(spark, sf_dir):
     def write(path):
         catalog = batch.catalog_of(spark, aggregates(spark, sf_dir))
@@ -787,8 +791,7 @@ common(
     ("candidates",),
 )
 def entity_extremes(spark, sf_dir):
-    whole = an.whole_extremes(frames(spark, sf_dir))
-    found = an.with_extremes(evidence(spark, sf_dir), whole).where("extremes IS NOT NULL")
+    found = an.with_extremes(evidence(spark, sf_dir), values(spark, sf_dir)).where("extremes IS NOT NULL")
     return found.select("question_id", "extremes.*")
 
 
@@ -808,7 +811,7 @@ common(
 
 @query("q_trend", "SELECT * FROM trends", ("trends",))
 def q_trend(spark, sf_dir):
-    found = an.with_trend(evidence(spark, sf_dir)).where("trend IS NOT NULL")
+    found = an.with_trend(evidence(spark, sf_dir), values(spark, sf_dir)).where("trend IS NOT NULL")
     return found.select("question_id", "trend.*")
 
 
@@ -998,8 +1001,9 @@ _ANSWER_SQL = f"""
 
 @query("answer_text", _ANSWER_SQL, ("lines",))
 def answer_text(spark, sf_dir):
-    whole = an.whole_extremes(frames(spark, sf_dir))
-    return an.answer_questions(evidence(spark, sf_dir), whole).select("question_id", "answer")
+    summary = frames(spark, sf_dir)["summary"]
+    answered = an.answer_questions(evidence(spark, sf_dir), values(spark, sf_dir), summary)
+    return answered.select("question_id", "answer")
 
 
 _GROSS_FIRST = "-coalesce(f.gross_premium_usd, '-infinity'::double)"
@@ -1171,15 +1175,33 @@ def _evaluations(spark, sf_dir) -> str:
     return stored(spark, sf_dir, "evaluations", write)
 
 
+common("answers", _ANSWER_SQL, ("lines",))
+
+
 @query(
     "eval_sink",
-    """SELECT question, focus AS question_focus, '["' || array_to_string(intents, '","')
-              || '"]' AS intents_json, 4 AS schema_version FROM plan""",
-    ("plan",),
+    f"""SELECT 4 AS schema_version, p.question, p.focus AS question_focus,
+               to_json(p.intents)::varchar AS intents_json,
+               to_json(p.metrics)::varchar AS requested_metrics_json,
+               concat('{{', {_MATCHED_SQL}, '}}') AS matched_entities_json,
+               to_json(list_filter(p.sources, lambda s: list_contains(coalesce(h.held, []), s)))
+                   ::varchar AS source_tables_json,
+               '{an.ALL_PORTFOLIO}' AS scope, '{{}}' AS filter_spec_json,
+               c.context_json AS evidence_context_json, a.answer,
+               'deterministic-cxo-engine-v1' AS response_engine, 'fallback' AS response_status,
+               '' AS configured_model, '' AS generation_profile,
+               'not_checked' AS model_check_status, '' AS error_message,
+               NULL::double AS planning_ms, NULL::double AS response_ms,
+               NULL::double AS dashboard_query_ms
+        FROM plan AS p JOIN contexts AS c USING (question_id) JOIN answers AS a USING (question_id)
+        LEFT JOIN (SELECT question_id, list(DISTINCT source) AS held FROM cells GROUP BY 1) AS h
+            USING (question_id)""",
+    ("plan", "contexts", "answers", "cells", "hits"),
 )
 def eval_sink(spark, sf_dir):
+    """The written records, all columns but ids, times and the batch's own folder."""
     records = spark.read.parquet(f"{_evaluations(spark, sf_dir)}/records")
-    return records.select("question", "question_focus", "intents_json", "schema_version")
+    return records.drop("interaction_id", "timestamp_utc", "all_aggregate_metrics_json", "date", "batch")
 
 
 @query(

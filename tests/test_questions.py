@@ -13,7 +13,14 @@ from pyspark.sql import functions as F
 from covermart.plans import answers as an
 from covermart.plans import evidence as ev
 from covermart.plans import questions as qu
-from covermart.plans.batch import answer_batch, catalog_of, evidence_of, read_aggregates
+from covermart.plans.batch import (
+    answer_batch,
+    catalog_of,
+    evidence_of,
+    read_aggregates,
+    read_values,
+    store_values,
+)
 
 MONEY = "gross_premium_usd double, net_premium_usd double, tpa_fee_usd double"
 RATES = "app_penetration_rate double, net_to_gross_ratio double, tpa_to_gross_ratio double"
@@ -100,6 +107,7 @@ def store(spark, path: str, tables: dict) -> str:
         [("payer_name", "Oak Unlisted"), ("payer_country", "Nowhere Isle"), ("gender", "X")],
         "dimension string, value string",
     ).write.parquet(f"{path}/filter_options")
+    store_values(spark, path)
     return path
 
 
@@ -116,8 +124,9 @@ def questions(spark):
 @pytest.fixture(scope="module")
 def answered(spark, folder, questions):
     routed = qu.route_questions(questions, catalog_of(spark, folder)).persist()
-    whole = an.whole_extremes(read_aggregates(spark, folder))
-    frame = an.answer_questions(evidence_of(spark, routed, folder), whole)
+    evidence = evidence_of(spark, routed, folder).persist()
+    summary = read_aggregates(spark, folder)["summary"]
+    frame = an.answer_questions(evidence, read_values(spark, folder), summary)
     frame = frame.withColumn("context", an.context_json(F.lit("All portfolio")))
     frame = frame.withColumn("prompt", an.prompt_text(F.col("question"), F.col("context")))
     return {r["question_id"]: r.asDict(recursive=True) for r in frame.collect()}
@@ -237,7 +246,7 @@ def test_batches_keep_their_own_values(spark, folder, questions, tmp_path):
             scope="all of it", scope_json="{}",
         )
     saved = spark.read.parquet(f"{tmp_path}/records")
-    assert len(saved.columns) == 24  # twenty-three fields and the date folder
+    assert len(saved.columns) == 25  # twenty-three fields and the folders of date and batch
     rows = saved.orderBy("timestamp_utc").collect()
     assert len(rows) == 4 and len({r["interaction_id"] for r in rows}) == 4
     assert {(r["schema_version"], r["scope"]) for r in rows} == {(4, "all of it")}
@@ -252,3 +261,31 @@ def test_batches_keep_their_own_values(spark, folder, questions, tmp_path):
         own = [json.loads(r["row_json"]) for r in values.where("table_name = 'payer_review'").collect()]
         gross.append({r["payer_name"]: r["gross_premium_usd"] for r in own}[PAYERS[0]])
     assert gross == [64_000.0, 123.0]
+
+
+def test_a_batch_written_again_leaves_one_copy(spark, folder, questions, tmp_path):
+    asked = questions.where("question_id IN ('two', 'lagging', 'blank')")
+    places = (folder, f"{tmp_path}/work", f"{tmp_path}/records")
+    first = answer_batch(spark, asked, *places, batch="b1")
+    before = sorted(map(str, spark.read.parquet(places[2]).collect()))
+    # an attempt that died after it began, and one that runs through
+    spark.range(1).where("id < 0").selectExpr("current_timestamp() AS started").write.parquet(
+        f"{tmp_path}/work/batch-b2/started"
+    )
+    assert answer_batch(spark, asked, *places, batch="b2") == "b2"
+    assert (first, answer_batch(spark, asked, *places, batch="b1")) == ("b1", "b1")
+    saved = spark.read.parquet(places[2])
+    assert sorted(map(str, saved.where("batch = 'b1'").collect())) == before
+    assert saved.count() == 4 and saved.select("interaction_id").distinct().count() == 4
+
+
+def test_evidence_is_not_searched_in_arrays(spark, folder, questions):
+    """Values come from joins: no filter over evidence rows, whatever the number of tables."""
+    evidence = evidence_of(spark, qu.route_questions(questions, catalog_of(spark, folder)), folder)
+    evidence.write.mode("overwrite").parquet(f"{folder}/plan_check")
+    stored = spark.read.parquet(f"{folder}/plan_check")
+    summary = read_aggregates(spark, folder)["summary"]
+    plan = an.answer_questions(stored, read_values(spark, folder), summary).select("question_id", "answer")
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(evidence" not in text
+    assert text.count("cells") <= 1  # rows are read by their keys alone
