@@ -10,13 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covermart.operators.coverage import coverage_dates
-from covermart.operators.scope import Scope
 from covermart.session import shared_folder
 from covermart.sources.sinks import write_by_year
 from fixture_queries import views
 
-FULL_SCOPE = Scope(1900, 2100)
-
 _written: dict[tuple[str, str, str], str] = {}
 _lock = threading.RLock()
 
