@@ -99,92 +99,68 @@ def parse_scopes(scopes: DataFrame) -> DataFrame:
     ).withColumn("problem", problem)
 
 
-def _wanted(policies: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Scopes with the years that policies have and their restrictions.
+def _wanted(policies: DataFrame, scopes: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
+    """Scopes with the years that policies have and an anchor, all dimensions and all anchors used.
 
     Years are looked up among those of the policies, so a range of any width costs nothing.
-    The restriction on the dimension with most values comes first, as it keeps fewest
-    policies. A first pass over the policies gives twenty numbers and the list of years.
+    The anchor of a scope is its restricted dimension of which the scopes together name most
+    values: payers before networks. That is read from the scopes alone and decides the work,
+    never the result. At most nineteen names and the list of years reach the driver.
     """
-    facts = policies.agg(
-        F.collect_set("uw_year").alias("years"),
-        *[F.approx_count_distinct(c, 0.1).alias(c) for c in SCOPE_COLUMNS.values()],
-    )
-    fact = facts.first()
-    known = F.array(*[F.lit(y) for y in sorted(fact["years"])]).cast("array<int>")
-    listed = F.array(
-        *[
-            F.struct(
-                F.lit(-fact[column]).alias("order"),
-                F.lit(column).alias("dimension"),
-                F.col(name).alias("kept"),
-            )
-            for name, column in SCOPE_COLUMNS.items()
-        ]
-    )
-    restrictions = F.filter(listed, lambda d: F.size(d["kept"]) > 0)
+    years = sorted(r["uw_year"] for r in policies.select("uw_year").distinct().collect() if r["uw_year"] is not None)
+    known = F.array(*[F.lit(y) for y in years]).cast("array<int>")
+    readable = parse_scopes(scopes).where("problem IS NULL")
+    listed = [F.struct(F.lit(name).alias("name"), F.col(name).alias("kept")) for name in SCOPE_COLUMNS]
+    named = readable.select(F.inline(F.array(*listed))).select("name", F.explode("kept").alias("value"))
+    most = {r["name"]: r["n"] for r in named.groupBy("name").agg(F.countDistinct("value").alias("n")).collect()}
+    used = sorted(most, key=lambda name: (-most[name], list(SCOPE_COLUMNS).index(name)))
+    anchor = F.coalesce(*[F.when(F.size(name) > 0, F.lit(name)) for name in used], F.lit(None).cast("string"))
     start, end = F.col("year_start"), F.col("year_end")
-    return (
-        parse_scopes(scopes)
-        .where("problem IS NULL")
-        .select(
-            "scope_id", "year_start", "year_end",
-            F.filter(known, lambda y: y.between(start, end)).alias("years"),
-            F.sort_array(restrictions).alias("restrictions"),
-        )
-    )
+    wanted = readable.select(
+        "scope_id", "year_start", "year_end", anchor.alias("anchor"),
+        F.filter(known, lambda y: y.between(start, end)).alias("years"), *used,
+    )
+    anchors = sorted(r["anchor"] for r in wanted.select("anchor").distinct().collect() if r["anchor"])
+    return wanted, used, anchors
 
 
-def _matched(policies: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Policies of scopes that restrict a dimension, looked up by the first restriction."""
-    first = F.element_at("restrictions", 1)
-    wanted = wanted.select(
-        "scope_id", "year_start", "year_end", "restrictions",
-        first["dimension"].alias("anchor"),
-        F.explode(F.array_distinct(first["kept"])).alias("anchor_value"),
-    )
-    # At most nineteen column names; policies offer their values of those alone.
-    used = sorted(r["anchor"] for r in wanted.select("anchor").distinct().collect())
-    offers = F.array(
-        *[
-            F.struct(F.lit(c).alias("anchor"), F.col(c).alias("anchor_value"))
-            for c in used or ["payer_name"]
-        ]
-    )
-    offered = (
-        policies.where("uw_year IS NOT NULL")
-        .select("*", F.inline(offers))
-        .where("anchor_value IS NOT NULL")
-    )
-    p, s = offered.alias("p"), wanted.alias("s")
-    own = F.create_map(
-        *[part for c in SCOPE_COLUMNS.values() for part in (F.lit(c), F.col(f"p.{c}"))]
-    )
-    meets = (
-        (F.col("p.anchor") == F.col("s.anchor"))
-        & (F.col("p.anchor_value") == F.col("s.anchor_value"))
-        & F.col("p.uw_year").between(F.col("s.year_start"), F.col("s.year_end"))
-        & F.forall(
-            "s.restrictions",
-            lambda d: F.coalesce(F.array_contains(d["kept"], own[d["dimension"]]), F.lit(False)),
-        )
-    )
-    return p.join(s, meets).select("s.scope_id", *[f"p.{c}" for c in policies.columns])
+def _matched(policies: DataFrame, wanted: DataFrame, used: list[str], anchors: list[str]) -> DataFrame:
+    """Policies of scopes that restrict a dimension, looked up by the value of its anchor.
+
+    One equi-join for each dimension that is an anchor; a policy is never multiplied. Scopes
+    are the small side, which Spark broadcasts after its own size check. Were they too many,
+    adaptive execution splits the policies of a value that holds much of the table.
+    """
+    parts = []
+    for anchor in anchors:
+        s = wanted.where(F.col("anchor") == anchor).withColumn(
+            "anchor_value", F.explode(F.array_distinct(anchor))
+        ).alias("s")
+        p = policies.alias("p")
+        meets = (F.col(f"p.{SCOPE_COLUMNS[anchor]}") == F.col("s.anchor_value")) & F.col(
+            "p.uw_year"
+        ).between(F.col("s.year_start"), F.col("s.year_end"))
+        for name in used:
+            if name != anchor:
+                kept = F.array_contains(F.col(f"s.{name}"), F.col(f"p.{SCOPE_COLUMNS[name]}"))
+                meets &= (F.size(f"s.{name}") == 0) | F.coalesce(kept, F.lit(False))
+        parts.append(p.join(s, meets).select("s.scope_id", *[f"p.{c}" for c in policies.columns]))
+    if not parts:
+        return policies.where(F.lit(False)).select(F.lit(None).cast("string").alias("scope_id"), "*")
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def match_scopes(policies: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Policies of every scope in a table of scopes, in one pass, as ``(scope_id, policy)``.
+    """Policies of every scope in a table of scopes as ``(scope_id, policy)``.
 
-    Each scope is looked up by the values of its most selective restricted dimension, so a
-    policy meets only scopes that name one of its own values instead of every scope there
-    is. The remaining dimensions are checked on the pairs that meet. Scopes without a
-    dimension are looked up by year.
+    Each scope is looked up by the values of one restricted dimension, so a policy meets only
+    scopes that name one of its own values instead of every scope there is. The remaining
+    dimensions are checked on the pairs that meet. Scopes without a dimension are looked up
+    by year.
     """
-    wanted = _wanted(policies, scopes)
-    by_value = _matched(policies, wanted.where(F.size("restrictions") > 0))
-    years = wanted.where(F.size("restrictions") == 0).select(
-        "scope_id", F.explode("years").alias("uw_year")
-    )
+    wanted, used, anchors = _wanted(policies, scopes)
+    by_value = _matched(policies, wanted, used, anchors)
+    years = wanted.where("anchor IS NULL").select("scope_id", F.explode("years").alias("uw_year"))
     by_year = policies.join(years, "uw_year").select("scope_id", *policies.columns)
     return by_value.unionByName(by_year)
 
@@ -195,19 +171,19 @@ def scope_summary(policies: DataFrame, scopes: DataFrame) -> DataFrame:
     Scopes that match nothing have zeros. Scopes by year alone that cover the same years
     are counted once, on policies reduced to year and member before they meet the years.
     """
-    wanted = _wanted(policies, scopes)
+    wanted, used, anchors = _wanted(policies, scopes)
     slim = policies.select(
-        "uw_year", *SCOPE_COLUMNS.values(), "beneficiary_key",
+        "uw_year", *[SCOPE_COLUMNS[name] for name in used], "beneficiary_key",
         micro(F.col("gross_premium_usd")).alias("gross"),
     )
     by_value = (
-        _matched(slim, wanted.where(F.size("restrictions") > 0))
+        _matched(slim, wanted, used, anchors)
         .groupBy("scope_id", "beneficiary_key")
         .agg(F.count(F.lit(1)).alias("n"), sum_micro(F.col("gross")).alias("gross"))
         .groupBy("scope_id")
         .agg(*_totals())
     )
-    plain = wanted.where(F.size("restrictions") == 0).select("scope_id", "years")
+    plain = wanted.where("anchor IS NULL").select("scope_id", "years")
     members = slim.groupBy("uw_year", "beneficiary_key").agg(
         F.count(F.lit(1)).alias("n"), sum_micro(F.col("gross")).alias("gross")
     )
