@@ -63,8 +63,12 @@ def _long_form(rows: DataFrame, dimensions: tuple[str, ...], total: bool) -> Dat
     return rows.select(*others, F.inline(F.array(*pairs)))
 
 
-def _member_runs(spans: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
-    """Runs of members and of registered users, one per key, dimensions and first month."""
+def member_runs(spans: DataFrame, dimensions: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """Runs of members and of registered users, one per key, dimensions and first month.
+
+    Runs of several sets of policies may be put together: a month that two of them cover is
+    counted once in the end.
+    """
     registered_from = F.coalesce(month_number(F.col("registration_date")), F.col("first_month"))
     runs = F.array(
         F.struct(
@@ -83,9 +87,9 @@ def _member_runs(spans: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
         ),
     )
     return (
-        spans.select(*dimensions, F.inline(runs))
+        spans.select(*by, *dimensions, F.inline(runs))
         .where("key IS NOT NULL AND first_month <= last_month")
-        .groupBy("kind", "key", "first_month", *dimensions)
+        .groupBy(*by, "kind", "key", "first_month", *dimensions)
         .agg(F.max("last_month").alias("last_month"))
     )
 
@@ -110,14 +114,16 @@ def _counted_runs(runs: DataFrame, dimensions: tuple[str, ...], total: bool) ->
     )
 
 
-def _money_runs(spans: DataFrame, dimensions: tuple[str, ...], total: bool) -> DataFrame:
-    """Monthly share of the money per run of months and dimension value."""
-    by_run = spans.groupBy(*dimensions, "first_month", "last_month").agg(
+def money_runs(spans: DataFrame, dimensions: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """Money in micro-dollars per run of months and dimensions; sums of several sets add up."""
+    return spans.groupBy(*by, *dimensions, "first_month", "last_month").agg(
         *[sum_micro(micro(F.col(c))).alias(c) for c in MONEY_COLUMNS]
     )
-    months = F.col("last_month") - F.col("first_month") + 1
-    shares = {c: share_of_months(F.col(c), months) for c in MONEY_COLUMNS}
-    return _long_form(by_run.withColumns(shares), dimensions, total)
+
+
+def dimension_spans(policies: DataFrame, dimensions: tuple[str, ...]) -> DataFrame:
+    """Policies with their covered months and labelled dimensions."""
+    return covered_span(policies).withColumns({d: unassigned(F.col(d)) for d in dimensions})
 
 
 def monthly_series(
@@ -128,14 +134,29 @@ def monthly_series(
     ``dimension`` names the column, or ``total`` for the whole; a month is present when at
     least one policy covers it.
     """
-    spans = covered_span(policies).withColumns(
-        {d: unassigned(F.col(d)) for d in dimensions}
+    spans = dimension_spans(policies, dimensions)
+    return series_of_runs(
+        member_runs(spans, dimensions), money_runs(spans, dimensions), dimensions, total
+    )
+
+
+def series_of_runs(
+    members: DataFrame, money: DataFrame, dimensions: tuple[str, ...], total: bool = True
+) -> DataFrame:
+    """:func:`monthly_series` from runs, which may be those of several sets of policies.
+
+    Money of equal runs is added before it is divided, so the parts give what the whole gives.
+    """
+    counted = _counted_runs(members, dimensions, total)
+    by_run = money.groupBy(*dimensions, "first_month", "last_month").agg(
+        *[F.sum(c).alias(c) for c in MONEY_COLUMNS]
     )
-    counted = _counted_runs(_member_runs(spans, dimensions), dimensions, total)
-    money = _money_runs(spans, dimensions, total)
+    months = F.col("last_month") - F.col("first_month") + 1
+    shares = {c: share_of_months(F.col(c), months) for c in MONEY_COLUMNS}
+    shared = _long_form(by_run.withColumns(shares), dimensions, total)
     counts = ("active_population", "active_registered_users")
     return (
-        counted.unionByName(money, allowMissingColumns=True)
+        counted.unionByName(shared, allowMissingColumns=True)
         .withColumn("month", F.explode(F.sequence("first_month", "last_month")))
         .groupBy("dimension", "dimension_value", "month")
         .agg(

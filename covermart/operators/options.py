@@ -21,6 +21,17 @@ def filter_options(policies: DataFrame) -> DataFrame:
     return policies.select(F.inline(pairs)).where("value IS NOT NULL").distinct()
 
 
+def year_options(policies: DataFrame) -> DataFrame:
+    """The same by underwriting year, so that the options of years can be put together."""
+    pairs = F.array(
+        *[
+            F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value"))
+            for c in OPTION_COLUMNS
+        ]
+    )
+    return policies.select("uw_year", F.inline(pairs)).where("value IS NOT NULL").distinct()
+
+
 def ordered_options(options: DataFrame) -> DataFrame:
     """Options in menu order: by dimension, years as numbers, other values as text.
 

@@ -14,7 +14,8 @@ from covermart.operators import reviews as rv
 from covermart.operators import timeintel as ti
 from covermart.operators import topn
 from covermart.operators.scope import Scope, scope_filter
-from covermart.plans.mart import ROLLUPS, Mart, write_mart
+from covermart.operators.options import OPTION_COLUMNS
+from covermart.plans.mart import Mart, refresh_mart, write_mart
 from covermart.plans.snapshot import snapshot
 from fixture_queries.catalog import MONTH_MEASURES, common, query
 from fixture_queries.tables import dated_policies, policies, stored
@@ -221,33 +222,109 @@ def rollup_route(spark, sf_dir):
     return _stack_frames(mart.monthly(_full_scope(mart)))
 
 
+_MEASURES = "active_population, active_registered_users, gross_premium_usd, net_premium_usd, tpa_fee_usd"
+_NO_MEASURES = "NULL::bigint, NULL::bigint, NULL::double, NULL::double, NULL::double"
+
+
+def _dimension_rows_sql(dimension: str) -> str:
+    return f"""SELECT 'monthly_dimension_kpis', month_end, '{dimension}',
+                      coalesce({dimension}, 'Unassigned'), 1, {MONTH_MEASURES}
+               FROM scoped_months GROUP BY 2, 4"""
+
+
+_MART_SQL = f"""
+    SELECT 'policy_records' AS table_name, NULL::date AS month_end, 'uw_year' AS dimension,
+           uw_year::varchar AS value, count(*) AS row_count, NULL::bigint AS active_population,
+           NULL::bigint AS active_registered_users, NULL::double AS gross_premium_usd,
+           NULL::double AS net_premium_usd, NULL::double AS tpa_fee_usd
+    FROM records GROUP BY 4
+    UNION ALL SELECT 'monthly_kpis', month_end, NULL, NULL, 1, {_MEASURES} FROM kpis
+    UNION ALL SELECT 'monthly_country_kpis', month_end, 'payer_country', payer_country, 1, {_MEASURES}
+    FROM country_kpis
+    UNION ALL {" UNION ALL ".join(map(_dimension_rows_sql, mo.ROLLUP_DIMENSIONS))}
+    UNION ALL SELECT 'active_population', month_end, NULL, NULL, 1, active_population,
+                     NULL, NULL, NULL, NULL FROM kpis
+    UNION ALL SELECT 'filter_options', NULL, dimension, value, 1, {_NO_MEASURES}
+    FROM (SELECT DISTINCT unnest({list(OPTION_COLUMNS)}) AS dimension,
+                 unnest([{", ".join(f"{c}::varchar" for c in OPTION_COLUMNS)}]) AS value FROM records)
+    WHERE value IS NOT NULL
+    UNION ALL SELECT 'mart_metadata', NULL, unnest(['policy_records', 'uw_year_min', 'uw_year_max']),
+                     unnest([count(*)::varchar, coalesce(min(uw_year)::varchar, ''),
+                             coalesce(max(uw_year)::varchar, '')]), 1, {_NO_MEASURES} FROM records
+    UNION ALL SELECT 'mart_metadata', NULL, 'active_member_month_rows', count(*)::varchar, 1, {_NO_MEASURES}
+    FROM expanded"""
+
+
+def _mart_rows(mart: Mart):
+    """Contents of the stored tables in one shape; policies, which have a query, as sizes by year."""
+
+    def shaped(name, frame, dimension=None, value=None, rows=None):
+        columns = {
+            "table_name": F.lit(name),
+            "month_end": F.col("month_end") if "month_end" in frame.columns else F.lit(None).cast("date"),
+            "dimension": (F.lit(None) if dimension is None else dimension).cast("string"),
+            "value": (F.lit(None) if value is None else value).cast("string"),
+            "row_count": (F.lit(1) if rows is None else rows).cast("bigint"),
+        }
+        kinds = ("bigint", "bigint", "double", "double", "double")
+        for measure, kind in zip(mo.SERIES_MEASURES, kinds, strict=True):
+            held = F.col(measure) if measure in frame.columns else F.lit(None)
+            columns[measure] = held.cast(kind)
+        return frame.select(*[c.alias(k) for k, c in columns.items()])
+
+    sizes = mart.table("policy_records").groupBy("uw_year").agg(F.count(F.lit(1)).alias("n"))
+    metadata = mart.table("mart_metadata").where("key NOT IN ('source_path', 'built_at_utc')")
+    options, dimensions = mart.table("filter_options"), mart.table("monthly_dimension_kpis")
+    countries = mart.table("monthly_country_kpis")
+    parts = [
+        shaped("policy_records", sizes, F.lit("uw_year"), F.col("uw_year"), F.col("n")),
+        shaped("monthly_kpis", mart.table("monthly_kpis")),
+        shaped("monthly_country_kpis", countries, F.lit("payer_country"), F.col("payer_country")),
+        shaped("monthly_dimension_kpis", dimensions, F.col("dimension"), F.col("dimension_value")),
+        shaped("active_population", mart.table("active_population")),
+        shaped("filter_options", options, F.col("dimension"), F.col("value")),
+        shaped("mart_metadata", metadata, F.col("key"), F.col("value")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+_MART_NEEDS = ("records", "expanded", "kpis", "country_kpis")
+
+
+@query("build_mart", _MART_SQL, _MART_NEEDS)
+def build_mart(spark, sf_dir):
+    return _mart_rows(_mart(spark, sf_dir))
+
+
+_REFRESHED = 1998
+
+
+@query("refresh_mart", _MART_SQL, _MART_NEEDS)
+def refreshed_mart(spark, sf_dir):
+    """The same contents when a year arrives after the others, in a version of its own."""
+
+    def write(path):
+        whole = policies(spark, sf_dir)
+        earlier = whole.where(~F.col("uw_year").eqNullSafe(_REFRESHED))
+        write_mart(spark, earlier, path, sf_dir)
+        refresh_mart(spark, whole.where(F.col("uw_year") == _REFRESHED), path, sf_dir)
+
+    return _mart_rows(Mart(spark, stored(spark, sf_dir, "refreshed", write)))
+
+
 @query(
-    "build_mart",
-    """SELECT 'policy_records' AS table_name, count(*) AS row_count FROM records
-       UNION ALL SELECT 'member_months', count(*) FROM expanded
-       UNION ALL SELECT 'monthly_kpis', count(*) FROM kpis
-       UNION ALL SELECT 'monthly_country_kpis', count(*) FROM country_kpis
-       UNION ALL SELECT 'monthly_dimension_kpis', count(*) FROM (
-           SELECT DISTINCT month_end, 'network_type', coalesce(network_type, 'Unassigned')
-           FROM scoped_months UNION ALL
-           SELECT DISTINCT month_end, 'network_group', coalesce(network_group, 'Unassigned')
-           FROM scoped_months UNION ALL
-           SELECT DISTINCT month_end, 'policy_type', coalesce(policy_type, 'Unassigned')
-           FROM scoped_months) AS d
-       UNION ALL SELECT 'active_population', count(*) FROM kpis
-       UNION ALL SELECT 'mart_metadata', 6""",
-    ("records", "expanded", "kpis", "country_kpis"),
+    "mart_policies",
+    """SELECT * EXCLUDE (l_orderkey, gross_cents, net_cents, tpa_cents, effective_start,
+                         provisional_stop, effective_stop),
+              gross_cents / 1e2 AS gross_premium_usd, net_cents / 1e2 AS net_premium_usd,
+              tpa_cents / 1e2 AS tpa_fee_usd, effective_start AS effective_start_date,
+              provisional_stop AS provisional_stop_date, effective_stop AS effective_stop_date
+       FROM records""",
+    ("records",),
 )
-def build_mart(spark, sf_dir):
-    mart = _mart(spark, sf_dir)
-    names = ("policy_records", "member_months", *ROLLUPS, "active_population", "mart_metadata")
-    sizes = [
-        mart.table(n).agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(n).alias("table_name"), "row_count"
-        )
-        for n in names
-    ]
-    return reduce(lambda a, b: a.unionByName(b), sizes)
+def mart_policies(spark, sf_dir):
+    """Every stored policy, all columns."""
+    return _mart(spark, sf_dir).table("policy_records")
 
 
 @query(
