@@ -238,6 +238,146 @@ def mobile_by_payer(scoped: DataFrame, rows: int = PAYER_ROWS) -> DataFrame:
     return mobile_by_payer_all(scoped).limit(rows)
 
 
+# --- all reviews from one pass -------------------------------------------------------
+
+#: Group sets of :func:`review_measures` and the kinds of keys that each counts.
+_COUNTED = {
+    "total": ("beneficiary", "user", "contract"),
+    "uw_year": ("beneficiary", "user"),
+    "payer_name": ("beneficiary", "user"),
+    "age_bucket": ("beneficiary", "user"),
+    "policy_type": ("beneficiary",),
+}
+_PREMIUMS = {"payer_network": "payer_name", "contract_network": "master_contract"}
+
+
+def _group_value(name: str) -> Column:
+    if name == "total":
+        return F.lit(None).cast("string")
+    return F.col(name).cast("string") if name == "uw_year" else unassigned(F.col(name))
+
+
+def review_measures(scoped: DataFrame) -> DataFrame:
+    """The counts and money of all ten reviews, one row per group set, value and detail.
+
+    Policies are read once for the keys and once for the money. Each key becomes a row for
+    every group set that counts it, ``(grouping, value, kind, key)``, and all are made distinct
+    in one shuffle; the total and a hot payer are spread over all tasks by their keys. The
+    result is as small as the reviews are.
+    """
+    linked = F.col("registered_user_key").isNotNull()
+    keys = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("grouping"),
+                _group_value(name).alias("value"),
+                F.lit(kind).alias("kind"),
+                F.col(_KEYS[kind]).alias("key"),
+                (linked if kind == "beneficiary" else F.lit(False)).alias("linked"),
+            )
+            for name, kinds in _COUNTED.items()
+            for kind in kinds
+        ]
+    )
+    distinct = (
+        scoped.select(F.inline(keys)).where("key IS NOT NULL")
+        .groupBy("grouping", "value", "kind", "key").agg(F.max("linked").alias("linked"))
+    )
+    counts = distinct.groupBy("grouping", "value").agg(
+        *[F.count_if(F.col("kind") == kind).alias(kind) for kind in _KEYS],
+        F.count_if("linked").alias("linked"),
+    )
+    none = F.lit(None).cast("string")
+    groups = [(name, _group_value(name), none) for name in _COUNTED] + [
+        (name, unassigned(F.col(column)), unassigned(F.col("network_type")))
+        for name, column in _PREMIUMS.items()
+    ]
+    groups = F.array(
+        *[
+            F.struct(F.lit(name).alias("grouping"), value.alias("value"), detail.alias("detail"))
+            for name, value, detail in groups
+        ]
+    )
+    money = scoped.select(*[micro(F.col(c)).alias(c) for c in MONEY_COLUMNS], F.inline(groups))
+    totals = money.groupBy("grouping", "value", "detail").agg(
+        F.count(F.lit(1)).alias("policy_records"), *[sum_micro(F.col(c)).alias(c) for c in MONEY_COLUMNS]
+    )
+    return (
+        counts.unionByName(totals, allowMissingColumns=True)
+        .groupBy("grouping", "value", "detail")
+        .agg(
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("policy_records", *_KEYS, "linked")],
+            *[dollars(F.sum(c)).alias(c) for c in MONEY_COLUMNS],
+        )
+    )
+
+
+def review_frames(measures: DataFrame) -> dict[str, DataFrame]:
+    """The ten reviews and the summary from :func:`review_measures`."""
+
+    def group(name: str, **columns: str | Column) -> DataFrame:
+        own = [(F.col(c) if isinstance(c, str) else c).alias(k) for k, c in columns.items()]
+        return measures.where(F.col("grouping") == name).select(*own, *MONEY_COLUMNS)
+
+    def review(name: str) -> DataFrame:
+        return _rates(
+            group(name, **{name: "value"}, beneficiaries="beneficiary", registered_users="user",
+                  registered_beneficiaries="linked")
+        )
+
+    def premium(name: str) -> DataFrame:
+        gross = F.coalesce("gross_premium_usd", F.lit(0.0)).alias("gross_premium_usd")
+        column = _PREMIUMS[name]
+        return measures.where(F.col("grouping") == name).select(
+            F.col("value").alias(column), F.col("detail").alias("network_type"), gross
+        ).orderBy(F.desc("gross_premium_usd"), column, "network_type")
+
+    # an empty scope has no total: the aggregate makes it one row of zeros
+    names = {
+        "policy_records": "policy_records", "unique_beneficiaries": "beneficiary", "master_contracts": "contract",
+        "registered_users": "user", "registered_beneficiaries": "linked",
+    }
+    summary = measures.where("grouping = 'total'").agg(
+        *[F.coalesce(F.max(c), F.lit(0)).alias(name) for name, c in names.items()],
+        *[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in MONEY_COLUMNS],
+    )
+    years = group("uw_year", uw_year=F.col("value").cast("int"), beneficiaries="beneficiary",
+                  registered_users="user")
+    years = years.select(
+        "uw_year", "beneficiaries", "registered_users",
+        ratio(F.col("registered_users"), F.col("beneficiaries")).alias("app_penetration"),
+        *MONEY_COLUMNS,
+    ).orderBy(F.asc_nulls_last("uw_year"))
+    largest = F.desc_nulls_last("gross_premium_usd")
+    payers = review("payer_name").orderBy(largest, "payer_name")
+    types = group("policy_type", policy_type="value", beneficiaries="beneficiary")
+    types = types.orderBy(largest, "policy_type")
+    mobile = group(
+        "payer_name", payer_name="value", unique_beneficiaries="beneficiary", unique_registered_users="user",
+        linked_beneficiaries="linked",
+    ).drop(*MONEY_COLUMNS)
+    members = F.col("unique_beneficiaries")
+    mobile = mobile.withColumns(
+        {
+            "registered_user_penetration": ratio(F.col("unique_registered_users"), members),
+            "linked_beneficiary_coverage": ratio(F.col("linked_beneficiaries"), members),
+        }
+    ).orderBy(F.desc("unique_beneficiaries"), "payer_name")
+    return {
+        "summary": summary,
+        "premium_by_year": years,
+        "payer_review": payers.limit(PAYER_ROWS),
+        "payer_review_all": payers,
+        "payer_network_premium": premium("payer_network"),
+        "master_contract_network_premium": premium("contract_network"),
+        "age_bucket_review": review("age_bucket").orderBy(F.desc("beneficiaries"), "age_bucket"),
+        "policy_type_review": types.limit(POLICY_TYPE_ROWS),
+        "policy_type_review_all": types,
+        "mobile_by_payer": mobile.limit(PAYER_ROWS),
+        "mobile_by_payer_all": mobile,
+    }
+
+
 def contract_totals(contract_network: DataFrame) -> DataFrame:
     """Network rows collapsed to one total per contract; a NULL contract is its own group."""
     return (

@@ -34,30 +34,18 @@ class Snapshot(dict[str, DataFrame]):
 def snapshot(mart: Mart, scope: Scope) -> Snapshot:
     """Seventeen lazy frames of a scope.
 
-    The slim scoped policies are persisted because ten frames read them, and the month-end
-    metrics if the stored rollups do not serve the scope.
+    The reviews share one small table of measures, which is persisted, as are the month-end
+    metrics if the stored rollups do not serve the scope. Policies are not kept.
     """
     frames = Snapshot()
     scoped = scoped_projection(mart.table("policy_records"), scope)
-    scoped = scoped.persist(StorageLevel.MEMORY_AND_DISK)
-    frames.caches.append(scoped)
+    measures = rv.review_measures(scoped).persist(StorageLevel.MEMORY_AND_DISK)
+    frames.caches.append(measures)
     monthly = mart.monthly(scope, frames.caches)
     population = mo.active_population(monthly["monthly_kpis"])
-    frames.update(
-        {
-            "summary": rv.latest_active(rv.portfolio_summary(scoped), population),
-            "active_population": population,
-            **monthly,
-            "premium_by_year": rv.premium_by_year(scoped),
-            "payer_review": rv.payer_review(scoped),
-            "payer_review_all": rv.payer_review_all(scoped),
-            "payer_network_premium": rv.payer_network_premium(scoped),
-            "master_contract_network_premium": rv.contract_network_premium(scoped),
-            "age_bucket_review": rv.age_bucket_review(scoped),
-            "policy_type_review": rv.policy_type_review(scoped),
-            "policy_type_review_all": rv.policy_type_review_all(scoped),
-            "mobile_by_payer": rv.mobile_by_payer(scoped),
-            "mobile_by_payer_all": rv.mobile_by_payer_all(scoped),
-        }
-    )
+    reviews = rv.review_frames(measures)
+    frames.update(reviews)
+    frames.update(monthly)
+    frames["summary"] = rv.latest_active(reviews["summary"], population)
+    frames["active_population"] = population
     return frames

@@ -16,7 +16,6 @@ from covermart.operators import topn
 from covermart.operators.scope import Scope, scope_filter
 from covermart.operators.options import OPTION_COLUMNS
 from covermart.plans.mart import Mart, refresh_mart, write_mart
-from covermart.plans.snapshot import snapshot
 from fixture_queries.catalog import MONTH_MEASURES, common, query
 from fixture_queries.tables import dated_policies, policies, stored
 
@@ -351,25 +350,6 @@ def latest_active(spark, sf_dir):
     )
 
 
-@query(
-    "snapshot",
-    """SELECT payer_name, registered_user_penetration, app_penetration_rate FROM (
-           SELECT coalesce(payer_name, 'Unassigned') AS payer_name,
-                  cast(count(DISTINCT registered_user_key) AS double)
-                  / nullif(count(DISTINCT beneficiary_key), 0) AS registered_user_penetration,
-                  cast(count(DISTINCT registered_user_key) AS double)
-                  / nullif(count(DISTINCT beneficiary_key), 0) AS app_penetration_rate
-           FROM scoped WHERE uw_year BETWEEN 1996 AND 1998 GROUP BY 1) AS p""",
-    ("scoped",),
-)
-def scoped_snapshot(spark, sf_dir):
-    frames = snapshot(_mart(spark, sf_dir), Scope(1996, 1998))
-    return frames["payer_review_all"].select("payer_name", "app_penetration_rate").join(
-        frames["mobile_by_payer_all"].select("payer_name", "registered_user_penetration"),
-        "payer_name",
-    )
-
-
 @query(
     "stack_totals",
     """SELECT month_end, network_type, active_population,

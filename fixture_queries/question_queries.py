@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from covermart import fixed_values as fv
@@ -15,7 +17,7 @@ from covermart.plans import evidence as ev
 from covermart.plans import questions as qu
 from covermart.plans.snapshot import snapshot
 from fixture_queries import views
-from fixture_queries.catalog import _TABLE_NAMES, USD_SUMS, common, query
+from fixture_queries.catalog import _TABLE_NAMES, MONTH_MEASURES, USD_SUMS, common, query, with_common
 from fixture_queries.monthly_queries import _mart
 from fixture_queries.policy_queries import (
     _MOBILE,
@@ -114,6 +116,97 @@ common(
         FROM scoped""",
     ("scoped", "kpis"),
 )
+_SNAPSHOT_YEARS = (1996, 1998)
+_MONTHLY = ("active_population", "active_registered_users", "gross_premium_usd", "net_premium_usd", "tpa_fee_usd")
+_REVIEWED = (
+    "beneficiaries", "registered_users", "registered_beneficiaries", "gross_premium_usd", "net_premium_usd",
+    "tpa_fee_usd", "app_penetration_rate", "net_to_gross_ratio", "tpa_to_gross_ratio",
+)
+_TYPED = ("beneficiaries", "gross_premium_usd", "net_premium_usd", "tpa_fee_usd")
+_MOBILE_MEASURES = (
+    "unique_beneficiaries", "unique_registered_users", "linked_beneficiaries", "registered_user_penetration",
+    "linked_beneficiary_coverage",
+)
+_BY_GROSS = "ORDER BY gross_premium_usd DESC NULLS LAST"
+
+
+def _slice_frame(dimension: str) -> str:
+    return (
+        f"(SELECT month_end, coalesce({dimension}, 'Unassigned') AS {dimension}, {MONTH_MEASURES} "
+        "FROM scoped_months GROUP BY 1, 2)"
+    )
+
+
+#: Frame of a snapshot -> rows, keys (up to two) and measures.
+_SNAPSHOT_FRAMES = {
+    "summary": ("summary_frame", ("latest_active_month",), (
+        "policy_records", "unique_beneficiaries", "master_contracts", "registered_users",
+        "registered_beneficiaries", "gross_premium_usd", "net_premium_usd", "tpa_fee_usd",
+        "latest_active_population")),
+    "active_population": ("kpis", ("month_end",), ("active_population",)),
+    "monthly_kpis": ("kpis", ("month_end",), _MONTHLY),
+    "monthly_country_kpis": ("country_kpis", ("month_end", "payer_country"), _MONTHLY),
+    **{
+        f"monthly_{d}_kpis": (_slice_frame(d), ("month_end", d), _MONTHLY)
+        for d in ("network_type", "network_group", "policy_type")
+    },
+    "premium_by_year": (
+        "(SELECT *, registered_users::double / nullif(beneficiaries, 0) AS app_penetration FROM years_frame)",
+        ("uw_year",),
+        ("beneficiaries", "registered_users", "app_penetration", "gross_premium_usd", "net_premium_usd", "tpa_fee_usd"),
+    ),
+    "payer_review": (f"(SELECT * FROM payer_frame {_BY_GROSS}, payer_name LIMIT 25)", ("payer_name",), _REVIEWED),
+    "payer_review_all": ("payer_frame", ("payer_name",), _REVIEWED),
+    "payer_network_premium": (f"({_premium_sql('payer_name')})", ("payer_name", "network_type"), ("gross_premium_usd",)),
+    "master_contract_network_premium": ("contract_frame", ("master_contract", "network_type"), ("gross_premium_usd",)),
+    "age_bucket_review": ("age_frame", ("age_bucket",), _REVIEWED),
+    "policy_type_review": (f"(SELECT * FROM type_frame {_BY_GROSS}, policy_type LIMIT 20)", ("policy_type",), _TYPED),
+    "policy_type_review_all": ("type_frame", ("policy_type",), _TYPED),
+    "mobile_by_payer": (
+        "(SELECT * FROM mobile_frame ORDER BY unique_beneficiaries DESC, payer_name LIMIT 25)",
+        ("payer_name",), _MOBILE_MEASURES,
+    ),
+    "mobile_by_payer_all": ("mobile_frame", ("payer_name",), _MOBILE_MEASURES),
+}
+
+
+def _snapshot_sql() -> str:
+    parts = []
+    for name, (rows, keys, measures) in _SNAPSHOT_FRAMES.items():
+        first, second = (*[f"{k}::varchar" for k in keys], "NULL::varchar")[:2]
+        parts.append(
+            f"SELECT '{name}' AS frame, {first} AS first_key, {second} AS second_key, "
+            f"unnest({list(measures)}) AS measure, unnest([{', '.join(f'{m}::double' for m in measures)}]) "
+            f"AS value FROM {rows} AS f"
+        )
+    whole = with_common(
+        " UNION ALL ".join(parts), "summary_frame", "kpis", "country_kpis", "years_frame", "payer_frame",
+        "contract_frame", "age_frame", "type_frame", "mobile_frame", "scoped_months",
+    )
+    return whole.replace("WHERE uw_year IS NOT NULL", "WHERE uw_year BETWEEN {} AND {}".format(*_SNAPSHOT_YEARS))
+
+
+@query("snapshot", _snapshot_sql())
+def scoped_snapshot(spark, sf_dir):
+    """All seventeen frames of a scope, a row for each measure, written once."""
+
+    def write(path):
+        with snapshot(_mart(spark, sf_dir), Scope(*_SNAPSHOT_YEARS)) as frames:
+            parts = []
+            for name, (_, keys, measures) in _SNAPSHOT_FRAMES.items():
+                first, second = (*[F.col(k).cast("string") for k in keys], F.lit(None).cast("string"))[:2]
+                values = [F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures]
+                frame = frames[name].select(*keys, *measures)
+                parts.append(
+                    frame.select(F.lit(name).alias("frame"), first.alias("first_key"), second.alias("second_key"),
+                                 F.inline(F.array(*values)))
+                )
+            assert set(frames) == set(_SNAPSHOT_FRAMES)
+            reduce(lambda a, b: a.unionByName(b), parts).write.parquet(path)
+
+    return spark.read.parquet(stored(spark, sf_dir, "snapshot", write))
+
+
 _CLASS_SQL = " ".join(
     f"WHEN '{column}' THEN '{name}'" for name, column in qu.ENTITY_COLUMNS.items()
 )
