@@ -16,6 +16,8 @@ the work is done on runs, never on exploded months:
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,7 @@ from covermart.functions.money import (
     whole_micros,
 )
 from covermart.operators.coverage import covered_span, month_end, month_number
+from covermart.session import shared_folder
 
 TOTAL = "total"
 ROLLUP_DIMENSIONS = ("network_type", "network_group", "policy_type")
@@ -223,8 +226,23 @@ def scoped_monthly_metrics(policies: DataFrame) -> DataFrame:
     )
 
 
+def stored_monthly_metrics(policies: DataFrame) -> DataFrame:
+    """:func:`scoped_monthly_metrics`, computed once and read from the shared folder.
+
+    A row for each month and dimension value, so it is small whatever the policies are; five
+    frames and their users start from it instead of from the policies.
+    """
+    spark = policies.sparkSession
+    path = f"{shared_folder(spark)}/monthly-metrics-{uuid.uuid4().hex}"
+    scoped_monthly_metrics(policies).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def split_grouping_sets(metrics: DataFrame) -> dict[str, DataFrame]:
-    """The five frames inside :func:`scoped_monthly_metrics`, recovered by flags."""
+    """The five frames inside :func:`scoped_monthly_metrics`, recovered by flags.
+
+    Each frame reads ``metrics``, which should be stored (:func:`stored_monthly_metrics`).
+    """
     whole = " AND ".join(f"{d}_grouped = 1" for d in SERIES_DIMENSIONS)
     frames = {"monthly_kpis": metrics.where(whole).select(*SERIES_COLUMNS).orderBy("month_end")}
     for d in SERIES_DIMENSIONS:

@@ -145,15 +145,17 @@ def _write_version(
         "year_options": year_options(stored),
         "year_facts": year_facts(stored),
     }
-    if months:
-        parts["member_months"] = member_months(stored)
     for name, part in parts.items():
         write_by_year(part, f"{folder}/{name}")
+    if months:
+        # read from files of one year each, so no shuffle is needed
+        parts["member_months"] = member_months(stored)
+        parts["member_months"].write.partitionBy("uw_year").parquet(f"{folder}/member_months")
     own = []
     for name, part in {"policy_records": stored, **parts}.items():
-        # as many years as the calendar has; only the folders are read
-        years = spark.read.schema(part.schema).parquet(f"{folder}/{name}").select("uw_year").distinct()
-        own += [{"table": name, "year": r["uw_year"], "version": version} for r in years.collect()]
+        files = spark.read.schema(part.schema).parquet(f"{folder}/{name}").inputFiles()
+        years = {file.rsplit("/", 2)[1].partition("=")[2] for file in files}
+        own += [{"table": name, "year": int(y) if y.lstrip("-").isdigit() else None, "version": version} for y in sorted(years)]
     changed = {entry["year"] for entry in own if entry["table"] == "policy_records"}
     manifest = [entry for entry in before if entry["year"] not in changed] + own
     spark.createDataFrame(
@@ -251,20 +253,11 @@ class Mart:
             and all(needed <= set(self.table(name).columns) for name in ROLLUPS)
         )
 
-    def monthly(
-        self, scope: Scope, caches: list[DataFrame] | None = None
-    ) -> dict[str, DataFrame]:
-        """The five month-end frames, from the rollups where they serve, else recomputed.
-
-        With ``caches`` the recomputed metrics are persisted and added to the list, whose
-        owner unpersists them; else each frame computes them anew.
-        """
+    def monthly(self, scope: Scope) -> dict[str, DataFrame]:
+        """The five month-end frames, from the rollups where they serve, else recomputed once."""
         if not self.serves(scope):
             policies = scope_filter(self.table("policy_records"), scope)
-            metrics = mo.scoped_monthly_metrics(policies)
-            if caches is not None:
-                caches.append(metrics.persist())
-            return mo.split_grouping_sets(metrics)
+            return mo.split_grouping_sets(mo.stored_monthly_metrics(policies))
         stored = self.table("monthly_dimension_kpis")
         frames = {
             name: self.table(name).select(*columns).orderBy(*order)

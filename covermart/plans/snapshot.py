@@ -34,14 +34,15 @@ class Snapshot(dict[str, DataFrame]):
 def snapshot(mart: Mart, scope: Scope) -> Snapshot:
     """Seventeen lazy frames of a scope.
 
-    The reviews share one small table of measures, which is persisted, as are the month-end
-    metrics if the stored rollups do not serve the scope. Policies are not kept.
+    The reviews share one small table of measures, which is persisted. Month-end metrics that
+    the stored rollups do not serve are computed at once and kept in the shared folder.
+    Policies are not kept.
     """
     frames = Snapshot()
     scoped = scoped_projection(mart.table("policy_records"), scope)
     measures = rv.review_measures(scoped).persist(StorageLevel.MEMORY_AND_DISK)
     frames.caches.append(measures)
-    monthly = mart.monthly(scope, frames.caches)
+    monthly = mart.monthly(scope)
     population = mo.active_population(monthly["monthly_kpis"])
     reviews = rv.review_frames(measures)
     frames.update(reviews)

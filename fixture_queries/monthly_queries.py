@@ -211,7 +211,7 @@ def _stack_frames(frames):
 
 @query("split_grouping_sets", _SPLIT_SQL, ("scoped_months",))
 def split_grouping_sets(spark, sf_dir):
-    metrics = mo.scoped_monthly_metrics(dated_policies(spark, sf_dir))
+    metrics = mo.stored_monthly_metrics(dated_policies(spark, sf_dir))
     return _stack_frames(mo.split_grouping_sets(metrics))
 
 
