@@ -31,6 +31,10 @@ ENTITY_COLUMNS = {
     "age_buckets": "age_bucket",
 }
 
+#: A dictionary of at most so many bytes is broadcast; copies of a larger one; its bitmap's bits.
+DICTIONARY_BYTES = 32 << 20
+SALTS, BITMAP_BITS = 16, 32768
+
 
 def normalize_questions(questions: DataFrame) -> DataFrame:
     """``(question_id, question, normalised)``; questions without text are dropped."""
@@ -88,7 +92,32 @@ def entity_catalog(
     )
 
 
-def match_entities(questions: DataFrame, catalog: DataFrame) -> DataFrame:
+def _named_phrases(runs: DataFrame, phrases: DataFrame, small: bool) -> DataFrame:
+    """Word runs of questions that are dictionary phrases, with their entities.
+
+    A dictionary of up to ``DICTIONARY_BYTES`` is broadcast: questions stay where they are, and
+    a name in half of them is no hot key. A larger one is shuffled, in `SALTS` copies, so that
+    the questions of one name are dealt to as many tasks; runs whose hash no phrase has are
+    dropped before that, by a bitmap of fixed size.
+    """
+    if small:
+        return runs.join(F.broadcast(phrases), "phrase")
+
+    def bucket(phrase: Column) -> Column:
+        return F.pmod(F.xxhash64(phrase), F.lit(BITMAP_BITS))
+
+    bits = phrases.agg(F.bitmap_construct_agg(F.bitmap_bit_position(bucket(F.col("phrase")) + 1))).first()[0]
+    place = bucket(F.col("phrase"))
+    byte = F.substr(F.lit(bytes(bits)), F.floor(place / 8).cast("int") + 1, F.lit(1))
+    likely = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(place, F.lit(8)).cast("int")) == 1
+    salted = runs.where(likely).withColumn("salt", F.pmod(F.xxhash64("question_id"), F.lit(SALTS)))
+    copies = phrases.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, ["phrase", "salt"]).drop("salt")
+
+
+def match_entities(
+    questions: DataFrame, catalog: DataFrame, broadcast_bytes: int = DICTIONARY_BYTES
+) -> DataFrame:
     """One array column per entity class with the values a question names.
 
     Longer names come first, then the order of the catalog. Runs are taken only of the
@@ -99,18 +128,24 @@ def match_entities(questions: DataFrame, catalog: DataFrame) -> DataFrame:
         .where("phrase <> ''")
         .withColumn("words", F.size(F.split("phrase", " ")))
     )
-    lengths = phrases.agg(F.collect_set("words")).scalar()
+    facts = phrases.agg(
+        F.coalesce(F.collect_set("words"), F.array()).alias("lengths"),
+        F.coalesce(F.sum(F.octet_length("phrase") + F.octet_length("value") + 64), F.lit(0)).alias("size"),
+    ).first()
+    lengths = F.array(*[F.lit(n) for n in sorted(facts["lengths"])]).cast("array<int>")
     runs = F.expr(
         """array_distinct(flatten(transform(lengths, n ->
              CASE WHEN n > size(words) THEN cast(array() AS array<string>)
                   ELSE transform(sequence(1, size(words) - n + 1),
                                  i -> array_join(slice(words, i, n), ' ')) END)))"""
     )
-    found = (
+    asked = (
         questions.select("question_id", F.split("normalised", " ").alias("words"))
         .withColumn("lengths", lengths)
         .select("question_id", F.explode(runs).alias("phrase"))
-        .join(phrases, "phrase")
+    )
+    found = (
+        _named_phrases(asked, phrases, facts["size"] <= broadcast_bytes)
         .groupBy("question_id")
         .agg(
             F.sort_array(

@@ -289,3 +289,25 @@ def test_evidence_is_not_searched_in_arrays(spark, folder, questions):
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "filter(evidence" not in text
     assert text.count("cells") <= 1  # rows are read by their keys alone
+
+
+def test_a_name_in_half_of_the_questions_is_no_hot_key(spark, folder):
+    """Large dictionaries: the same entities, the questions of one name dealt over the copies."""
+    asked = spark.createDataFrame(
+        [(f"q{k}", f"premium of {PAYERS[3] if k % 2 else PAYERS[k % 15]} and payer {k} again") for k in range(800)],
+        "question_id string, question string",
+    )
+    catalog = catalog_of(spark, folder)
+    normal = qu.normalize_questions(asked)
+    want = {r["question_id"]: r["payers"] for r in qu.match_entities(normal, catalog).collect()}
+    got = qu.match_entities(normal, catalog, broadcast_bytes=0)
+    assert {r["question_id"]: r["payers"] for r in got.collect()} == want
+    assert all(want[f"q{k}"] == [PAYERS[3]] for k in range(1, 800, 2))
+    plan = qu.match_entities(normal, catalog)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    phrases = catalog.select(qu.normalize_phrase(F.col("value")).alias("phrase"), "value")
+    runs = normal.select("question_id", F.explode(F.array(F.lit(PAYERS[3].lower()), F.lit("no such name"))).alias("phrase"))
+    met = qu._named_phrases(runs.where("question_id LIKE '%1'"), phrases, small=False)
+    sizes = met.select(F.pmod(F.xxhash64("question_id"), F.lit(qu.SALTS)).alias("s")).groupBy("s").count().collect()
+    assert sum(r["count"] for r in sizes) == 80 and len(sizes) == qu.SALTS
+    assert max(r["count"] for r in sizes) <= 3 * 80 / qu.SALTS
