@@ -29,10 +29,16 @@ BATCH_BYTES = 8 << 20
 def small_batches(spark: SparkSession) -> None:
     """Let the session send texts to Python in batches of `BATCH_BYTES`, unless it is smaller."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(key, str(64 << 20)).rstrip("bB")) <= BATCH_BYTES:
+    if not 0 < size_in_bytes(spark.conf.get(key, "64m")) <= BATCH_BYTES:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
+def size_in_bytes(text: str) -> int:
+    """A size as Spark's settings write it: a whole number, with a unit or in bytes."""
+    number, unit = re.fullmatch(r"\s*(-?[0-9]+)\s*([kmgtp]?)(?:i?b)?\s*", text.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 class Scratch:
     """Tables of one run, in a folder of its own under the shared one."""
 

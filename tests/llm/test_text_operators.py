@@ -12,7 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tokenizers
-from covermart.llm import block_labeller, page_layouts, queries, raked_mixing, reply_chat, trie_bpe
+from covermart.llm import block_labeller, common, page_layouts, queries, raked_mixing, reply_chat, trie_bpe
 from covermart.llm.html_blocks import blocks
 from pyspark.sql import functions as F
 from llm import brute
@@ -193,6 +193,42 @@ def test_blocks():
     assert "p" not in found[4].path and blocks("") == []
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ('<svg class="x"/><article><p>kept</p></article>', ["kept"]),
+        ("<form><select><option>a<option>b</form><article>kept</article>", ["kept"]),
+        ("<div><p>one</p><template><p>no</div><article>kept</article>", ["one", "kept"]),
+        ("<p>where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>", ["where x=1 holds"]),
+        ("<p>pick <select><option>a</option></select> now <svg><g><text>no</text></g></svg>here", ["pick now here"]),
+        ("<p>a<canvas><p>no</p></canvas>b<object data=x><div>no</div></object>c", ["abc"]),
+        ("<p>a<object data=x />b</p><script>if (a < b) '</p>'</script>c<style>no", ["ab", "c"]),
+        ("<div><a href=x><select></a>seen</div>", ["seen"]),
+    ],
+)
+def test_content_that_is_not_shown(page, texts):
+    """Self-closed and unclosed elements take nothing else along; formulas are text."""
+    assert [b.text for b in blocks(page)] == texts
+
+
+def test_path_of_deep_blocks():
+    """However deep a block lies, its path names its landmarks."""
+    page = "<article class=main>" + "<div>" * 40 + "deep" + "</div>" * 40 + "<p>flat</p></article>after"
+    deep, flat, after = blocks(page)
+    assert {"article", ".main"} <= set(deep.path) and len(deep.path) < 30
+    assert flat.path == ("article", ".main", "p") and after.path == ()
+
+
+def test_sizes_of_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    for given, left in (("64m", "8388608b"), ("64MB", "8388608b"), ("4mb", "4mb"), ("1k", "1k"), ("9000000", "8388608b")):
+        spark.conf.set(key, given)
+        common.small_batches(spark)
+        assert spark.conf.get(key) == left
+    spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def test_gradients():
     """Backpropagation against differences."""
     layouts = page_layouts.Layouts([], seed=1)
