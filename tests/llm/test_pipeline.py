@@ -88,7 +88,7 @@ def test_registered():
 
     names = set(entry.queries())
     assert "pipeline" in names
-    assert {f"op{n}_" for n in range(1, 11)} == {
+    assert {f"op{n}_" for n in range(1, 14)} == {
         x.split("_")[0] + "_" for x in names if x.startswith("op") and x[2].isdigit()
     }
     assert set(entry.oracle_sql()) <= names

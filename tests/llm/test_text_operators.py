@@ -349,7 +349,7 @@ def test_mixture_of_awkward_rows(spark, edge_docs, edge_rows, no_docs):
 def test_query_matches_sql(spark, sf_dir, name):
     frame = queries.QUERIES[name](spark, sf_dir)
     with duckdb.connect() as connection:
-        for table in ("documents", "conversations"):
+        for table in ("documents", "conversations", "embeddings"):
             connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
         result = connection.execute(queries.ORACLES[name])
         columns = [c[0] for c in result.description]
