@@ -355,32 +355,27 @@ def _trend_text() -> Column:
 
 def with_scope_line(evidence: DataFrame, summary: DataFrame) -> DataFrame:
     """Adds ``scope_line``, from the columns of the one-row summary that the question is shown."""
-    shown, kept = F.col("summary_columns"), {}
+    numbers = [c for c, kind in summary.dtypes if kind in ("bigint", "int", "double")]
+    one = summary.agg(F.max(F.struct(*[F.col(c).cast("double").alias(c) for c in numbers]))).scalar()
+    row, shown = F.col("summary_row"), F.col("summary_columns")
 
-    def first(names: tuple[str, ...]) -> Column:
-        known = [c for c in names if c in summary.columns]
-        kept.update((f"summary_{c}", F.col(c).cast("double")) for c in known)
-        seen = [F.when(F.array_contains(shown, c), F.col(f"summary_{c}")) for c in known]
-        return F.coalesce(*seen, F.lit(None).cast("double"))
+    def first(metric: str) -> Column:
+        known = [c for c in METRIC_CANDIDATES[metric] if c in numbers]
+        return F.coalesce(*[F.when(F.array_contains(shown, c), row[c]) for c in known], F.lit(None).cast("double"))
 
-    members, gross, net = (
-        first(METRIC_CANDIDATES[m]) for m in ("unique_beneficiaries", "gross_premium_usd", "net_premium_usd")
-    )
+    members, gross, net = map(first, ("unique_beneficiaries", "gross_premium_usd", "net_premium_usd"))
     text = F.concat(
         F.lit("The applied scope covers "), fixed(members, "#,##0"),
         F.lit(" unique beneficiaries and "), money(gross), F.lit(" GP"),
         F.when(net.isNotNull(), F.concat(F.lit(" / "), money(net), F.lit(" NP"))).otherwise(""),
         F.lit("."),
     )
-    one = summary.limit(1).select(
-        F.lit("summary").alias("held"), *[value.alias(name) for name, value in kept.items()]
-    )
+    known = _held("summary") & members.isNotNull() & gross.isNotNull()
     return (
         evidence.withColumn("summary_columns", shown_columns(F.lit("summary")))
-        .withColumn("held", F.when(_held("summary"), "summary"))
-        .join(F.broadcast(one), "held", "left")
-        .withColumn("scope_line", F.when(members.isNotNull() & gross.isNotNull(), text))
-        .drop("held", "summary_columns", *kept)
+        .withColumn("summary_row", one)
+        .withColumn("scope_line", F.when(known, text))
+        .drop("summary_columns", "summary_row")
     )
 
 
