@@ -165,13 +165,31 @@ def match_scopes(policies: DataFrame, scopes: DataFrame) -> DataFrame:
     return by_value.unionByName(by_year)
 
 
+def _equal_scopes(scopes: DataFrame) -> DataFrame:
+    """``(scope_id, counted_id)``: for each id the first of those with the same scopes.
+
+    An id that comes several times stands for all its scopes together.
+    """
+    texts = F.to_json(F.sort_array(F.collect_list("scope_json")))
+    ids = scopes.where("scope_id IS NOT NULL").groupBy("scope_id").agg(F.sha2(texts, 256).alias("texts"))
+    first = ids.groupBy("texts").agg(F.min("scope_id").alias("counted_id"))
+    return ids.join(first, "texts").select("scope_id", "counted_id")
+
+
+def _first_of_equal(scopes: DataFrame) -> DataFrame:
+    """The scopes of the ids that are counted for all that have the same ones."""
+    counted = _equal_scopes(scopes).select(F.col("counted_id").alias("scope_id")).distinct()
+    return scopes.join(counted, "scope_id", "left_semi")
+
+
 def scope_summary(policies: DataFrame, scopes: DataFrame) -> DataFrame:
     """One row per scope: policies, distinct members, gross premium and ``problem``.
 
-    Scopes that match nothing have zeros. Scopes by year alone that cover the same years
+    Scopes that match nothing have zeros. Equal scopes are looked up once, and scopes by year alone that cover the same years
     are counted once, on policies reduced to year and member before they meet the years.
     """
-    wanted, used, anchors = _wanted(policies, scopes)
+    kept = _first_of_equal(scopes)
+    wanted, used, anchors = _wanted(policies, kept)
     slim = policies.select(
         "uw_year", *[SCOPE_COLUMNS[name] for name in used], "beneficiary_key",
         micro(F.col("gross_premium_usd")).alias("gross"),
@@ -197,9 +215,10 @@ def scope_summary(policies: DataFrame, scopes: DataFrame) -> DataFrame:
         .agg(*_totals())
     )
     found = by_value.unionByName(plain.join(by_years, "years").drop("years"))
+    same = _equal_scopes(scopes).join(found.withColumnRenamed("scope_id", "counted_id"), "counted_id")
     return (
         parse_scopes(scopes).select("scope_id", "problem")
-        .join(found, "scope_id", "left")
+        .join(same, "scope_id", "left")
         .select(
             "scope_id", "problem",
             F.coalesce("policy_records", F.lit(0)).alias("policy_records"),
