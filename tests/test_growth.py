@@ -149,3 +149,26 @@ def test_policies_are_stored_without_being_moved(spark, tmp_path):
         write_by_year(rows, f"{tmp_path}/{gather}", gather)
         back = spark.read.parquet(f"{tmp_path}/{gather}")
         assert (back.count(), len(back.inputFiles())) == (40, files)
+
+
+def test_money_of_all_reviews_comes_from_three_groups(spark):
+    rows = policies(spark).withColumns(
+        {
+            "network_type": F.when(F.col("net_premium_usd") % 2 == 0, "A"),
+            "master_contract": F.when(F.col("net_premium_usd") % 3 != 0, "C"),
+            "master_contract_key": F.lit("c"),
+            "age_bucket": F.when(F.col("uw_year") != 1997, "old"),
+            "policy_type": F.when(F.col("net_premium_usd") > 5, F.col("payer_name")),
+        }
+    )
+    summed = rv._money_totals(rows)
+    text = summed._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Generate inline\(array\(.*part.*part.*part", text)
+    frames = rv.review_frames(rv.review_measures(rows))
+    for name, alone in (
+        ("summary", rv.portfolio_summary), ("premium_by_year", rv.premium_by_year),
+        ("payer_review_all", rv.payer_review_all), ("age_bucket_review", rv.age_bucket_review),
+        ("policy_type_review_all", rv.policy_type_review_all), ("payer_network_premium", rv.payer_network_premium),
+        ("master_contract_network_premium", rv.contract_network_premium),
+    ):
+        assert frames[name].collect() == alone(rows).select(*frames[name].columns).collect(), name
