@@ -9,6 +9,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from covermart.functions import money
 from covermart.operators import monthly as mo
 from covermart.operators import reviews as rv
 from covermart.operators import scope as sc
@@ -172,3 +173,32 @@ def test_money_of_all_reviews_comes_from_three_groups(spark):
         ("master_contract_network_premium", rv.contract_network_premium),
     ):
         assert frames[name].collect() == alone(rows).select(*frames[name].columns).collect(), name
+
+
+def test_parts_of_amounts_add_up_as_decimals_do(spark):
+    amounts = [
+        None, 0.0, -0.0, 0.125, -0.0000005, 1.5e-7, 4503599627.370495, 4503599627.370496, -4503599627.370497, 9.3e12,
+        -98765432109876.25, 1.2345678912345678e19, -7.77e21, 9.9e21, 1e22, 1e30, float("nan"), float("inf"),
+    ]
+    rows = spark.createDataFrame([(i % 5, a) for i, a in enumerate(amounts)] + [(5, None)], "k int, usd double")
+    for keys in (("k", "usd"), ("k",), ()):
+        sums = rows.groupBy(*keys).agg(money.sum_micro(money.micro(F.col("usd"))).alias("sum"))
+        parts = rows.select("*", *money.micro_parts("usd")).groupBy(*keys).agg(money.sum_parts("usd").alias("sum"))
+        assert parts.schema["sum"].dataType == sums.schema["sum"].dataType
+        assert sorted(map(str, parts.collect())) == sorted(map(str, sums.collect()))
+
+
+def test_keys_of_few_groups_are_made_of_members_not_of_policies(spark):
+    wide = policies(spark).withColumns(
+        {c: F.col("payer_name") for c in ("age_bucket", "policy_type", "master_contract", "master_contract_key", "network_type")}
+    )
+    plan = rv.review_measures(wide)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    made = [i for i, line in enumerate(plan) if "Generate inline" in line and "beneficiary_key" in line and "uw_year" in line]
+    assert len(made) == 1
+    assert any("Aggregate [" in line for line in plan[made[0] + 1 : made[0] + 4])
+    other = [line for line in plan if "Generate inline" in line and "payer_name" in line and "beneficiary_key" in line]
+    assert len(other) == 1 and "uw_year" not in other[0]
+    text = "\n".join(plan)
+    assert "sum(gross_premium_usd_0" in text and not re.search(r"sum\(try_cast", text)
+    runs = mo.money_runs(wide.selectExpr("*", "1 AS first_month", "2 AS last_month"), ())
+    assert "gross_premium_usd_3" in runs._jdf.queryExecution().optimizedPlan().toString()
