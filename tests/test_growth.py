@@ -7,6 +7,7 @@ import json
 import re
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from covermart.functions import money
@@ -69,6 +70,27 @@ def test_more_askers_leave_the_routed_table_as_it_is(spark, tmp_path):
         assert batch.for_all_questions(spark, found, f"{tmp_path}/{name}").count() == size
 
 
+def test_often_asked_questions_are_no_hot_key(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(batch, "DEALT_ROWS", 10)
+    rows = [(f"q{i}", "which one" if i % 2 else f"question {i % 40}") for i in range(400)]
+    rows += [(None, "which one"), ("q1", "which one"), ("q2", "which one"), ("x", "which one"), ("x", "which one")]
+    batch.store_questions(spark, asked(spark, rows), str(tmp_path))
+    often = spark.read.parquet(f"{tmp_path}/often").collect()
+    assert [row["deals"] for row in often] == [20]  # of q1, q3 and so on but for q1 itself, asked twice
+    found = batch.read_distinct(spark, str(tmp_path)).where("once").select(
+        "asked", F.explode(F.array(F.lit(1), F.lit(2))).alias("cell"), F.col("question").alias("text")
+    )
+    each = batch.for_all_questions(spark, found, str(tmp_path))
+    assert each.columns == ["question_id", "question", "cell", "text"]
+    expected = [(i, t, c, t) for i, t in rows for c in (1, 2)]
+    assert sorted(map(str, each.collect())) == sorted(str(_row(r)) for r in expected)
+    assert re.search(r"Join .*asked#.*deal#", each._jdf.queryExecution().optimizedPlan().toString())
+
+
+def _row(values):
+    return Row(question_id=values[0], question=values[1], cell=values[2], text=values[3])
+
+
 def policies(spark, n=40):
     rows = [
         (1996 + i % 3, f"p{i % 4}", f"m{i % 7}" if i % 5 else None, f"u{i % 3}" if i % 2 else None,
